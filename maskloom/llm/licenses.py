@@ -99,7 +99,7 @@ Under the new agreement the files stay with the author.
 Attribution of the painting to the master is in doubt.
 The purpose of the meeting was to modify the plan.""".splitlines()
 ANCHORS = frozenset(
-    "license licence licensed licenses licensing unlicense spdx copyright copyrighted apache mit gpl lgpl agpl gnu bsd mpl mozilla cc cc0 isc "
+    "license licence licensed licenses licensing unlicense spdx copyright copyrighted apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 isc "
     "creative commons sharealike noncommercial redistribution redistributions redistribute warranties warranty sublicense permission "
     "unencumbered waived proprietary confidential reserved affero lesser".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -223,44 +223,61 @@ def candidate_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{anchors})(?![\p{{L}}\p{{N}}])"))
 
 
-def _scored(line: Column, model: Model) -> Column:
-    """(family, probability, confirmed) of a line."""
+def _classified(lines: Column, model: Model) -> Column:
+    """(family, probability, confirmed) of the lines that are named a licence.
+
+    Each step maps an array whose elements are the last step's results, so that
+    nothing is computed twice for a line.
+    """
     weights, bias = _literal(model.weights, "map<string,array<double>>"), _literal(model.bias, "array<double>")
     known, names = _literal(model.shingles, "map<string,array<string>>"), _literal(model.families, "array<string>")
     held = _literal(sorted(ANCHORS), "array<string>")
-    tokens = _tokens(line)
-    many = F.size(tokens)
-
-    def of(t: Column) -> Column:
-        near = F.transform(t, lambda w, i: F.struct(w.alias("a"), F.get(t, i + 1).alias("b"), F.get(t, i + 2).alias("c"), F.array_contains(held, w).alias("x"),
-                                                    F.coalesce(F.array_contains(held, F.get(t, i + 1)), F.lit(False)).alias("y"),
-                                                    F.coalesce(F.array_contains(held, F.get(t, i + 2)), F.lit(False)).alias("z")))
-        of_word = lambda n: F.array(
-            F.when(n["x"], n["a"]), F.when(n["b"].isNotNull() & (n["x"] | n["y"]), F.concat_ws(" ", n["a"], n["b"])),
-            F.when(n["c"].isNotNull() & (n["x"] | n["y"] | n["z"]), F.concat_ws(" ", n["a"], n["b"], n["c"])))
-        found = F.array_distinct(F.filter(F.flatten(F.transform(near, of_word)), lambda g: g.isNotNull()))
-        rows = F.filter(F.transform(found, lambda g: F.try_element_at(weights, g)), lambda r: r.isNotNull())
-        logits = F.aggregate(rows, bias, lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
-        return logits
-
-    logits = of(tokens)
-    best = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z - best))
-    family = F.element_at(names, F.array_position(logits, best).cast("int"))
-    cut = F.greatest(F.lit(1), many - SHINGLE + 1)
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), cut), lambda i: F.array_join(F.slice(tokens, i, F.lit(SHINGLE)), " ")))
-    of_family = F.coalesce(F.try_element_at(known, family), F.array().cast("array<string>"))
-    alike = F.size(F.array_intersect(own, of_family)) / F.size(own)
-    return F.struct(family.alias("family"), (1.0 / total).alias("probability"), (alike >= SIMILARITY).alias("confirmed"))
+    nothing = F.array().cast("array<string>")
+
+    def flagged(t: Column) -> Column:
+        return F.transform(t, lambda w: F.struct(w.alias("w"), F.array_contains(held, w).alias("x")))
+
+    def grams_of(f: Column) -> Column:
+        def at(n: Column, i: Column) -> Column:
+            b, c = F.get(f, i + 1), F.get(f, i + 2)
+            return F.array(
+                F.when(n["x"], n["w"]),
+                F.when(n["x"] | b["x"], F.concat(n["w"], F.lit(" "), b["w"])),
+                F.when(n["x"] | b["x"] | c["x"], F.concat(n["w"], F.lit(" "), b["w"], F.lit(" "), c["w"])))
+
+        return F.array_distinct(F.filter(F.flatten(F.transform(f, at)), lambda g: g.isNotNull()))
+
+    def logits(g: Column) -> Column:
+        rows = F.filter(F.transform(g, lambda x: F.try_element_at(weights, x)), lambda r: r.isNotNull())
+        return F.aggregate(rows, bias, lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
+
+    def named(s: Column) -> Column:
+        total = F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - s["best"]))
+        return F.struct(s["t"].alias("t"), F.element_at(names, F.array_position(s["z"], s["best"]).cast("int")).alias("family"),
+                        (1.0 / total).alias("probability"))
+
+    def own(s: Column) -> Column:
+        last = F.greatest(F.lit(1), F.size(s["t"]) - SHINGLE + 1)
+        runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(s["t"], i, F.lit(SHINGLE)), " "))
+        return F.struct(s["family"].alias("family"), s["probability"].alias("probability"), F.array_distinct(runs).alias("own"),
+                        F.coalesce(F.try_element_at(known, s["family"]), nothing).alias("known"))
+
+    out = F.transform(lines, _tokens)
+    out = F.transform(out, lambda t: F.struct(t.alias("t"), flagged(t).alias("f")))
+    out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), grams_of(s["f"]).alias("g")))
+    out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), logits(s["g"]).alias("z")))
+    out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), s["z"].alias("z"), F.array_max(s["z"]).alias("best")))
+    out = F.filter(F.transform(out, named), lambda s: (s["family"] != NONE) & (s["probability"] >= model.threshold))
+    return F.transform(F.transform(out, own), lambda s: F.struct(
+        s["family"].alias("family"), s["probability"].alias("probability"),
+        (F.size(F.array_intersect(s["own"], s["known"])) / F.size(s["own"]) >= SIMILARITY).alias("confirmed")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Every row: id, license (of the surest paragraph, null if none), probability, n_license, n_confirmed, families."""
     model = model or fit()
     lines = docs.select(F.col(id_col).alias("id"), candidate_lines(F.col(text_col)).alias("lines"))
-    hits = F.when(F.size("lines") > 0, F.filter(
-        F.transform("lines", lambda x: _scored(x, model)),
-        lambda h: (h["family"] != NONE) & (h["probability"] >= model.threshold)))
+    hits = F.when(F.size("lines") > 0, _classified(F.col("lines"), model))
     rows = lines.select("id", F.coalesce(hits, F.array().cast("array<struct<family:string,probability:double,confirmed:boolean>>")).alias("hits"))
     surest = F.element_at(F.array_sort(F.transform("hits", lambda h: F.struct(
         (-F.round(h["probability"], 6)).alias("behind"), h["family"].alias("family")))), 1)
