@@ -85,7 +85,9 @@ def find(text: Column, pattern: str, group: bool = False) -> Column:
         flags, pattern = "(?i)", pattern[4:]
     tied = F.lit(rf"{flags}(?s)\G(.*?)({pattern})")
     part = lambda n: F.regexp_extract_all(text, tied, F.lit(n))
-    pieces = F.arrays_zip(part(1).alias("gap"), part(2).alias("v"), (part(3) if group else part(2)).alias("g"))
+    pieces = F.zip_with(part(1), part(2), lambda gap, v: F.struct(gap.alias("gap"), v.alias("v"), v.alias("g")))
+    if group:
+        pieces = F.zip_with(pieces, part(3), lambda p, g: F.struct(p["gap"].alias("gap"), p["v"].alias("v"), g.alias("g")))
     start = F.struct(F.lit(0).alias("at"), none_of(HIT).alias("hits"))
 
     def step(state: Column, piece: Column) -> Column:

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskloom.functions import masking, text as texts
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import any_word, built, let, matches
-from maskloom.operators.detect import Detector, check_style
+from maskloom.functions.kernel import any_word, built, let, matches, none_of
+from maskloom.operators.detect import FINDING, Detector, check_style
 from maskloom.runtime import ship
 
 LEAF = "struct<text:string,label:string>"
@@ -50,52 +51,62 @@ def _email_like(text: Column) -> Column:
     return F.exists(F.regexp_extract_all(text, F.lit(_EMAIL_TOKEN), F.lit(0)), parts)
 
 
+def _prefix(label: Column) -> Column:
+    return F.when(label == "", "").otherwise(F.concat(label, F.lit(": ")))
+
+
 @built
-def mask_field(detector: Detector, text: Column, label: Column | str, style: str = "tag", strict: bool = False) -> Column:
-    """One value masked in the context of its label ('' for none).
+def field_findings(detector: Detector, text: Column, label: Column) -> Column:
+    """Findings of a value behind its label."""
+    return detector.findings(F.concat(_prefix(label), text))
+
+
+@built
+def settle_field(detector: Detector, text: Column, label: Column, found: Column, style: str = "tag", strict: bool = False) -> Column:
+    """A value masked by the findings of :func:`field_findings` and by the rules for typed fields.
 
     ``strict`` masks every value of a wanted personal field that is not blank. A finding
-    that would start inside the label fails. Under a card, e-mail or name label a value
-    of the right shape is masked even where no detector finds it.
+    that starts inside the label fails. Under a card, e-mail or name label a value of the
+    right shape is masked even where no detector finds it.
     """
-    check_style(style)
-    label = F.lit(label) if isinstance(label, str) else label
-    whole = lambda t, entity: masking.replacement(t, F.lit(entity) if isinstance(entity, str) else entity, style)
-    wanted = lambda *names: any(n in detector.entities for n in names)
-
-    def judged(row: Column) -> Column:
-        t, lab, found, ahead = row["text"], row["label"], row["found"], row["ahead"]
-        crossing = F.exists(found, lambda f: f["start"] < ahead)
-        moved = F.transform(found, lambda f: F.struct(
-            f["entity"].alias("entity"), (f["start"] - ahead).alias("start"), (f["end"] - ahead).alias("end"), f["score"].alias("score")))
-        out = masking.splice(t, moved, style)
-        if wanted("KR_NAME"):
-            alone = lab.isin("성명", "이름", "예금주") & (F.size(found) == 0) & matches(t, "[가-힣]")
-            out = F.when(alone, F.lit("<KR_NAME>" if style == "tag" else "*")).otherwise(out)
-        if wanted("EMAIL_ADDRESS"):
-            out = F.when((lab == "이메일") & _email_like(t), whole(t, "EMAIL_ADDRESS")).otherwise(out)
-        if wanted("CREDIT_CARD"):
-            out = F.when((lab == "카드번호") & (F.size(found) == 0) & _card_like(t), whole(t, "CREDIT_CARD")).otherwise(out)
-        return F.when(crossing, F.raise_error(F.lit("A finding crosses a field boundary")).cast("string")).otherwise(out)
-
-    def detected(row: Column) -> Column:
-        t, lab = row["text"], row["label"]
-        prefix = F.when(lab == "", "").otherwise(F.concat(lab, F.lit(": ")))
-        return let(F.struct(
-            t.alias("text"), lab.alias("label"), detector.findings(F.concat(prefix, t)).alias("found"), F.length(prefix).alias("ahead")), judged)
-
-    def field(row: Column) -> Column:
-        if not strict:
-            return detected(row)
-        entity, t = _entity_of(row["label"]), row["text"]
-        filled = F.regexp_replace(t, r"[\s\p{Z}]+", "") != ""
-        forced = whole(t, entity)
+    whole = lambda entity: masking.replacement(text, F.lit(entity) if isinstance(entity, str) else entity, style)
+    ahead = F.length(_prefix(label))
+    moved = F.transform(found, lambda f: F.struct(
+        f["entity"].alias("entity"), (f["start"] - ahead).alias("start"), (f["end"] - ahead).alias("end"), f["score"].alias("score")))
+    out = masking.splice(text, moved, style)
+    if "KR_NAME" in detector.entities:
+        alone = label.isin("성명", "이름", "예금주") & (F.size(found) == 0) & matches(text, "[가-힣]")
+        out = F.when(alone, F.lit("<KR_NAME>" if style == "tag" else "*")).otherwise(out)
+    if "EMAIL_ADDRESS" in detector.entities:
+        out = F.when((label == "이메일") & _email_like(text), whole("EMAIL_ADDRESS")).otherwise(out)
+    if "CREDIT_CARD" in detector.entities:
+        out = F.when((label == "카드번호") & (F.size(found) == 0) & _card_like(text), whole("CREDIT_CARD")).otherwise(out)
+    crossing = F.exists(found, lambda f: f["start"] < ahead)
+    out = F.when(crossing, F.raise_error(F.lit("A finding crosses a field boundary")).cast("string")).otherwise(out)
+    if strict:
+        entity = _entity_of(label)
+        forced = whole(entity)
         if style == "partial":
-            forced = F.when(forced == t, F.repeat(F.lit("*"), F.length(t))).otherwise(forced)
-        return F.when(entity.isin(*detector.entities) & filled, forced).otherwise(detected(row))
+            forced = F.when(forced == text, F.repeat(F.lit("*"), F.length(text))).otherwise(forced)
+        out = F.when(_forced(detector, text, label), forced).otherwise(out)
+    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
+
 
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(
-        let(F.struct(text.alias("text"), F.coalesce(label, F.lit("")).alias("label")), field))
+def _forced(detector: Detector, text: Column, label: Column) -> Column:
+    """Whether strict masking takes the value whatever it holds."""
+    return _entity_of(label).isin(*detector.entities) & (F.regexp_replace(text, r"[\s\p{Z}]+", "") != "")
+
+
+def mask_field(detector: Detector, text: Column, label: Column | str, style: str = "tag", strict: bool = False) -> Column:
+    """One value masked in the context of its label ('' for none), as one expression.
+
+    Tables and documents use the two steps apart, which keeps plans shallow.
+    """
+    check_style(style)
+    label = F.lit(label) if isinstance(label, str) else label
+    row = F.struct(text.alias("text"), F.coalesce(label, F.lit("")).alias("label"))
+    return let(row, lambda r: let(field_findings(detector, r["text"], r["label"]), lambda found: settle_field(
+        detector, r["text"], r["label"], found, style, strict)))
 
 
 # --- tables -------------------------------------------------------------------------------
@@ -128,15 +139,22 @@ def mask_headers(spark: SparkSession, detector: Detector, names: Sequence[str],
 
 def mask_columns(table: DataFrame, detector: Detector, style: str = "tag", strict: bool = False, headers: bool = True) -> DataFrame:
     """All columns (as text) masked in the context of their names; names too with ``headers``."""
+    check_style(style)
     bank = _row_bank(table.columns)
-    out = []
-    for name in table.columns:
-        label: Column | str = label_of(name)
-        if label == "계좌번호" and bank is not None:
+    names, cells, found, out = list(table.columns), [], [], []
+    for i, name in enumerate(names):
+        label = F.lit(label_of(name))
+        if label_of(name) == "계좌번호" and bank is not None:
             label = F.when(bank != "", F.concat(bank, F.lit(" 계좌번호"))).otherwise("계좌번호")
-        out.append(mask_field(detector, F.col(f"`{name}`").cast("string"), label, style, strict).alias(name))
-    masked = table.select(*out)
-    return masked.toDF(*mask_headers(table.sparkSession, detector, table.columns, style)) if headers else masked
+        cells += [F.col(f"`{name}`").cast("string").alias(f"t{i}"), label.alias(f"l{i}")]
+        text, label = F.col(f"t{i}"), F.col(f"l{i}")
+        spans = field_findings(detector, text, label)
+        if strict:  # what is masked anyway needs no detection
+            spans = F.when(_forced(detector, text, label), none_of(FINDING)).otherwise(spans)
+        found += [text, label, spans.alias(f"f{i}")]
+        out.append(settle_field(detector, text, label, F.col(f"f{i}"), style, strict).alias(name))
+    masked = table.select(*cells).select(*found).select(*out)
+    return masked.toDF(*mask_headers(table.sparkSession, detector, names, style)) if headers else masked
 
 
 # --- JSON ---------------------------------------------------------------------------------
@@ -208,25 +226,34 @@ def _rebuilt(document: str, masked: Sequence[str], inherit: bool) -> str:
     return json.dumps(walk(parse(document), lambda text, label: next(values), inherit), ensure_ascii=False)
 
 
-def leaves(document: Column, inherit: bool = False) -> Column:
-    """array<struct<text,label>> of a JSON document: keys, strings and integers in order."""
-    ship(SparkSession.active())
+def with_leaves(rows: DataFrame, column: str, inherit: bool = False, into: str = "__leaves") -> DataFrame:
+    """Rows with array<struct<text,label>> of a JSON document column: keys, strings and integers in order."""
+    ship(rows.sparkSession)
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T._parse_datatype_string(f"array<{LEAF}>"))])
+    kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string())]))
 
-    @F.pandas_udf(f"array<{LEAF}>")
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else _leaves(d, inherit) for d in column])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            documents = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            found = pa.array([None if d is None else _leaves(d, inherit) for d in documents], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
-    return run(document)
+    return rows.mapInArrow(run, schema)
 
 
-def rebuild(document: Column, masked: Column, inherit: bool = False) -> Column:
-    ship(SparkSession.active())
+def rebuilt(rows: DataFrame, column: str, masked: str, into: str, inherit: bool = False) -> DataFrame:
+    """Rows with the document put together again from its masked leaves; both helper columns go."""
+    ship(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name != into and not f.name.startswith("__")]
+    schema = T.StructType([*kept, T.StructField(into, T.StringType())])
 
-    @F.pandas_udf("string")
-    def run(column: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else _rebuilt(d, m, inherit) for d, m in zip(column, values)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            out = [None if d is None else _rebuilt(d, m, inherit) for d, m in zip(get(column).to_pylist(), get(masked).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(get(f.name) for f in kept), pa.array(out, pa.string())], names=[*(f.name for f in kept), into])
 
-    return run(document, masked)
+    return rows.mapInArrow(run, schema)
 
 
 def mask_json(rows: DataFrame, column: str, detector: Detector, style: str = "tag", strict: bool = False, into: str | None = None) -> DataFrame:
@@ -235,9 +262,15 @@ def mask_json(rows: DataFrame, column: str, detector: Detector, style: str = "ta
     if not isinstance(strict, bool):
         raise TypeError("strict must be a bool")
     into = into or column
-    taken = rows.withColumn("__leaves", leaves(F.col(column), strict))
-    masked = taken.withColumn("__masked", F.transform("__leaves", lambda x: mask_field(detector, x["text"], x["label"], style, strict)))
-    return masked.withColumn(into, rebuild(F.col(column), F.col("__masked"), strict)).drop("__leaves", "__masked")
+    def spans(x: Column) -> Column:
+        seen = field_findings(detector, x["text"], x["label"])
+        return F.when(_forced(detector, x["text"], x["label"]), none_of(FINDING)).otherwise(seen) if strict else seen
+
+    taken = with_leaves(rows, column, strict).withColumn("__found", F.transform("__leaves", spans))
+    masked = taken.withColumn("__masked", F.zip_with("__leaves", "__found", lambda x, found: settle_field(
+        detector, x["text"], x["label"], found, style, strict)))
+    names = list(dict.fromkeys([*rows.columns, into]))
+    return rebuilt(masked.drop("__leaves", "__found"), column, "__masked", into, strict).select(*names)
 
 
 def leaf_table(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -256,7 +289,7 @@ def leaf_table(rows: DataFrame, key: str, column: str) -> DataFrame:
 def paired_leaves(original: DataFrame, masked: DataFrame, key: str, column: str) -> DataFrame:
     """Leaves of a document before and after, joined by their ordinal, as masking may change keys (JOI14)."""
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.posexplode(leaves(F.col(column))).alias("n", "leaf")).select(key, "n", F.col("leaf.text").alias(name))
+        return with_leaves(df.select(key, column), column).select(key, F.posexplode("__leaves").alias("n", "leaf")).select(key, "n", F.col("leaf.text").alias(name))
 
     return numbered(original, "before").join(numbered(masked, "after"), [key, "n"], "full")
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 SPAN_CASE = "id string, text string, entities array<struct<type:string,start:int,end:int,surface:string>>, ignore array<struct<start:int,end:int,surface:string>>, negative_spans array<struct<start:int,end:int,surface:string>>"
 PATH_CASE = "id string, record string, targets array<struct<path:array<string>,type:string,surface:string>>, ignore_paths array<array<string>>, negative_paths array<array<string>>"
 TAG_CASE = "sent_idx string, sentence string, sent_seq array<string>, labelling_seq array<string>, PII_set array<struct<begin:int,end:int,label:string,form:string>>"
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -29,9 +29,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and number (from 1). Numbering sorts within a file by Spark's own row order."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    ordered = Window.partitionBy("file").orderBy("at")
+    """Lines with their file and number from 1: blocks of a file in order, and rows in a block."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().alias("at"))
+    ordered = Window.partitionBy("file").orderBy("block", "at")
     return rows.select("file", F.row_number().over(ordered).alias("line_no"), "line")
 
 
