@@ -84,4 +84,4 @@ def with_model(rows: DataFrame, column: str, detector: Detector, factory: str |
 
     view = normalize(F.col(column)) if detector.normalize else F.col(column)
     given = rows.withColumn("__view", view).withColumn("__model", model_spans(F.col("__view"), factory))
-    return given.withColumn(into, detector.findings(F.col(column), F.col("__model"))).drop("__view", "__model")
+    return detector.findings_with(given, column, "__model", into).drop("__view", "__model")
