@@ -60,7 +60,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     else:
         rows = (files.read_jsonl if args.format == "jsonl" else files.read_json)(spark, args.input)
         masked = structured.mask_json(rows, "document", detector, args.style, args.strict_fields)
-        files.write_documents(masked.orderBy("file", "line_no") if args.format == "jsonl" else masked, "document", args.output)
+        files.write_documents(masked.orderBy("file", "block", "at") if args.format == "jsonl" else masked, "document", args.output)
     return 0
 
 

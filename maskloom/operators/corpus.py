@@ -34,13 +34,27 @@ def rank_in_stratum(rows: DataFrame, strata: Iterable[str], key: str, rank: int
 
 
 def fraction_split(rows: DataFrame, source: str, key: str, fraction: float, salt: str = "") -> DataFrame:
-    """``split``: the first int(n * fraction) rows of each source by salted hash are validation (SEL5)."""
+    """``split``: the first int(n * fraction) rows of each source by salted hash are validation (SEL5).
+
+    Counts by hash prefix tell which prefix holds a source's last validation row, so only
+    the rows of that one prefix are ranked: a source with a third of all rows is never
+    sorted in one task. A null source is a source of its own.
+    """
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
-    ordered = Window.partitionBy(source).orderBy(hash_rank(F.col(key), salt), key)
-    sizes = rows.groupBy(source).agg(F.floor(F.count("*") * F.lit(fraction)).alias("__k"))
-    ranked = rows.withColumn("__n", F.row_number().over(ordered)).join(sizes, source)
-    return ranked.withColumn("split", F.when(F.col("__n") <= F.col("__k"), "validation").otherwise("train")).drop("__n", "__k")
+    hashed = rows.withColumn("__h", hash_rank(F.col(key), salt)).withColumn("__p", F.substring("__h", 1, 3))
+    counts = hashed.groupBy(F.col(source).alias("__s"), "__p").agg(F.count("*").alias("__c"))
+    ordered = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = counts.withColumn("__to", F.sum("__c").over(ordered)).withColumn(
+        "__k", F.floor(F.sum("__c").over(Window.partitionBy("__s")) * F.lit(fraction)))
+    edge = reach.where(F.col("__to") > F.col("__k")).groupBy("__s").agg(
+        F.min(F.struct("__p", (F.col("__k") - F.col("__to") + F.col("__c")).alias("left"))).alias("__e"))
+    marked = hashed.join(edge, F.col(source).eqNullSafe(F.col("__s")))
+    inside = marked.where(F.col("__p") == F.col("__e.__p")).withColumn(
+        "__n", F.row_number().over(Window.partitionBy(source, "__p").orderBy("__h", key)))
+    named = lambda df, ok: df.select(*rows.columns, F.when(ok, "validation").otherwise("train").alias("split"))
+    return named(inside, F.col("__n") <= F.col("__e.left")).unionByName(
+        named(marked.where(F.col("__p") != F.col("__e.__p")), F.col("__p") < F.col("__e.__p")))
 
 
 def dedup_by_priority(rows: DataFrame, text: str, order: Iterable[Column | str], label: str | None = None) -> DataFrame:
@@ -68,12 +82,13 @@ def reserve_unique(reserve: DataFrame, consumed: DataFrame, text: str = "text")
     """
     h = texts.fingerprint(F.col(text), normalized=True)
     used = consumed.select(h.alias("h")).distinct().withColumn("used", F.lit(True))
-    rows = reserve.withColumn("h", h).join(used, "h", "left")
-    ordered = Window.partitionBy("h").orderBy("domain", "position")
-    first = F.first(F.struct("domain", "id")).over(ordered)
-    rank = F.row_number().over(ordered)
-    verdict = (F.when(F.col("used"), "consumed").when(rank > 1, "reserve_duplicate").otherwise("selected"))
-    return rows.withColumn("verdict", verdict).withColumn("duplicate_of", F.when(verdict == "reserve_duplicate", first)).drop("h", "used")
+    rows = reserve.withColumn("h", h)
+    firsts = rows.groupBy("h").agg(F.min(F.struct("domain", "position", "id")).alias("first"))  # combined before the shuffle
+    judged = rows.join(firsts, "h").join(used, "h", "left")
+    again = F.struct("domain", "position", "id") != F.col("first")
+    verdict = F.when(F.col("used"), "consumed").when(again, "reserve_duplicate").otherwise("selected")
+    return judged.withColumn("verdict", verdict).withColumn(
+        "duplicate_of", F.when(verdict == "reserve_duplicate", F.struct("first.domain", "first.id"))).drop("h", "used", "first")
 
 
 def contaminated(rows: DataFrame, held_out: DataFrame, text: str = "text", anti: bool = False) -> DataFrame:
