@@ -28,6 +28,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ ALPHA, RANK_OFFSET, SEED = 1.0, 50.0, 7
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _LITERAL = "\ud800"  # no text holds a lone surrogate: it stands for a literal space mark
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE, IDS_AT_ONCE = 750_000, 250_000
 BYTE_WEIGHT = 1e-6
 
 
@@ -119,13 +120,11 @@ class Sampler:
         self.weight = (np.array(v.ranks) + RANK_OFFSET) ** -alpha
         by_byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == 1}
         self.byte_ids = np.array([by_byte.get(b, 0) for b in range(256)], np.int32)
-        surface = [
-            bytes([int(p[3:5], 16)]) if k == 1 else p.replace(MARK, " ").encode("utf-8") if k == 0 else b""
-            for p, k in zip(v.pieces, v.kinds)
-        ]
-        self.surface = np.frombuffer(b"".join(surface), np.uint8)
-        self.lengths = np.fromiter(map(len, surface), np.int64, len(surface))
-        self.starts = np.cumsum(self.lengths) - self.lengths
+
+        self.vocab = v
+
+    def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
+        return Surface(self.vocab).decode(ids, per_text)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -168,7 +167,7 @@ class Sampler:
             live, depth, nth, node = live[ok], depth[ok], nth[ok], node[ok]
             found = self.trie.ends[node]
             hit = found >= 0
-            weight, piece = np.zeros(total), np.full(total, -2, np.int32)
+            weight, piece = np.zeros(total, np.float32), np.full(total, -2, np.int32)
             weight[live[hit]], piece[live[hit]] = self.weight[found[hit]], found[hit]
             weights.append(weight)
             pieces.append(piece)
@@ -179,7 +178,7 @@ class Sampler:
             depth, nth, node = depth[on], nth[on], node[on]
             live = off[depth] + nth
         if not weights:
-            weights, pieces = [np.zeros(total)], [np.full(total, -2, np.int32)]
+            weights, pieces = [np.zeros(total, np.float32)], [np.full(total, -2, np.int32)]
         bare = pieces[0] == -2
         weights[0][bare], pieces[0][bare] = BYTE_WEIGHT, -1
         used, forward = len(weights), np.ones(total)
@@ -198,7 +197,9 @@ class Sampler:
             if k % 8 == 0:  # only ratios matter: scale the prefixes that are still in reach
                 for back in range(min(k, self.longest) + 1):
                     forward[off[k - back] : off[k - back] + n] /= sums
-        return place, sizes, off, np.ascontiguousarray(running.T), np.stack(pieces, 1), code
+        del weights, forward, live, depth, nth, node  # the widest arrays: free them before the copies below
+        running = np.ascontiguousarray(running.T)
+        return place, sizes, off, running, np.stack(pieces, 1), code
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has. keys: uint64 by text."""
@@ -252,6 +253,19 @@ class Sampler:
         out[np.repeat(starts, repeat[bare]) + inside] = pool[np.repeat(at[which], repeat[bare]) + inside]
         return out, np.bincount(text_of, repeat, len(per_text)).astype(np.int64)
 
+
+class Surface:
+    """What pieces spell: all that decoding needs."""
+
+    def __init__(self, vocab: Vocabulary):
+        spelt = [
+            bytes([int(p[3:5], 16)]) if k == 1 else p.replace(MARK, " ").encode("utf-8") if k == 0 else b""
+            for p, k in zip(vocab.pieces, vocab.kinds)
+        ]
+        self.surface = np.frombuffer(b"".join(spelt), np.uint8)
+        self.lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
     def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
         """The texts that runs of ids spell; the space put before a text goes."""
         sizes = self.lengths[ids]
@@ -296,7 +310,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(shared, alpha)
         for whole in batches:
-            for batch in _slices(whole, text_col):
+            for batch in _slices(whole, pc.utf8_length(whole.column(text_col)).to_pylist(), CHARS_AT_ONCE):
                 texts = batch.column(text_col).to_pylist()
                 keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids, sizes = sampler.encode(texts, keys)
@@ -309,13 +323,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids_
     return keyed.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about CHARS_AT_ONCE characters, one row at least."""
-    sizes = np.cumsum([len(t) if t else 0 for t in batch.column(text_col).to_pylist()]) if batch.num_rows else []
+def _slices(batch: pa.RecordBatch, sizes: list[int | None], most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows' sizes add up to about ``most``, one row at least."""
+    total = np.cumsum([n or 0 for n in sizes])
     at = 0
     while at < batch.num_rows:
-        floor = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, floor + CHARS_AT_ONCE, side="right")))
+        floor = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, floor + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -327,12 +341,13 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
     encoded, schema = _with_column(encoded, text_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(shared, ALPHA)
-        for batch in batches:
-            lists = batch.column(ids_col)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
-            texts = [t if ok else None for t, ok in zip(sampler.decode(flat, sizes), lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+        surface = Surface(shared.value)
+        for whole in batches:
+            for batch in _slices(whole, whole.column(ids_col).value_lengths().to_pylist(), IDS_AT_ONCE):
+                lists = batch.column(ids_col)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+                texts = [t if ok else None for t, ok in zip(surface.decode(flat, sizes), lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
     return encoded.mapInArrow(run, schema)
