@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import any_word, before
+from maskloom.functions.kernel import any_word
 
 _PLAIN = rf"(?<![A-Za-z0-9]){any_word(V.ACCOUNT_WORDS)}"
 _PLACED = rf"(?<![\p{{L}}\p{{N}}]){any_word(V.ACCOUNT_AMBIGUOUS)}(?=(?:은행)?[\s\p{{Z}}:：=\[\]()]*\z)"
@@ -16,9 +16,9 @@ _LAST_WORD = rf"(?s)\A(.*)(?:{_PLAIN}|{_PLACED})"
 _LAST_BLOCKER = rf"(?s)\A(.*){any_word(V.ACCOUNT_BLOCKERS)}"
 
 
-def clause(text: Column, start: Column, window: int = V.WINDOW) -> Column:
-    """What stands before ``start`` in its clause, at most ``window`` characters back."""
-    return F.regexp_extract(before(text, start, window), rf"[^{V.CLAUSE_END}]*\z", 0)
+def clause(ahead: Column) -> Column:
+    """Of the text before a candidate, at most ``WINDOW`` characters, what stands in its clause."""
+    return F.regexp_extract(ahead, rf"[^{V.CLAUSE_END}]*\z", 0)
 
 
 def has_word(prefix: Column, entity: str) -> Column:

@@ -18,9 +18,11 @@ def _placeholder(value: Column) -> Column:
     return compact.isin(*V.ROLE_PLACEHOLDERS) | compact.rlike(V.ROLE_ORGANIZATION)
 
 
-def _unlabelled(text: Column, label: Column) -> Column:
+def _unlabelled(view: Column, label: Column) -> Column:
     """A label without a delimiter that does not lead its line: a word in prose."""
-    line = F.trim(F.regexp_extract(piece(text, F.lit(0), label["s"]), r"[^\n]*\z", 0))
+    near = label["b"].rlike(r"[^\s\p{Z}*•>-][^\n]*\z")  # something else stands close before it in the line
+    ahead = F.when(near | label["b"].contains("\n"), label["b"]).otherwise(F.when(label["s"] == 0, "").otherwise(piece(view, F.lit(0), label["s"])))
+    line = F.trim(F.regexp_extract(ahead, r"[^\n]*\z", 0))
     return ~label["v"].rlike(_DELIMITED) & ~F.regexp_replace(line, r"\A[\s\p{Z}]+|[\s\p{Z}]+\z", "").isin(*V.LINE_LEADS)
 
 
@@ -31,7 +33,7 @@ def _trimmed(value: Column) -> Column:
     return F.when(short, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(bare)
 
 
-def _name_after(text: Column, label: Column) -> Column:
+def _name_after(view: Column, label: Column) -> Column:
     """The field's value as array of at most one span."""
 
     def judge(found: Column) -> Column:
@@ -57,19 +59,19 @@ def _name_after(text: Column, label: Column) -> Column:
         return let(value, lambda v: let(F.struct(
             v.alias("value"), _trimmed(v).alias("name"), F.substring(window, F.length(v) + 1, F.lit(1)).alias("after")), judge))
 
-    owned = before(text, label["s"], 15).rlike(V.NON_PERSON_OWNER)
-    return F.when(owned | _unlabelled(text, label), none_of(SPAN)).otherwise(
-        let(piece(text, label["e"], NAME_REACH), cut))
+    owned = F.substring(label["b"], F.lit(-15), F.lit(15)).rlike(V.NON_PERSON_OWNER)
+    return F.when(owned | _unlabelled(view, label), none_of(SPAN)).otherwise(
+        let(piece(view, label["e"], NAME_REACH), cut))
 
 
-def name_fields(text: Column) -> Column:
-    """Names in explicit fields."""
-    return F.flatten(F.transform(find(text, V.NAME_LABEL), lambda label: _name_after(text, label)))
+def name_fields(text: Column, view: Column) -> Column:
+    """Names in explicit fields. ``view`` is the text in pages."""
+    return F.flatten(F.transform(find(text, V.NAME_LABEL), lambda label: _name_after(view, label)))
 
 
-def _addresses(text: Column, pattern: str, score: float) -> Column:
+def _addresses(text: Column, view: Column, pattern: str, score: float) -> Column:
     def quantity(hit: Column) -> Column:
-        after = piece(text, hit["e"], 3)
+        after = piece(view, hit["e"], 3)
         return after.rlike(r"\A[가-힣]") & ~after.rlike(V.ADDRESS_PARTICLE)
 
     kept = F.filter(find(text, pattern, group=True), lambda hit: ~quantity(hit))
@@ -77,23 +79,24 @@ def _addresses(text: Column, pattern: str, score: float) -> Column:
         F.lit("KR_ADDRESS"), F.lit(V.PRIORITY["KR_ADDRESS"]), hit["e"] - F.length(hit["g"]), hit["e"], F.lit(score)))
 
 
-def addresses(text: Column) -> Column:
+def addresses(text: Column, view: Column) -> Column:
     """Addresses by grammar; where both patterns find the same span the labelled one stands."""
-    full, labelled = _addresses(text, V.ADDRESS_FULL, V.SCORE["address"]), _addresses(text, V.ADDRESS_LABELED, V.SCORE["address_labeled"])
+    full = _addresses(text, view, V.ADDRESS_FULL, V.SCORE["address"])
+    labelled = _addresses(text, view, V.ADDRESS_LABELED, V.SCORE["address_labeled"])
     same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
     return let(labelled, lambda second: F.concat(
         F.filter(full, lambda x: ~F.exists(second, lambda y: same(x, y))), second))
 
 
-def contextual_name(text: Column, s: Column, e: Column) -> Column:
+def contextual_name(view: Column, s: Column, e: Column) -> Column:
     """Whether nothing explicit speaks against a name that a model found at [s, e)."""
-    value = piece(text, s, e - s)
-    left = before(text, s, 40)
+    value = piece(view, s, e - s)
+    left = before(view, s, 40)
     shaped = value.rlike(r"\p{L}") & matches(value, r"[\p{L}\p{M} .·'’\-\t]+")
     owner = rf"{V.NON_PERSON_OWNER[:-2]}{V.NAME_LABEL.replace('(?<![가-힣A-Za-z0-9_])', '')}\z"
-    relation = piece(text, s, (e - s) + 24).rlike(V.NAMED_OBJECT) & (
-        F.length(F.regexp_extract(piece(text, s, (e - s) + 24), rf"(?s)\A(.*?)(?:{V.NAMED_OBJECT})", 1)) <= e - s)
+    relation = piece(view, s, (e - s) + 24).rlike(V.NAMED_OBJECT) & (
+        F.length(F.regexp_extract(piece(view, s, (e - s) + 24), rf"(?s)\A(.*?)(?:{V.NAMED_OBJECT})", 1)) <= e - s)
     return (
         shaped & ~F.lower(value).isin(*V.NOT_NAMES) & ~value.rlike(V.INSTRUCTION) & ~left.rlike(V.NON_PERSON_FIELD)
-        & ~before(text, s, 70).rlike(owner) & ~(_placeholder(value) & left.rlike(V.ROLE_FIELD)) & ~relation
+        & ~before(view, s, 70).rlike(owner) & ~(_placeholder(value) & left.rlike(V.ROLE_FIELD)) & ~relation
     )

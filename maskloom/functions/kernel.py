@@ -8,12 +8,13 @@ from functools import wraps
 
 from pyspark import SparkContext
 from pyspark.errors import utils as _origin
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import _to_seq
 from pyspark.sql.functions.builtin import _create_lambda
 
-HIT = "struct<s:int,e:int,v:string,g:string>"
+HIT = "struct<s:int,e:int,v:string,g:string,b:string>"
+REACH, PAGE, ROUNDS = 20, 1024, 500
 
 
 @contextmanager
@@ -27,11 +28,21 @@ def _plain_calls() -> Iterator[None]:
         _origin._enable_debugging_cache = before
 
 
+_ROUNDS = "spark.sql.analyzer.maxIterations"
+
+
 def built(function: Callable) -> Callable:
-    """Build a large expression without recording the call site of each of its parts."""
+    """Build a large expression without recording the call site of each of its parts.
+
+    The analyzer resolves one level of nested lambdas a round, so the session's bound on
+    rounds is raised where it is too low for the expression's depth.
+    """
 
     @wraps(function)
     def build(*args, **kwargs):
+        session = SparkSession.active()
+        if int(session.conf.get(_ROUNDS)) < ROUNDS:
+            session.conf.set(_ROUNDS, str(ROUNDS))
         with _plain_calls():
             return function(*args, **kwargs)
 
@@ -72,39 +83,64 @@ def any_word(words) -> str:
     return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+def running(values: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """For each value of array<int> the fold of those before it, and one more for all.
+
+    Only integers accumulate: an accumulated array of structs would be copied deeply at
+    every step.
+    """
+    return F.aggregate(values, F.array(F.lit(zero)), lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x))))
+
+
 def find(text: Column, pattern: str, group: bool = False) -> Column:
-    """All leftmost, disjoint, non-empty matches: array<struct<s,e,v,g>>.
+    """All leftmost, disjoint matches of two characters or more each: array<struct<s,e,v,g,b>>.
 
-    Offsets count code points and ends are exclusive; ``g`` is the pattern's one
-    capture group when ``group`` is set. Every match is taken with the gap before it
-    (``\\G`` ties it to the previous match, hence one pass over the text), and the
-    gaps' lengths add up to offsets. A text without a match costs one search.
+    Offsets count code points and ends are exclusive; ``g`` is the pattern's one capture
+    group when ``group`` is set, ``b`` the ``REACH`` characters before the match. Every
+    match is taken with the gap before it (``\\G`` ties it to the previous match, hence
+    one pass over the text), and the gaps' lengths add up to offsets. A text without a
+    match costs one search. (Shorter matches are found too; only their ``b`` may be short.)
     """
     flags = ""
     while pattern.startswith("(?i)"):
         flags, pattern = "(?i)", pattern[4:]
     tied = F.lit(rf"{flags}(?s)\G(.*?)({pattern})")
     part = lambda n: F.regexp_extract_all(text, tied, F.lit(n))
-    pieces = F.zip_with(part(1), part(2), lambda gap, v: F.struct(gap.alias("gap"), v.alias("v"), v.alias("g")))
-    if group:
-        pieces = F.zip_with(pieces, part(3), lambda p, g: F.struct(p["gap"].alias("gap"), p["v"].alias("v"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("at"), none_of(HIT).alias("hits"))
+    last = lambda value: F.substring(value, F.lit(-REACH), F.lit(REACH))
+    parts = F.struct(part(1).alias("gap"), part(2).alias("v"), *([part(3).alias("g")] if group else []))
+
+    def hits(p: Column, at: Column) -> Column:
+        def hit(gap: Column, i: Column) -> Column:
+            v, s = F.get(p["v"], i), F.get(at, i) + F.length(gap)
+            first = F.greatest(i - REACH // 2, F.lit(0))
+            near = F.zip_with(F.slice(p["gap"], first + 1, i - first), F.slice(p["v"], first + 1, i - first), lambda a, b: F.concat(a, b))
+            ahead = F.when((F.length(gap) >= REACH) | (i == 0), gap).otherwise(F.concat(F.array_join(near, ""), gap))
+            g = F.get(p["g"], i) if group else v
+            return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), g.alias("g"), last(ahead).alias("b"))
+
+        return F.transform(p["gap"], hit)
+
+    def located(p: Column) -> Column:
+        sizes = F.zip_with(p["gap"], p["v"], lambda a, b: F.length(a) + F.length(b))
+        return let(running(sizes, 0, lambda a, b: a + b), lambda at: hits(p, at))
+
+    return F.when(text.rlike(flags + pattern), let(parts, located)).otherwise(none_of(HIT))
 
-    def step(state: Column, piece: Column) -> Column:
-        s = state["at"] + F.length(piece["gap"])
-        e = s + F.length(piece["v"])
-        hit = F.struct(s.alias("s"), e.alias("e"), piece["v"].alias("v"), piece["g"].alias("g"))
-        return F.struct(e.alias("at"), F.concat(state["hits"], F.array(hit)).alias("hits"))
 
-    found = F.aggregate(pieces, start, step, lambda state: state["hits"])
-    return F.when(text.rlike(flags + pattern), found).otherwise(none_of(HIT))
+def pages(text: Column) -> Column:
+    """The text in parts of PAGE code points, so that reading at an offset need not walk from its start."""
+    return F.when(F.length(text) <= PAGE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0)))
 
 
-def piece(text: Column, start: Column, length: Column | int) -> Column:
-    """``length`` code points from the zero-based ``start``."""
-    return F.substring(text, start + 1, length if isinstance(length, Column) else F.lit(length))
+def piece(pages_: Column, start: Column, length: Column | int) -> Column:
+    """``length`` code points from the zero-based ``start`` of a text in pages; less at its end."""
+    length = length if isinstance(length, Column) else F.lit(length)
+    first = F.floor(start / PAGE).cast("int")
+    last = F.greatest(F.floor((start + length - 1) / PAGE).cast("int"), first)
+    joined = F.array_join(F.slice(pages_, first + 1, last - first + 1), "")
+    return F.substring(joined, start - first * PAGE + 1, length)
 
 
-def before(text: Column, start: Column, window: int) -> Column:
+def before(pages_: Column, start: Column, window: int) -> Column:
     """At most ``window`` code points that end at ``start``."""
-    return piece(text, F.greatest(start - window, F.lit(0)), F.least(start, F.lit(window)))
+    return piece(pages_, F.greatest(start - window, F.lit(0)), F.least(start, F.lit(window)))

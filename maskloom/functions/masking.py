@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import none_of, piece
+from maskloom.functions.kernel import let, none_of, pages, piece, running
 
 REDACTION = "struct<entity:string,start:int,end:int,score:double,output_start:int,output_end:int>"
 _ALNUM, _OTHER = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
@@ -43,29 +43,36 @@ def replacement(value: Column, entity: Column, style: str) -> Column:
 def splice(text: Column, findings: Column, style: str) -> Column:
     """The text with every finding (ordered, disjoint) replaced."""
 
-    def part(finding: Column, at: Column) -> Column:
+    def part(view: Column, finding: Column, at: Column) -> Column:
         since = F.when(at == 0, F.lit(0)).otherwise(F.get(findings, at - 1)["end"])
-        value = piece(text, finding["start"], finding["end"] - finding["start"])
-        return F.concat(piece(text, since, finding["start"] - since), replacement(value, finding["entity"], style))
+        value = piece(view, finding["start"], finding["end"] - finding["start"])
+        kept = F.when(finding["start"] > since, piece(view, since, finding["start"] - since)).otherwise("")
+        return F.concat(kept, replacement(value, finding["entity"], style))
 
-    end = F.get(findings, F.size(findings) - 1)["end"]
-    tail = F.substring(text, end + 1, F.length(text))
-    return F.when(F.size(findings) == 0, text).otherwise(F.concat(F.array_join(F.transform(findings, part), ""), tail))
+    def joined(view: Column) -> Column:
+        end = F.get(findings, F.size(findings) - 1)["end"]
+        rest = F.length(text) - end
+        tail = F.when(rest > 0, piece(view, end, rest)).otherwise("")
+        return F.concat(F.array_join(F.transform(findings, lambda f, i: part(view, f, i)), ""), tail)
+
+    return F.when(F.size(findings) == 0, text).otherwise(let(pages(text), joined))
 
 
 def redactions(text: Column, findings: Column, style: str) -> Column:
     """Source and output coordinates of each replacement, without its value."""
 
-    def step(state: Column, f: Column) -> Column:
-        value = piece(text, f["start"], f["end"] - f["start"])
-        size = F.length(replacement(value, f["entity"], style))
-        begin = f["start"] + state["shift"]
-        row = F.struct(
+    def grown(view: Column) -> Column:
+        return F.transform(findings, lambda f: F.length(replacement(piece(view, f["start"], f["end"] - f["start"]), f["entity"], style)))
+
+    def row(f: Column, size: Column, shift: Column) -> Column:
+        begin = f["start"] + shift
+        return F.struct(
             f["entity"].alias("entity"), f["start"].alias("start"), f["end"].alias("end"), f["score"].alias("score"),
             begin.alias("output_start"), (begin + size).alias("output_end"))
-        return F.struct(
-            (state["shift"] + size - (f["end"] - f["start"])).alias("shift"),
-            F.concat(state["out"], F.array(row)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("shift"), none_of(REDACTION).alias("out"))
-    return F.aggregate(findings, start, step, lambda state: state["out"])
+    def placed(sizes: Column) -> Column:
+        change = F.zip_with(findings, sizes, lambda f, n: n - (f["end"] - f["start"]))
+        return let(running(change, 0, lambda a, b: a + b), lambda shift: F.transform(
+            findings, lambda f, i: row(f, F.get(sizes, i), F.get(shift, i))))
+
+    return F.when(F.size(findings) == 0, none_of(REDACTION)).otherwise(let(let(pages(text), grown), placed))

@@ -6,18 +6,21 @@ Touching spans do not overlap (JOI1-2, SEL1). The long-form joins are in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskloom.functions.kernel import none_of
+from maskloom.functions.kernel import let, none_of, running
 
-SPAN = "struct<entity:string,rank:int,s:int,e:int,score:double>"
+SPAN = "struct<s:int,e:int,entity:string,rank:int,score:double,proof:boolean>"
 
 
-def span(entity: Column, rank: Column, start: Column, end: Column, score: Column) -> Column:
+def span(entity: Column, rank: Column, start: Column, end: Column, score: Column, proof: Column | None = None) -> Column:
+    """A span; its order as a struct is that of starts. ``proof`` marks an account with evidence against a card."""
     return F.struct(
-        entity.alias("entity"), rank.cast("int").alias("rank"), start.alias("s"), end.alias("e"),
-        score.cast("double").alias("score"))
+        start.cast("int").alias("s"), end.cast("int").alias("e"), entity.alias("entity"), rank.cast("int").alias("rank"),
+        score.cast("double").alias("score"), (F.lit(False) if proof is None else F.coalesce(proof, F.lit(False))).alias("proof"))
 
 
 def touches(a: Column, b: Column) -> Column:
@@ -49,50 +52,46 @@ def drop_contained(items: Column) -> Column:
     def keep(all_: Column) -> Column:
         return F.filter(all_, lambda x: ~F.exists(all_, lambda y: beats(y, x)))
 
-    return F.transform(F.array(F.array_distinct(live)), keep)[0]
-
-
-def _ordered(items: Column) -> Column:
-    """Best first: score down, entity rank, start, end, then input order."""
-    keyed = F.transform(items, lambda x, i: F.struct(
-        (-x["score"]).alias("k"), x["rank"].alias("r"), x["s"].alias("a"), x["e"].alias("b"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+    return let(F.array_distinct(live), keep)
 
 
 def _greedy(items: Column) -> Column:
+    """Best first: score down, entity rank, start, end; each kept if disjoint from all kept."""
+    keyed = F.transform(items, lambda x: F.struct(
+        (-x["score"]).alias("k"), x["rank"].alias("r"), x["s"].alias("a"), x["e"].alias("b"), x.alias("x")))
     return F.aggregate(
-        _ordered(items), none_of(SPAN),
-        lambda kept, x: F.when(overlaps_any(x, kept), kept).otherwise(F.concat(kept, F.array(x))))
+        F.array_sort(keyed), none_of(SPAN),
+        lambda kept, k: F.when(overlaps_any(k["x"], kept), kept).otherwise(F.concat(kept, F.array(k["x"]))))
 
 
-def select_greedy(items: Column) -> Column:
-    """The best disjoint spans, taken greedily; ordered by start.
+def by_cluster(items: Column, resolve: Callable[[Column], Column]) -> Column:
+    """``resolve`` applied to each cluster of spans that chain by overlap; results in order of clusters.
 
-    Spans are ordered by start first and resolved cluster by cluster (a cluster's
-    spans chain by overlap), so that documents with many findings stay linear apart
-    from the clusters themselves.
+    Spans of different clusters never overlap, so what depends on overlaps can be
+    decided cluster by cluster, and a document with many findings costs their number.
     """
-    by_start = F.array_sort(F.transform(items, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x.alias("x"))))
-    state = F.struct(none_of(SPAN).alias("done"), none_of(SPAN).alias("open"), F.lit(-1).alias("end"))
+    def split(view: Column) -> Column:
+        x, first = view["x"], view["first"]
+
+        def cluster(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(first, k + 1), F.size(x))
+            return let(F.slice(x, start + 1, end - start), resolve)
 
-    def settle(state: Column) -> Column:
-        return F.when(F.size(state["open"]) < 2, F.concat(state["done"], state["open"])).otherwise(
-            F.concat(state["done"], _by_start(_greedy(state["open"]))))
+        return F.flatten(F.transform(first, cluster))
 
-    def step(state: Column, item: Column) -> Column:
-        x = item["x"]
-        fresh = F.struct(settle(state).alias("done"), F.array(x).alias("open"), x["e"].alias("end"))
-        joined = F.struct(
-            state["done"].alias("done"), F.concat(state["open"], F.array(x)).alias("open"),
-            F.greatest(state["end"], x["e"]).alias("end"))
-        return F.when(x["s"] >= state["end"], fresh).otherwise(joined)
+    def bounded(x: Column) -> Column:
+        reach = running(F.transform(x, lambda y: y["e"]), -1, lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: let(F.struct(x.alias("x"), F.filter(
+            F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["s"] >= F.get(r, i)).alias("first")), split))
 
-    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(by_start, state, step, settle))
+    return F.when(F.size(items) == 0, items).otherwise(let(F.array_sort(items), bounded))
 
 
-def _by_start(items: Column) -> Column:
-    keyed = F.transform(items, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+def greedy(items: Column) -> Column:
+    """The best disjoint spans of one cluster, by start."""
+    return F.when(F.size(items) < 2, items).otherwise(F.array_sort(_greedy(items)))
 
 
-by_start = _by_start
+def select_greedy(items: Column) -> Column:
+    """The best disjoint spans, taken greedily; ordered by start."""
+    return F.when(F.size(items) < 2, items).otherwise(by_cluster(items, greedy))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import find, none_of
+from maskloom.functions.kernel import find, let, none_of, running
 
 CUT = "struct<at:int,n:int>"
 _NEIGHBOUR = r"[A-Za-z0-9@._+\-]"
@@ -42,14 +42,11 @@ def squeeze(folded: Column) -> Column:
 
 def cuts(folded: Column) -> Column:
     """Removed runs as array<struct<at,n>>: the position in the squeezed text, and the length."""
-    hits = find(folded, _RUN)
+    def placed(hits: Column) -> Column:
+        gone = running(F.transform(hits, lambda h: h["e"] - h["s"]), 0, lambda a, b: a + b)
+        return let(gone, lambda g: F.transform(hits, lambda h, i: F.struct((h["s"] - F.get(g, i)).alias("at"), (h["e"] - h["s"]).alias("n"))))
 
-    def step(state: Column, hit: Column) -> Column:
-        n = hit["e"] - hit["s"]
-        cut = F.struct((hit["s"] - state["gone"]).alias("at"), n.alias("n"))
-        return F.struct((state["gone"] + n).alias("gone"), F.concat(state["out"], F.array(cut)).alias("out"))
-
-    return F.aggregate(hits, F.struct(F.lit(0).alias("gone"), none_of(CUT).alias("out")), step, lambda s: s["out"])
+    return let(find(folded, _RUN), lambda hits: F.when(F.size(hits) == 0, none_of(CUT)).otherwise(placed(hits)))
 
 
 def original(position: Column, removed: Column) -> Column:

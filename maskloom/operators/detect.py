@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks, context, fields, masking, spans
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import built, find, let, matches, none_of, piece, stored
+from maskloom.functions.kernel import built, find, let, matches, none_of, pages, piece, stored
 from maskloom.functions.text import CUT, cuts, fold, original, squeeze
 
 FINDING = "struct<entity:string,start:int,end:int,score:double,text:string>"
 MODEL_SPAN = "struct<entity:string,start:int,end:int,score:double>"
 
 
-def _candidate(entity: str, hit: Column, score: Column | float) -> Column:
+def _candidate(entity: str, hit: Column, score: Column | float, proof: Column | None = None) -> Column:
     score = score if isinstance(score, Column) else F.lit(score)
-    return spans.span(F.lit(entity), F.lit(V.PRIORITY[entity]), hit["s"], hit["e"], score)
+    return spans.span(F.lit(entity), F.lit(V.PRIORITY[entity]), hit["s"], hit["e"], score, proof)
 
 
 def _some(condition: Column, candidate: Column) -> Column:
@@ -65,7 +65,7 @@ class Detector:
         wanted = set(self.entities) & set(V.STRUCTURED)
         return frozenset(V.STRUCTURED if "KR_ACCOUNT" in wanted else wanted)
 
-    def _token_candidates(self, text: Column, hit: Column) -> Column:
+    def _token_candidates(self, hit: Column) -> Column:
         """All readings of one stand-alone number of digits and hyphens, scores final."""
         value = hit["v"]
 
@@ -96,7 +96,7 @@ class Detector:
                 out.append(self._account(hit, number, prefix))
             return F.concat(*out)
 
-        return let(F.struct(checks.digits(value).alias("number"), context.clause(text, hit["s"]).alias("prefix")), read)
+        return let(F.struct(checks.digits(value).alias("number"), context.clause(hit["b"]).alias("prefix")), read)
 
     def _account(self, hit: Column, number: Column, prefix: Column) -> Column:
         value = hit["v"]
@@ -107,7 +107,9 @@ class Detector:
             score = context.boosted(F.when(bare, V.SCORE["account_bare"]).otherwise(V.SCORE["account"]), ctx["has"])
             counted = F.length(number).between(10, 14)
             passed = ~ctx["blocked"] & counted & (three | ((bare | four) & ctx["has"])) & ~matches(value, V.ISO_DATE)
-            return _some(passed, _candidate("KR_ACCOUNT", hit, score))
+            evident = (  # a documented layout of the bank that the clause names for an account
+                ctx["has"] & (score >= float(self.threshold)) & prefix.contains("계좌") & (context.nearest_bank(prefix) == checks.account_bank(value)))
+            return _some(passed, _candidate("KR_ACCOUNT", hit, score, evident))
 
         return F.when(bare | three | four, let(context.account_context(prefix), gate)).otherwise(none_of(spans.SPAN))
 
@@ -115,20 +117,20 @@ class Detector:
         """Candidates of all scans, each with its context and gates applied."""
         out = []
         if self._scanned - {"KR_PASSPORT", "PHONE_NUMBER", "EMAIL_ADDRESS"}:
-            out.append(F.flatten(F.transform(find(text, V.DIGIT_TOKEN), lambda hit: self._token_candidates(text, hit))))
+            out.append(F.flatten(F.transform(find(text, V.DIGIT_TOKEN), self._token_candidates)))
         if "PHONE_NUMBER" in self._scanned:
-            out.append(F.transform(find(text, V.PHONE), lambda hit: self._phone(text, hit)))
+            out.append(F.transform(find(text, V.PHONE), self._phone))
         if "CREDIT_CARD" in self._scanned:
             right = F.filter(find(text, V.CARD_SPACED), lambda hit: checks.luhn(checks.digits(hit["v"])))
             out.append(F.transform(right, lambda hit: _candidate("CREDIT_CARD", hit, V.SCORE["certain"])))
         if "KR_PASSPORT" in self._scanned:
-            out.append(F.transform(find(text, V.PASSPORT), lambda hit: self._passport(text, hit)))
+            out.append(F.transform(find(text, V.PASSPORT), self._passport))
         if "EMAIL_ADDRESS" in self._scanned:
             out.append(self._emails(text))
         return F.when(text.rlike(r"[0-9]{2}|@"), F.concat(*out)).otherwise(none_of(spans.SPAN))
 
     @staticmethod
-    def _phone(text: Column, hit: Column) -> Column:
+    def _phone(hit: Column) -> Column:
         value = hit["v"]
         base = F.when(matches(value, V.MOBILE), V.SCORE["mobile"]).otherwise(V.SCORE["phone"])
         foreign = matches(value, "[1-9][0-9]*")  # +82 without its plus sign
@@ -137,12 +139,12 @@ class Detector:
             plain = F.when(foreign, F.least(base, F.lit(V.UNDELIMITED))).otherwise(base)
             return _candidate("PHONE_NUMBER", hit, F.when(word, context.boosted(base, word)).otherwise(plain))
 
-        return let(context.has_word(context.clause(text, hit["s"]), "PHONE_NUMBER"), judge)
+        return let(context.has_word(context.clause(hit["b"]), "PHONE_NUMBER"), judge)
 
     @staticmethod
-    def _passport(text: Column, hit: Column) -> Column:
+    def _passport(hit: Column) -> Column:
         base = F.when(hit["v"].rlike("[A-Za-z]...[A-Za-z]"), V.SCORE["passport"]).otherwise(V.SCORE["passport_old"])
-        word = context.has_word(context.clause(text, hit["s"]), "KR_PASSPORT")
+        word = context.has_word(context.clause(hit["b"]), "KR_PASSPORT")
         return _candidate("KR_PASSPORT", hit, context.boosted(base, word))
 
     @staticmethod
@@ -158,37 +160,25 @@ class Detector:
     # --- conflicts -----------------------------------------------------------------------
 
     def _structured(self, text: Column) -> Column:
-        """Disjoint structured findings in the folded text."""
-        threshold = float(self.threshold)
+        """Disjoint structured findings in the folded text: evidence, veto, threshold and choice, cluster by cluster."""
         is_account = lambda x: x["entity"] == "KR_ACCOUNT"
 
-        def evident(x: Column) -> Column:
-            value = piece(text, x["s"], x["e"] - x["s"])
-            prefix = context.clause(text, x["s"])
-            return (
-                is_account(x) & (x["score"] >= threshold) & checks.account_bank(value).isNotNull() & prefix.contains("계좌")
-                & context.account_context(prefix)["has"] & context.nearest_bank(prefix).eqNullSafe(checks.account_bank(value)))
-
-        def veto(found: Column) -> Column:
-            guards = F.filter(found, lambda x: ~is_account(x) & (x["score"] >= V.PROTECT))
-            return let(guards, lambda g: F.filter(found, lambda x: ~is_account(x) | ~spans.overlaps_any(x, g)))
+        def choose(found: Column) -> Column:
+            def disproved(x: Column) -> Column:
+                same = lambda y: (x["s"] == y["s"]) & (x["e"] == y["e"]) & y["proof"]
+                return (x["entity"] == "CREDIT_CARD") & F.exists(found, same)
 
-        def override(found: Column) -> Column:
-            def drop(proof: Column) -> Column:
-                same = lambda x: F.exists(proof, lambda y: (x["s"] == y["s"]) & (x["e"] == y["e"]))
-                return F.when(F.size(proof) == 0, found).otherwise(
-                    F.filter(found, lambda x: (x["entity"] != "CREDIT_CARD") | ~same(x)))
+            def vetoed(x: Column) -> Column:
+                guard = lambda g: ~is_account(g) & (g["score"] >= V.PROTECT) & spans.touches(x, g) & ~disproved(g)
+                return is_account(x) & F.exists(found, guard)
 
-            return let(F.filter(found, evident), drop)
+            wanted = lambda x: x["entity"].isin(*self.entities) & (x["score"] >= float(self.threshold))
+            settled = lambda x: wanted(x) & ~disproved(x) & ~vetoed(x)
+            return let(F.filter(found, settled if "KR_ACCOUNT" in self.entities else wanted), spans.greedy)
 
-        def choose(found: Column) -> Column:
-            settled = let(override(found), veto) if "KR_ACCOUNT" in self.entities else found
-            wanted = F.filter(settled, lambda x: x["entity"].isin(*self.entities) & (x["score"] >= threshold))
-            return let(wanted, spans.select_greedy)
+        return let(self._candidates(text), lambda found: F.when(F.size(found) == 0, found).otherwise(spans.by_cluster(found, choose)))
 
-        return let(self._candidates(text), lambda found: F.when(F.size(found) == 0, found).otherwise(choose(found)))
-
-    def _model(self, text: Column, model: Column, rules: Column) -> Column:
+    def _model(self, text: Column, view: Column, model: Column, rules: Column) -> Column:
         """A model's spans after their contract, the rules' priority and the vetoes."""
         def bad(x: Column) -> Column:
             fits = (
@@ -204,15 +194,15 @@ class Detector:
             x["start"], x["end"], x["score"]))
         firm = F.filter(rules, lambda x: x["score"] >= float(self.threshold))
         admitted = lambda x: F.when(
-            x["entity"] == "KR_NAME", fields.contextual_name(text, x["s"], x["e"])
-        ).otherwise(piece(text, x["s"], x["e"] - x["s"]).rlike(r"\p{Nd}"))
+            x["entity"] == "KR_NAME", fields.contextual_name(view, x["s"], x["e"])
+        ).otherwise(piece(view, x["s"], x["e"] - x["s"]).rlike(r"\p{Nd}"))
         return let(firm, lambda f: F.filter(turned, lambda x: ~spans.overlaps_any(x, f) & admitted(x)))
 
-    def _extras(self, text: Column, structured: Column, model: Column | None) -> Column:
+    def _extras(self, text: Column, view: Column, structured: Column, model: Column | None) -> Column:
         """Names and addresses that leave the structured findings alone."""
         rules = F.concat(
-            fields.name_fields(text) if "KR_NAME" in self.entities else none_of(spans.SPAN),
-            fields.addresses(text) if "KR_ADDRESS" in self.entities else none_of(spans.SPAN))
+            fields.name_fields(text, view) if "KR_NAME" in self.entities else none_of(spans.SPAN),
+            fields.addresses(text, view) if "KR_ADDRESS" in self.entities else none_of(spans.SPAN))
         wanted = lambda x: x["entity"].isin(*self.entities) & (x["score"] >= float(self.threshold))
 
         def arbitrate(found: Column) -> Column:
@@ -224,37 +214,38 @@ class Detector:
             return let(spans.without_overlap(F.filter(found, wanted), structured), settle)
 
         proposals = rules if model is None else let(
-            rules, lambda r: F.concat(r, F.coalesce(self._model(text, model, r), none_of(spans.SPAN))))
+            rules, lambda r: F.concat(r, F.coalesce(self._model(text, view, model, r), none_of(spans.SPAN))))
         return let(proposals, lambda found: F.when(F.size(found) == 0, found).otherwise(arbitrate(found)))
 
-    def _spans(self, text: Column, model: Column | None) -> Column:
-        structured = self._structured(text) if self._scanned and set(self.entities) & set(V.STRUCTURED) else none_of(spans.SPAN)
+    def _spans(self, text: Column, view: Column, model: Column | None) -> Column:
+        wanted = self._scanned and set(self.entities) & set(V.STRUCTURED)
+        structured = self._structured(text) if wanted else none_of(spans.SPAN)
         if not set(self.entities) & set(V.OPTIONAL):
             return structured
-        return let(structured, lambda s: spans.by_start(F.concat(s, self._extras(text, s, model))))
+        return let(structured, lambda s: let(self._extras(text, view, s, model), lambda more: F.when(F.size(more) == 0, s).otherwise(
+            F.array_sort(F.concat(s, more)))))
 
     # --- results -------------------------------------------------------------------------
 
     def _report(self, text: Column, model: Column | None) -> Column:
-        def row(x: Column, removed: Column) -> Column:
+        def row(x: Column, removed: Column, own: Column) -> Column:
             s, e = original(x["s"], removed), original(x["e"] - 1, removed) + 1
             return F.struct(
                 x["entity"].alias("entity"), s.alias("start"), e.alias("end"), F.round(x["score"], 3).alias("score"),
-                piece(text, s, e - s).alias("text"))
+                piece(own, s, e - s).alias("text"))
 
         def analysed(view: Column) -> Column:
-            return let(self._spans(view["clean"], model), lambda found: F.transform(found, lambda x: row(x, view["removed"])))
+            found = let(pages(view["clean"]), lambda leaf: self._spans(view["clean"], leaf, model))
+            told = lambda f: let(pages(text), lambda own: F.transform(f, lambda x: row(x, view["removed"], own)))
+            return let(found, lambda f: F.when(F.size(f) == 0, none_of(FINDING)).otherwise(told(f)))
 
         def views(folded: Column) -> Column:
-            hidden = folded.rlike(f"[{V.INVISIBLE}]")
+            hidden = folded.rlike(f"[{V.INVISIBLE}]") if self.normalize else F.lit(False)
             return let(F.struct(
                 F.when(hidden, squeeze(folded)).otherwise(folded).alias("clean"),
                 F.when(hidden, cuts(folded)).otherwise(none_of(CUT)).alias("removed")), analysed)
 
-        if self.normalize:
-            found = let(fold(text), views)
-        else:
-            found = let(self._spans(text, model), lambda spans_: F.transform(spans_, lambda x: row(x, none_of(CUT))))
+        found = let(fold(text) if self.normalize else text, views)
         return F.when(text.isNull(), none_of(FINDING)).otherwise(found)
 
     @built
@@ -279,16 +270,17 @@ class Detector:
         given = rows.withColumn("__fold", F.coalesce(view, F.lit(""))).withColumn("__cuts", removed)
         clean = given.withColumn("__clean", squeeze(F.col("__fold")) if self.normalize else F.col("__fold"))
         wanted = self._scanned and set(self.entities) & set(V.STRUCTURED)
+        clean = clean.withColumn("__pages", pages(F.col("__clean"))).withColumn("__own", pages(F.coalesce(F.col(column), F.lit(""))))
         first = clean.withColumn("__first", self._structured(F.col("__clean")) if wanted else none_of(spans.SPAN))
-        more = first.withColumn("__more", self._extras(F.col("__clean"), F.col("__first"), F.col(model)))
+        more = first.withColumn("__more", self._extras(F.col("__clean"), F.col("__pages"), F.col("__first"), F.col(model)))
 
         def row(x: Column) -> Column:
             s, e = original(x["s"], F.col("__cuts")), original(x["e"] - 1, F.col("__cuts")) + 1
             return F.struct(x["entity"].alias("entity"), s.alias("start"), e.alias("end"), F.round(x["score"], 3).alias("score"),
-                            piece(F.col(column), s, e - s).alias("text"))
+                            piece(F.col("__own"), s, e - s).alias("text"))
 
-        out = more.withColumn("__all", spans.by_start(F.concat("__first", "__more"))).withColumn(into, F.transform("__all", row))
-        return out.drop("__fold", "__cuts", "__clean", "__first", "__more", "__all")
+        out = more.withColumn("__all", F.array_sort(F.concat("__first", "__more"))).withColumn(into, F.transform("__all", row))
+        return out.drop("__fold", "__cuts", "__clean", "__pages", "__own", "__first", "__more", "__all")
 
     @built
     def contains(self, text: Column, model: Column | None = None) -> Column:

@@ -98,7 +98,7 @@ def greedy_select(spans: DataFrame, priority: dict[str, int] | None = None) -> D
     rank = F.lit(99)
     for entity, at in (priority or V.PRIORITY).items():
         rank = F.when(F.col("entity") == entity, at).otherwise(rank)
-    item = kernel.span(F.col("entity"), rank, F.col("start").cast("int"), F.col("end").cast("int"), F.col("score"))
+    item = kernel.span(F.col("entity"), rank, F.col("start"), F.col("end"), F.col("score"))
     rows = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
     chosen = rows.select("doc_id", F.explode(let(F.col("all"), kernel.select_greedy)).alias("x"))
     return chosen.select("doc_id", "x.entity", F.col("x.s").alias("start"), F.col("x.e").alias("end"), "x.score")

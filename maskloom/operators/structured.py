@@ -109,6 +109,22 @@ def mask_field(detector: Detector, text: Column, label: Column | str, style: str
         detector, r["text"], r["label"], found, style, strict)))
 
 
+def _mask_leaves(rows: DataFrame, detector: Detector, style: str, strict: bool) -> DataFrame:
+    """Rows with ``__leaves`` array<struct<text,label>> and their masked values as ``__masked``.
+
+    One expression serves all leaves of a row, so the plan's size does not grow with the
+    number of columns; detection and settlement are two projections.
+    """
+
+    def spans(x: Column) -> Column:
+        seen = field_findings(detector, x["text"], x["label"])
+        return F.when(_forced(detector, x["text"], x["label"]), none_of(FINDING)).otherwise(seen) if strict else seen
+
+    found = rows.withColumn("__found", F.transform("__leaves", spans))
+    return found.withColumn("__masked", F.zip_with("__leaves", "__found", lambda x, f: settle_field(
+        detector, x["text"], x["label"], f, style, strict))).drop("__leaves", "__found")
+
+
 # --- tables -------------------------------------------------------------------------------
 
 
@@ -131,7 +147,8 @@ def mask_headers(spark: SparkSession, detector: Detector, names: Sequence[str],
     """Column names with findings replaced; two that become equal fail. One small driver-side row."""
     if not any(n for n in names):
         raise ValueError("CSV header is empty")
-    row = spark.range(1).select(*(mask_field(detector, F.lit(n), "", style).alias(f"c{i}") for i, n in enumerate(names))).first()
+    leaf = lambda n: F.struct(F.lit(n).alias("text"), F.lit("").alias("label"))
+    row = _mask_leaves(spark.range(1).select(F.array(*map(leaf, names)).alias("__leaves")), detector, style, False).first()["__masked"]
     if len(set(row)) != len(names):
         raise ValueError("Masking would create duplicate column names")
     return list(row)
@@ -141,19 +158,14 @@ def mask_columns(table: DataFrame, detector: Detector, style: str = "tag", stric
     """All columns (as text) masked in the context of their names; names too with ``headers``."""
     check_style(style)
     bank = _row_bank(table.columns)
-    names, cells, found, out = list(table.columns), [], [], []
-    for i, name in enumerate(names):
+    names, cells = list(table.columns), []
+    for name in names:
         label = F.lit(label_of(name))
         if label_of(name) == "계좌번호" and bank is not None:
             label = F.when(bank != "", F.concat(bank, F.lit(" 계좌번호"))).otherwise("계좌번호")
-        cells += [F.col(f"`{name}`").cast("string").alias(f"t{i}"), label.alias(f"l{i}")]
-        text, label = F.col(f"t{i}"), F.col(f"l{i}")
-        spans = field_findings(detector, text, label)
-        if strict:  # what is masked anyway needs no detection
-            spans = F.when(_forced(detector, text, label), none_of(FINDING)).otherwise(spans)
-        found += [text, label, spans.alias(f"f{i}")]
-        out.append(settle_field(detector, text, label, F.col(f"f{i}"), style, strict).alias(name))
-    masked = table.select(*cells).select(*found).select(*out)
+        cells.append(F.struct(F.col(f"`{name}`").cast("string").alias("text"), label.alias("label")))
+    masked = _mask_leaves(table.select(F.array(*cells).alias("__leaves")), detector, style, strict).select(
+        *(F.get("__masked", F.lit(i)).alias(name) for i, name in enumerate(names)))
     return masked.toDF(*mask_headers(table.sparkSession, detector, names, style)) if headers else masked
 
 
@@ -262,15 +274,9 @@ def mask_json(rows: DataFrame, column: str, detector: Detector, style: str = "ta
     if not isinstance(strict, bool):
         raise TypeError("strict must be a bool")
     into = into or column
-    def spans(x: Column) -> Column:
-        seen = field_findings(detector, x["text"], x["label"])
-        return F.when(_forced(detector, x["text"], x["label"]), none_of(FINDING)).otherwise(seen) if strict else seen
-
-    taken = with_leaves(rows, column, strict).withColumn("__found", F.transform("__leaves", spans))
-    masked = taken.withColumn("__masked", F.zip_with("__leaves", "__found", lambda x, found: settle_field(
-        detector, x["text"], x["label"], found, style, strict)))
+    masked = _mask_leaves(with_leaves(rows, column, strict), detector, style, strict)
     names = list(dict.fromkeys([*rows.columns, into]))
-    return rebuilt(masked.drop("__leaves", "__found"), column, "__masked", into, strict).select(*names)
+    return rebuilt(masked, column, "__masked", into, strict).select(*names)
 
 
 def leaf_table(rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -13,6 +13,7 @@ from maskloom.functions.kernel import find
 from maskloom.operators import structured
 from maskloom.operators.detect import Detector, all_entities
 from maskloom.plans import tables as B
+from maskloom.runtime import spread
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 TEXT = F.col("text")
@@ -167,7 +168,7 @@ QUERIES["normalize_invisible"] = (normalize_invisible, f"""
 
 def documents_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document masked, with the number of its findings by kind."""
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     found = docs.select("doc_id", "source", Detector().mask_with_details(TEXT).alias("m"))
     count = lambda e: F.size(F.filter("m.redactions", lambda r: r["entity"] == e)).cast("long")
     return found.select("doc_id", "source", F.col("m.text").alias("masked"), *(count(e).alias(f"n_{e.lower()}") for e in V.STRUCTURED))
@@ -178,7 +179,7 @@ QUERIES["documents_mask"] = (documents_mask, None)
 
 def _text_query(name: str, key: list[str], column: str) -> Callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return B.table(spark, sf_dir, name).select(*key, Detector().mask(F.col(column)).alias("masked"))
+        return spread(B.table(spark, sf_dir, name).select(*key, column)).select(*key, Detector().mask(F.col(column)).alias("masked"))
 
     return query
 

@@ -51,7 +51,7 @@ def _greedy(items):
 def test_span_kernels_against_brute_force(spark):
     rng = random.Random(5)
     cases = [_random_spans(rng, rng.randint(0, 25)) for _ in range(60)]
-    rows = spark.createDataFrame([(i, [(e, RANK[e], s, t, p) for e, s, t, p in c]) for i, c in enumerate(cases)], f"id int, x array<{spans.SPAN}>")
+    rows = spark.createDataFrame([(i, [(s, t, e, RANK[e], p, False) for e, s, t, p in c]) for i, c in enumerate(cases)], f"id int, x array<{spans.SPAN}>")
     got = rows.select("id", spans.select_greedy(F.col("x")).alias("g"), spans.drop_contained(F.col("x")).alias("d")).collect()
     for r in got:
         assert [(x.entity, x.s, x.e, x.score) for x in r.g] == _greedy(cases[r.id])
