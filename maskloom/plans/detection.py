@@ -16,7 +16,6 @@ from maskloom.plans import tables as B
 from maskloom.runtime import spread
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
-TEXT = F.col("text")
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str, steps) -> DataFrame:
@@ -101,7 +100,7 @@ def _masks(style: str, shown: str) -> tuple[Callable, str]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
-        return rows.select("c_custkey", Detector().mask(TEXT, style).alias("masked"))
+        return rows.select("c_custkey", Detector().mask(F.col("text"), style).alias("masked"))
 
     return query, f"SELECT c_custkey, '연락처 ' || {shown} || ' 확인' AS masked FROM customer"
 
@@ -115,7 +114,7 @@ def redaction_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two findings in a text; the second moves by what the first's tag added."""
     rows = B.table(spark, sf_dir, "customer").select(
         "c_custkey", F.expr(f"'메일 user' || cast(c_custkey as string) || '@example.com, 연락처 ' || {B.MOBILE}").alias("text"))
-    made = rows.select("c_custkey", F.explode(Detector().mask_with_details(TEXT)["redactions"]).alias("r"))
+    made = rows.select("c_custkey", F.explode(Detector().mask_with_details(F.col("text"))["redactions"]).alias("r"))
     return made.select("c_custkey", "r.entity", F.col("r.start").alias("s"), F.col("r.end").alias("e"), "r.output_start", "r.output_end")
 
 
@@ -131,7 +130,7 @@ def should_mask_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's policy keeps mobile numbers that end in an even digit."""
     rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'연락처 ' || {B.MOBILE}").alias("text"))
     policy = lambda f: F.substring(f["text"], -1, 1).cast("int") % 2 == 1
-    return rows.select("c_custkey", Detector().mask(TEXT, "tag", policy).alias("masked"), Detector().contains(TEXT).alias("found"))
+    return rows.select("c_custkey", Detector().mask(F.col("text"), "tag", policy).alias("masked"), Detector().contains(F.col("text")).alias("found"))
 
 
 QUERIES["should_mask_policy"] = (should_mask_policy, f"""
@@ -142,7 +141,7 @@ def normalize_fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-width mobile numbers fold to ASCII, and are found in place."""
     wide = F.translate(F.expr(B.MOBILE), "0123456789-", "０１２３４５６７８９－")
     rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("연락처："), wide).alias("text"))
-    return rows.select("c_custkey", texts.normalize(TEXT).alias("normalized"), Detector().mask(TEXT, "stars").alias("masked"))
+    return rows.select("c_custkey", texts.normalize(F.col("text")).alias("normalized"), Detector().mask(F.col("text"), "stars").alias("masked"))
 
 
 QUERIES["normalize_fullwidth"] = (normalize_fullwidth, f"""
@@ -153,8 +152,8 @@ def normalize_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invisible runs go inside identifiers and stay elsewhere; positions point into the original."""
     text = f"'값\u200b ' || substr({B.MOBILE}, 1, 5) || '\u200b\u200b' || substr({B.MOBILE}, 6)"
     rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
-    return rows.select("c_custkey", texts.normalize(TEXT).alias("normalized"), F.get(texts.positions(TEXT), F.lit(8)).alias("ninth"),
-                       texts.fingerprint(TEXT).alias("exact"), texts.fingerprint(TEXT, True).alias("folded"))
+    return rows.select("c_custkey", texts.normalize(F.col("text")).alias("normalized"), F.get(texts.positions(F.col("text")), F.lit(8)).alias("ninth"),
+                       texts.fingerprint(F.col("text")).alias("exact"), texts.fingerprint(F.col("text"), True).alias("folded"))
 
 
 QUERIES["normalize_invisible"] = (normalize_invisible, f"""
@@ -169,7 +168,7 @@ QUERIES["normalize_invisible"] = (normalize_invisible, f"""
 def documents_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document masked, with the number of its findings by kind."""
     docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    found = docs.select("doc_id", "source", Detector().mask_with_details(TEXT).alias("m"))
+    found = docs.select("doc_id", "source", Detector().mask_with_details(F.col("text")).alias("m"))
     count = lambda e: F.size(F.filter("m.redactions", lambda r: r["entity"] == e)).cast("long")
     return found.select("doc_id", "source", F.col("m.text").alias("masked"), *(count(e).alias(f"n_{e.lower()}") for e in V.STRUCTURED))
 
@@ -191,7 +190,7 @@ _PLAIN_EMAIL = "[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}"
 
 def email_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents")
-    n = F.size(find(F.coalesce(TEXT, F.lit("")), _PLAIN_EMAIL))
+    n = F.size(find(F.coalesce(F.col("text"), F.lit("")), _PLAIN_EMAIL))
     return docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum(n).alias("emails"), F.count_if(n > 0).alias("with_email"))
 
 
@@ -202,7 +201,7 @@ QUERIES["email_count_by_source"] = (email_count_by_source, f"""
 
 def scan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The find-all kernel on documents: the first digit run of four or more, with code-point offsets."""
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", find(TEXT, "[0-9]{4,}").alias("hits"))
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", find(F.col("text"), "[0-9]{4,}").alias("hits"))
     first = F.get("hits", F.lit(0))
     return docs.where(F.size("hits") > 0).select("doc_id", F.size("hits").cast("long").alias("n"), first["s"].cast("long").alias("s"), first["v"].alias("value"))
 
@@ -213,7 +212,7 @@ QUERIES["scan_offsets"] = (scan_offsets, """
 
 
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.table(spark, sf_dir, "documents").select("doc_id", texts.fingerprint(TEXT).alias("text_sha256"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", texts.fingerprint(F.col("text")).alias("text_sha256"))
 
 
 QUERIES["text_fingerprints"] = (text_fingerprints, "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
