@@ -5,13 +5,16 @@ an information-theoretic step looks for terms that reveal a protected value: wit
 document counts over the whole corpus, a value e has information content
 IC(e) = log2(N / df(e)), and a term t of its documents discloses
 PMI(e, t) = log2(N * co(e, t) / (df(e) * df(t))). A term that discloses at least
-``disclosure`` of IC(e), in ``min_texts`` different texts that hold e, gets a span in
-every document with e; sanitising removes it, while base spans are generalised to
-their kind. Values in fewer different texts have no co-occurrence to estimate from.
+``disclosure`` of IC(e) gets a span in every document with e; sanitising removes it,
+while base spans are generalised to their kind. Every value is estimated, by the
+counts as they are: of a value in a single text, the terms found (almost) nowhere else
+point to that text and so to the value. ``min_texts`` above 1 leaves out values, and
+terms of a value, seen in fewer different texts.
 
 Exact copies of a text are joined before terms are paired with values and count
-with their number. Groups are combined map-side; what is gathered for one text is
-bounded by that text.
+with their number. All values that stand in one text only have equal counts with its
+terms and are estimated as one. Groups are combined map-side; what is gathered for
+one text is bounded by that text.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends
 exclusive; kinds are searched apart, so spans of different kinds may overlap (when
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from maskloom.runtime import cut
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, MIN_TEXTS = 0.95, 3
+DISCLOSURE, MIN_TEXTS = 0.95, 1
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: The patterns of the docstring of ``base_spans``, with guards that change no match but keep
 #: the search linear: a match can only begin where a run begins, or where the last match ended.
@@ -102,31 +105,41 @@ def _identity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
+def _any_of(terms: Column) -> Column:
+    """A pattern of terms grouped by their first two characters, so that a word of the text is not tried against all."""
+    heads = F.array_distinct(F.transform(terms, lambda t: F.substring(t, 1, 2)))
+    tails = lambda h: F.transform(F.filter(terms, lambda t: F.substring(t, 1, 2) == h), lambda t: F.substring(t, 3, 2**31 - 1))
+    return F.array_join(F.transform(heads, lambda h: F.concat(h, F.lit("(?:"), F.array_join(tails(h), "|"), F.lit(")"))), "|")
+
+
 def _revealing(docs: DataFrame, text_col: str, base: DataFrame, disclosure: float, min_texts: int) -> DataFrame | None:
     """(key, extra): by text, spans of the terms that reveal its values."""
-    texts = base.where(F.size("spans") > 0).groupBy("key").agg(
-        F.count("*").alias("copies"), F.first("body").alias("body"), F.first("spans").alias("spans"))
+    texts = cut(base.where(F.size("spans") > 0).groupBy("key").agg(
+        F.count("*").alias("copies"), F.first("body").alias("body"), F.first("spans").alias("spans")))
     values = texts.select("key", "copies", F.explode(F.array_distinct(F.transform("spans", _identity))).alias("entity"))
-    known = values.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts")).where(
-        F.col("texts") >= min_texts).select("entity", "df_e")
-    known = cut(known)
-    if not known.take(1):
+    known = values.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    entity = F.when(F.col("texts") == 1, F.col("key")).otherwise(F.col("entity"))
+    held = values.join(known, "entity").groupBy("key").agg(F.collect_set(F.struct(entity.alias("entity"), "df_e")).alias("held"))
+    held = cut(held)
+    if not held.take(1):
         return None
-    total = base.count()
-    held = cut(values.join(known.select("entity"), "entity", "left_semi").select("key", "entity"))
-    near = texts.join(held.select("key").distinct(), "key", "left_semi")
-    words = near.select("key", "copies", F.explode(_terms(F.col("body"), F.col("spans"))).alias("term"))
-    pairs = cut(words.join(held, "key").select("key", "copies", "entity", "term"))
-    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("co"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    total = float(base.count())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     everywhere = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term")).where(
         F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("df_t"))
-    pmi = F.log2(F.lit(float(total)) * F.col("co") / (F.col("df_e") * F.greatest("df_t", "co")))
-    content = F.log2(F.lit(float(total)) / F.col("df_e"))
-    telling = together.join(known, "entity").join(everywhere, "term").where(
-        (content > 0) & (pmi >= F.lit(disclosure) * content)).select("entity", "term")
+    # no term of e with df(t) above this can pass, as co(e, t) <= df(e): common words go before values are paired with them
+    reach = F.array_max(F.transform("held", lambda h: h["df_e"] * F.pow(total / h["df_e"], F.lit(1 - disclosure)))) * (1 + 1e-9)
+    words = texts.join(held, "key").select("key", reach.alias("reach"), F.explode(_terms(F.col("body"), F.col("spans"))).alias("term"))
+    rare = words.join(everywhere, "term").where(F.col("df_t") <= F.col("reach")).select("key", "term", "df_t")
+    pairs = cut(rare.join(held, "key").join(texts.select("key", "copies"), "key").select(
+        "key", "copies", "term", "df_t", F.explode("held").alias("held")).select("key", "copies", "term", "df_t", "held.*"))
+    together = pairs.groupBy("entity", "term").agg(
+        F.sum("copies").alias("co"), F.count("*").alias("texts"), F.max("df_e").alias("df_e"), F.max("df_t").alias("df_t"))
+    pmi = F.log2(F.lit(total) * F.col("co") / (F.col("df_e") * F.greatest("df_t", "co")))
+    content = F.log2(F.lit(total) / F.col("df_e"))
+    telling = together.where((F.col("texts") >= min_texts) & (content > 0) & (pmi >= F.lit(disclosure) * content)).select("entity", "term")
     by_text = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), _any_of(F.col("terms")), F.lit(r")(?!\p{L})"))
     found = texts.join(by_text, "key").withColumn("found", find_all(F.col("body"), pattern, "term"))
     apart = F.filter("found", lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return found.select("key", apart.alias("extra"))

@@ -420,6 +420,16 @@ def test_revealing_terms_against_brute_force(spark):
     assert any("<EMAIL>" in t for t in clean.values()) and pii.find_private(docs(spark, [])).count() == 0
 
 
+def test_every_protected_value_is_estimated(spark):
+    rows = [(i, f"common words only {'again ' * (i % 3)}") for i in range(40)]
+    rows += [(50, "common words mention Falconer, falconry, kestrel@example.com, 10.1.2.3"), (51, "common words mention nobody"), (52, "common Heron 10.9.9.9")]
+    rows += [(i, "common words mention Bittern +49 30 1234567") for i in (60, 61, 62)]  # copies of one text
+    texts, want = dict(rows), brute_terms(rows, least=1)
+    got = {r.doc_id: {texts[r.doc_id][s["start"] : s["end"]].lower() for s in r.extra} for r in pii.find_private(docs(spark, rows)).collect()}
+    assert got == {i: want.get((i, t), set()) for i, t in rows}
+    assert got[50] == {"falconer", "falconry"} and got[52] == {"heron"} and got[60] == got[62] == {"bittern"}
+
+
 # --- WARC
 
 
