@@ -18,8 +18,8 @@ one text is bounded by that text.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends
 exclusive; kinds are searched apart, so spans of different kinds may overlap (when
-text is rewritten, the earlier and then the longer one wins); terms are runs of four
-or more letters, case folded, outside base spans; repeated rows count as documents;
+text is rewritten, the earlier and then the longer one wins); terms are runs of
+letters and digits of any length, case folded, outside base spans; repeated rows count as documents;
 empty input gives empty output. Other columns are ignored.
 """
 
@@ -43,6 +43,7 @@ PATTERNS = {
 }
 _MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{11}", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+_APART, _INSIDE = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -96,7 +97,7 @@ def base_spans(text: Column) -> Column:
 def _terms(text: Column, spans: Column) -> Column:
     """Distinct folded terms of a text, its base spans blanked out."""
     left = F.aggregate(spans, text, lambda t, s: F.replace(t, s["value"], F.lit(" ")))
-    return F.array_distinct(F.filter(F.split(F.lower(left), r"[^\p{L}]+"), lambda t: F.length(t) >= 4))
+    return F.array_distinct(F.filter(F.split(F.lower(left), _APART), lambda t: F.length(t) > 0))
 
 
 def _identity(span: Column) -> Column:
@@ -125,8 +126,8 @@ def _revealing(docs: DataFrame, text_col: str, base: DataFrame, disclosure: floa
         return None
     total = float(base.count())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    everywhere = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term")).where(
-        F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("df_t"))
+    everywhere = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), _APART))).alias("term")).where(
+        F.length("term") > 0).groupBy("term").agg(F.count("*").alias("df_t"))
     # no term of e with df(t) above this can pass, as co(e, t) <= df(e): common words go before values are paired with them
     reach = F.array_max(F.transform("held", lambda h: h["df_e"] * F.pow(total / h["df_e"], F.lit(1 - disclosure)))) * (1 + 1e-9)
     words = texts.join(held, "key").select("key", reach.alias("reach"), F.explode(_terms(F.col("body"), F.col("spans"))).alias("term"))
@@ -139,7 +140,7 @@ def _revealing(docs: DataFrame, text_col: str, base: DataFrame, disclosure: floa
     content = F.log2(F.lit(total) / F.col("df_e"))
     telling = together.where((F.col("texts") >= min_texts) & (content > 0) & (pmi >= F.lit(disclosure) * content)).select("entity", "term")
     by_text = pairs.join(telling, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), _any_of(F.col("terms")), F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{_INSIDE})(?:"), _any_of(F.col("terms")), F.lit(rf")(?!{_INSIDE})"))
     found = texts.join(by_text, "key").withColumn("found", find_all(F.col("body"), pattern, "term"))
     apart = F.filter("found", lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return found.select("key", apart.alias("extra"))

@@ -430,6 +430,13 @@ def test_every_protected_value_is_estimated(spark):
     assert got[50] == {"falconer", "falconry"} and got[52] == {"heron"} and got[60] == got[62] == {"bittern"}
 
 
+def test_terms_of_any_length_and_with_digits(spark):
+    rows = [(i, "a note of the day 7") for i in range(40)]
+    rows += [(50, "a note of Kim, KX7 and \u674e\u660e x@example.com"), (51, "the note of Kimberley and of KX77")]
+    got = {r.doc_id: [s["value"] for s in r.extra] for r in pii.find_private(docs(spark, rows)).collect()}
+    assert got.pop(50) == ["Kim", "KX7", "\u674e\u660e"] and not any(got.values())
+
+
 # --- WARC
 
 
