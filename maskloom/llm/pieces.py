@@ -219,7 +219,7 @@ class Sampler:
         live, step, seen, many = np.arange(len(flat)), 0, [], np.zeros(len(flat), np.int64)
         while len(live):
             at = off[left[live]] + which[live]
-            back = (running[at] <= _uniform(base[live], step)[:, None].astype(np.float32)).sum(1)
+            back = (running[at] <= _uniform(base[live], step)[:, None]).sum(1)
             np.minimum(back, running.shape[1] - 1, out=back)
             drawn = piece[at, back]
             seen.append((live, drawn, at))

@@ -226,6 +226,12 @@ def test_pieces_round_trip_and_do_not_depend_on_partitioning(spark):
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_draws_next_to_one_lose_no_text(spark):
+    rows = [(i, "dog, a cat") for i in (26652863, 32252310, 41030677)] + [(1, "internationalization responsibilities")]  # first draws of 1 - 2^-25 or more
+    got = pieces.decode(pieces.encode(docs(spark, rows).coalesce(1))).collect()
+    assert [r.decoded for r in got] == [t for _, t in rows]
+
+
 # --- language ID
 
 
