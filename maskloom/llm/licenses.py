@@ -42,6 +42,7 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "MIT": [
         "Released under the MIT License.", "Licensed under the MIT License.", "This software is distributed under the MIT license.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+        "Distributed under MIT.", "Available under the terms of MIT.", "Veröffentlicht unter der MIT-Lizenz.", "MIT-Lizenz", "MIT licensed",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
@@ -97,9 +98,15 @@ Terms and conditions of the contract were discussed in court.
 The license fee for the television is due in spring.
 Under the new agreement the files stay with the author.
 Attribution of the painting to the master is in doubt.
-The purpose of the meeting was to modify the plan.""".splitlines()
+The purpose of the meeting was to modify the plan.
+Sie kam mit dem Zug in die Stadt und blieb mit ihm bis zum Abend.
+Der Vertrag mit der Firma endet im Mai.
+Mit einem Lächeln gab er ihr das Buch zurück.
+Das Haus mit dem roten Dach steht unter der alten Linde.
+Er fährt mit und sie kommt mit ihren Kindern.
+Students at MIT met under the terms of the agreement.""".splitlines()
 ANCHORS = frozenset(
-    "license licence licensed licenses licensing unlicense spdx copyright copyrighted apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 isc "
+    "mit license licence licensed licenses licensing unlicense spdx copyright copyrighted apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 isc "
     "creative commons sharealike noncommercial redistribution redistributions redistribute warranties warranty sublicense permission "
     "unencumbered waived proprietary confidential reserved affero lesser".split())
 _WORD = re.compile(r"[^\W_]+")

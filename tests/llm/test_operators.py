@@ -482,3 +482,10 @@ def test_licences(spark):
         best = max((p := model.scores(line)).max() for line in text.split("\n") if licenses.grams(licenses.words(line)) and model.families[int(model.scores(line).argmax())] != "none")
         assert got[i].probability == pytest.approx(round(float(best), 6), abs=2e-6) and len(p)
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_mit_alone_is_a_licence_word(spark):
+    named = ["Distributed under MIT.", "MIT-Lizenz", "Available under the terms of MIT", "distributed under mit"]
+    plain = ["Sie kam mit dem Zug.", "Wir gehen mit euch in den Garten und dann nach Hause.", "mit", "Er sprach mit ihr über die Arbeit", "The university MIT is in Cambridge."]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, list(enumerate(named + plain)))).collect()}
+    assert [got[i] for i in range(len(named + plain))] == ["MIT"] * len(named) + [None] * len(plain)
