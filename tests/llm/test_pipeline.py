@@ -45,6 +45,12 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert all(sampler.decode(np.array(r.ids), np.array([len(r.ids)]))[0] == texts[r.doc_id] for r in got)
 
 
+def test_last_stage_decodes(spark):
+    docs = spark.createDataFrame([(1, "two  words\n\u2581", "en", "a", 1), (2, "", "en", "a", 0), (3, None, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert [got[i].decoded for i in (1, 2, 3)] == ["two  words\n\u2581", "", None] and all(r.lossless for r in got.values())
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
