@@ -15,11 +15,16 @@ def _mark(edges: DataFrame):
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` has long columns a and b; the result (node, component) names every
-    node of an edge with the smallest node that it reaches. No edge, no rows."""
+    node of an edge with the smallest node that it reaches. No edge, no rows.
+    Classes not stable after ``max_rounds`` are an error, never a result."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut(edges.where(F.col("a") != F.col("b")).distinct())
     mark = _mark(edges)
-    for _ in range(max_rounds if mark[0] else 0):
+    stable, rounds = not mark[0], 0
+    while not stable:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+        rounds += 1
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,7 +35,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             low.select("a", F.col("m").alias("b")))
         edges = cut(small.where(F.col("a") != F.col("b")).distinct())
         before, mark = mark, _mark(edges)
-        if mark == before:
-            break
+        stable = mark == before
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b"), F.col("b")).distinct())

@@ -132,6 +132,13 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_components_never_stop_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, max_rounds=1)
+    assert graph.components(edges.where("false"), max_rounds=0).count() == 0
+
+
 # --- mixing
 
 
