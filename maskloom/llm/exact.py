@@ -19,16 +19,18 @@ share its verdict. Empty input gives empty output. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import named, row_hash
+
 WHITE = " \t\n\x0b\x0c\r"
 SALTS = 8
 _LAST_ID = 9223372036854775807
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
 
 
 def _rank(length: Column, doc_id: Column) -> Column:
@@ -42,9 +44,9 @@ def _rank(length: Column, doc_id: Column) -> Column:
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per distinct normalised text: digest, guard, chars, keep_id, group_size."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"),
-        normalised(F.col(text_col)).alias("body"),
+        named(id_col).cast("long").alias("id"),
+        F.length(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias("len"),
+        normalised(named(text_col)).alias("body"),
     ).select(
         "body",
         F.unhex(F.sha2("body", 256)).alias("digest"),
@@ -67,9 +69,9 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Every row with its verdict: id, keep_id, group_size, kept, text_sha256."""
     won = winners(docs, id_col, text_col, salts)
-    body = normalised(F.col(text_col))
+    body = normalised(named(text_col))
     rows = docs.select(
-        F.col(id_col).alias("id"),
+        named(id_col).alias("id"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
         F.xxhash64(body).alias("guard"),
         F.length(body).alias("chars"),
@@ -84,10 +86,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept; only one of rows that repeat an id and text."""
-    won = winners(docs, id_col, text_col, salts).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256))).withColumn(
-        "__keep", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)))
-    stay = keyed.join(won, ["__digest", "__keep"], "left_semi")
-    return stay.dropDuplicates(["__digest", "__keep"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns kept: one of each group.
+
+    What stays is decided on narrow rows; one join brings the rows themselves. Of rows that
+    repeat the id of the row that stays, the longest text and then the smallest hash of all
+    columns decides. The joined side is unique by key and narrow, so it is the hashed one.
+    """
+    won = winners(docs, id_col, text_col, salts).select("digest", F.col("keep_id").alias("keep"))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(
+        F.struct(*map(named, docs.columns)).alias("row"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
+        F.coalesce(named(id_col).cast("long"), F.lit(_LAST_ID)).alias("keep"), F.length(text).alias("len"), row_hash(docs).alias("tie"))
+    # the join leaves rows dealt by (digest, keep), so ranking them shuffles nothing more
+    order = Window.partitionBy("digest", "keep").orderBy(F.desc("len"), "tie")
+    stay = keyed.join(won.hint("shuffle_hash"), ["digest", "keep"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") == 1)
+    return stay.select("row.*")
