@@ -9,16 +9,20 @@ allows.
 
 Document frequencies cover all labelled rows. The centroids are fitted on a
 bounded sample of them: about ``SAMPLE_PER_LANG`` rows per language, chosen by a
-hash of the id. What reaches the driver is bounded by DIMS, MAX_LANGS and that.
+hash of id and text, each language in a task of its own. The driver gets the
+document frequencies of DIMS cells, and ``CENTROIDS`` of 32 KB for each language
+that has labelled rows.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0 and
 is rejected; ties go to the language first in code point order; without labelled
-rows all is ``und``; repeated rows count as often as they come; empty input gives
-empty output. Other columns are ignored.
+rows all is ``und``; repeated rows count as often as they come in the document
+frequencies, and once in the fit; texts of any length are read whole; empty input
+gives empty output. Other columns are kept, but for those named like an added one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +31,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.runtime import ship
+from maskloom.llm.common import fresh, give_back, named
+from maskloom.runtime import cut, ship
 
 DIMS = 1 << 13
-SAMPLE_PER_LANG, MAX_LANGS = 400, 1_000
+SAMPLE_PER_LANG = 400
 CENTROIDS, ROUNDS = 4, 8
 RADIUS_SHARE, RADIUS_QUANTILE = 0.5, 0.001
 UNKNOWN = "und"
@@ -120,18 +125,15 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> Model:
     """Learn from the rows given, of which those with a null label are left out."""
     ship(rows.sparkSession)
-    rows = rows.where(F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().take(MAX_LANGS + 1)
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows = rows.select(named(id_col).cast("string").alias("id"), named(text_col).cast("string").alias("text"),
+                       named(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
     modulus = 1 << 30
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(modulus, modulus * sample_per_lang // r["count"] + 1)).otherwise(share)
-    marked = rows.withColumn("sampled", F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(modulus)) < share)
+    shares = {lang: min(modulus, modulus * sample_per_lang // n + 1) for lang, n in sizes.items()}
+    share = F.element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,long>"), F.col("lang"))
+    marked = rows.withColumn("sampled", F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(modulus)) < share)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Document frequencies of the partition (lang null), and the sampled rows' counts."""
@@ -148,46 +150,59 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pd.DataFrame({"lang": langs, "cell": -1, "df": 0, "cells": cells})
         at = np.flatnonzero(df)
         yield pd.DataFrame({"lang": None, "cell": at, "df": df[at], "cells": None})
+        give_back()
 
     learned = marked.select("text", "lang", "sampled").mapInPandas(learn, "lang string, cell int, df long, cells binary")
-    pooled = learned.groupBy("lang", "cell", "cells").agg(F.sum("df").alias("df"), F.count("*").alias("n")).collect()
-    total, df = sum(r["count"] for r in sizes), np.zeros(DIMS)
-    by_lang: dict[str, list[bytes]] = {}
-    for r in pooled:
-        if r["lang"] is None:
-            df[r["cell"]] = r["df"]
-        else:
-            by_lang.setdefault(r["lang"], []).extend([bytes(r["cells"])] * r["n"])
+    pooled = cut(learned.groupBy("lang", "cell", "cells").agg(F.sum("df").alias("df")))
+    total, df = sum(sizes.values()), np.zeros(DIMS)
+    for r in pooled.where(F.col("lang").isNull()).select("cell", "df").collect():  # DIMS rows at most
+        df[r["cell"]] = r["df"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    langs, vectors, owner, radius = sorted(by_lang), [], [], []
-    for k, lang in enumerate(langs):
-        logs = np.stack([np.frombuffer(x, np.float16) for x in sorted(by_lang[lang])]).astype(np.float32)
+
+    def centres(group: pd.DataFrame) -> pd.DataFrame:
+        """A language's centroids as bytes, and its radius. A group is the bounded sample of one language."""
+        logs = np.stack([np.frombuffer(x, np.float16) for x in sorted(map(bytes, group["cells"]))]).astype(np.float32)
         unit = logs * idf
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
         own = _kmeans(unit, centroids, ROUNDS)
-        vectors.append(own)
-        owner += [k] * len(own)
-        radius.append(RADIUS_SHARE * float(np.quantile((unit @ own.T).max(1), RADIUS_QUANTILE)))
-    return Model(langs, idf, np.concatenate(vectors) if vectors else np.zeros((0, DIMS), np.float32), np.array(owner, int), np.array(radius))
+        radius = RADIUS_SHARE * float(np.quantile((unit @ own.T).max(1), RADIUS_QUANTILE))
+        give_back()
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "centroids": [own.tobytes()], "radius": [radius]})
 
+    fitted = pooled.where(F.col("lang").isNotNull()).select("lang", "cells").groupBy("lang").applyInPandas(
+        centres, "lang string, centroids binary, radius double").collect()
+    fitted.sort(key=lambda r: r["lang"])
+    vectors = [np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, DIMS) for r in fitted]
+    return Model([r["lang"] for r in fitted], idf, np.concatenate(vectors) if vectors else np.zeros((0, DIMS), np.float32),
+                 np.repeat(np.arange(len(vectors)), [len(v) for v in vectors]).astype(int), np.array([r["radius"] for r in fitted]))
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected added."""
+
+def _found(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the struct ``name`` of lang_pred, score and rejected."""
     ship(docs.sparkSession)
     from pyspark.sql.functions import pandas_udf
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DIMS x MAX_LANGS x CENTROIDS at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 32 KB for each centroid
 
     @pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             langs, score, rejected = shared.value.predict(part.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": score, "rejected": rejected})
+        give_back()
 
-    found = docs.withColumn("__found", predict(F.col(text_col)))
-    return found.select(*docs.columns, "__found.lang_pred", "__found.score", "__found.rejected")
+    return docs.withColumn(name, predict(named(text_col).cast("string")))
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected added; columns that had these names are replaced."""
+    name = fresh(docs, "found")
+    added = ("lang_pred", "score", "rejected")
+    kept = [named(c) for c in docs.columns if c.lower() not in added]
+    return _found(docs, model, text_col, name).select(*kept, *(F.col(f"{name}.{c}") for c in added))
 
 
-def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows whose language is known: those that the classifier rejects go."""
-    return identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known, as they are: those that the classifier rejects go."""
+    name = fresh(docs, "found")
+    return _found(docs, model, text_col, name).where(~F.col(f"{name}.rejected")).drop(name)
