@@ -25,13 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import give_back, named
 from maskloom.llm.graph import components
 from maskloom.runtime import cut, ship
 
 BUDGET = 4
 SHINGLE = 4
 HOT_GROUP = 20_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE, CHECKS_AT_ONCE = 1_000_000, 4_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -65,8 +66,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], np.int64)})
+        give_back()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     return rows.mapInPandas(of, "id long, fp long")
 
 
@@ -94,6 +96,15 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose sizes add up to ``most`` or little more."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def _expand(al, ah, bl, bh):
     """Index pairs of all node pairs: i < j inside a node, all across two nodes."""
     sizes = (ah - al) * (bh - bl)
@@ -138,10 +149,12 @@ def trie_links(values: np.ndarray, groups: np.ndarray, budget: int, leaf: int =
             one = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (label[al] == label[bl])
             small = ~one & (((ah - al) * (bh - bl) <= leaf) | (bit < 0))
             if small.any():
-                i, j = _expand(al[small], ah[small], bl[small], bh[small])
-                close = np.bitwise_count(values[i] ^ values[j]) <= limit
-                if close.any():
-                    label = _roots(label, i[close], j[close])
+                before = label
+                for part in _parts((ah - al)[small] * (bh - bl)[small], CHECKS_AT_ONCE):
+                    i, j = _expand(al[small][part], ah[small][part], bl[small][part], bh[small][part])
+                    close = np.bitwise_count(values[i] ^ values[j]) <= limit
+                    label = _roots(label.copy(), i[close], j[close])
+                if (label != before).any():
                     changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
             rest = ~one & ~small
             if bit < 0 or not rest.any():
@@ -195,6 +208,7 @@ def _forest(budget: int):
             held.append(batch.iloc[whole:])
         if held:
             yield links(pd.concat(held, ignore_index=True))
+        give_back()
 
     return of
 
@@ -245,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that name their class: one document of each group stays."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay"))
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of ``docs`` that name their class: one document of each group stays (rows that repeat an id stay or go together)."""
+    found = near_duplicates(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), "id", "text", **options)
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("stay"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).cast("long").alias("key"))
+    return rows.join(stay, F.col("key").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
