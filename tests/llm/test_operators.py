@@ -53,6 +53,19 @@ def test_drop_copies_keeps_one_row_and_all_columns(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7, 8]
 
 
+def test_drop_copies_with_repeated_ids_and_clashing_columns(spark):
+    schema = "doc_id long, text string, row string, digest string, keep long, tie int, __keep long, nth int"
+    rows = [(1, "a b", "r", "d", 0, 0, 0, 0), (1, "a  b", "r", "d", 0, 0, 0, 0), (1, "ab", "r", "d", 0, 0, 0, 0), (2, "a b", "r", "d", 0, 0, 0, 0),
+            (3, "x", "r", "d", 0, 0, 0, 0), (3, "x", "r", "d", 0, 0, 0, 0), (3, "x", "other", "d", 0, 0, 0, 0), (3, "y", "r", "d", 0, 0, 0, 0),
+            (None, "z", "r", "d", 0, 0, 0, 0), (None, "z", "r", "d", 0, 0, 0, 0), (4, None, "r", "d", 0, 0, 0, 0), (5, "", "r", "d", 0, 0, 0, 0)]
+    table = spark.createDataFrame(rows, schema)
+    got = sorted((str(r.doc_id), r.text) for r in exact.drop_copies(table).collect())
+    assert got == [("1", "a  b"), ("3", "x"), ("3", "y"), ("4", None), ("None", "z")]
+    again = exact.drop_copies(table.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, exact.drop_copies(table).collect())) and exact.drop_copies(table).columns == table.columns
+    assert exact.drop_copies(table.where("false")).count() == 0
+
+
 # --- SimHash
 
 
@@ -102,6 +115,21 @@ def test_simhash_against_brute_force(spark):
     assert simhash.keep_one(docs(spark, rows)).select("doc_id").distinct().count() == len(set(want.values()))
 
 
+def test_keep_one_with_clashing_columns(spark):
+    schema = "doc_id long, text string, __stay long, stay long, key long, row string, id long, fp long"
+    rows = [(1, "same words here", 9, 9, 9, "r", 9, 9), (2, "same words here", 9, 9, 9, "r", 9, 9), (3, "quite another text", 9, 9, 9, "r", 9, 9), (3, "quite another text", 9, 9, 9, "r", 9, 9)]
+    left = simhash.keep_one(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, left.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_many_close_values_are_compared_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**63, 30, dtype=np.uint64)[:, None] ^ (np.uint64(1) << rng.integers(0, 64, (30, 20), dtype=np.uint64)))
+    whole = simhash.trie_links(values, np.array([0, len(values)]), 4)
+    monkeypatch.setattr(simhash, "CHECKS_AT_ONCE", 7)
+    assert (simhash.trie_links(values, np.array([0, len(values)]), 4) == whole).all()
+
+
 @pytest.mark.parametrize("hot", [5, 10**9])
 def test_link_edges_with_and_without_hot_groups(spark, hot):
     rng = np.random.default_rng(1)
@@ -186,11 +214,39 @@ def test_split_tree_is_exact_and_even():
 
 def test_materialised_shards(spark):
     rows = docs(spark, [(i, "w " * (i % 9 + 1), None, "abc"[i % 3]) for i in range(60)])
-    mixed = mixing.mix(rows, shards=4, block_rows=8)
-    out = mixing.materialise(rows, mixed, shards=4)
-    want = {r.doc_id: r.copies for r in mixed.collect() if r.copies}
-    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert got == want == {r.doc_id: r["count"] for r in mixing.draw(rows, shards=4, block_rows=8).groupBy("doc_id").count().collect()}
+    options = {"shards": 4, "block_rows": 8, "max_blocks": 4}
+    want = {r.doc_id: sorted(r.shards) for r in mixing.mix(rows, **options).collect() if r.copies}
+    out = mixing.materialise(rows, shard_col="shard", words_per_task=20, **options)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r.shard)
+    assert {i: sorted(s) for i, s in got.items()} == want and mixing.draw(rows, **options).columns == rows.columns
+    places = out.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(places) > 4  # a shard of many words lies in several tasks
+
+
+def test_edge_blocks_are_dealt_again_when_they_are_large(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(1, 40), None, "a" if i % 5 else "b") for i in range(1200)]
+    got = mixing.mix(docs(spark, rows), max_blocks=3, block_rows=16).collect()
+    for name in "ab":
+        some = [r for r in got if (r.doc_id % 5 == 0) == (name == "b")]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= 2
+    size = {c: [r.size for r in got if r.copies == c] for c in (1, 2)}  # drawn by blocks, not by size
+    assert abs(np.mean(size[1]) - np.mean(size[2])) < 4
+
+
+def test_draws_are_by_row_not_by_id(spark):
+    clash = "doc_id long, text string, lang string, source string, n_chars long, __id long, __copies long, shard int, key string"
+    rows = [(1, "a " * 50, None, "s", 0, 1, 1, 1, "k"), (1, "b", None, "s", 0, 1, 1, 1, "k"), (2, "c " * 10, None, "s", 0, 1, 1, 1, "k"),
+            (None, "d " * 7, None, "t", 0, 1, 1, 1, "k"), (None, "e " * 9, None, "t", 0, 1, 1, 1, "k"), (3, "f f", None, "t", 0, 1, 1, 1, "k"), (3, "f f", None, "t", 0, 1, 1, 1, "k"),
+            (4, None, None, None, 0, 1, 1, 1, "k"), (5, "x " * 60000, None, "long", 0, 1, 1, 1, "k")]
+    table = spark.createDataFrame(rows, clash)
+    planned, drawn = mixing.mix(table).collect(), mixing.draw(table).collect()
+    assert sum(r.taken for r in planned) == sum(len(WORD.findall(r.text or "")) for r in drawn)
+    assert sorted(mixing.draw(table).columns) == sorted(table.columns) and len(drawn) == sum(r.copies for r in planned)
+    allowed = {(r[0], r[1]): 2 * sum((x[0], x[1]) == (r[0], r[1]) for x in rows) for r in rows}
+    assert all(sum((r.doc_id, r.text) == k for r in drawn) <= n for k, n in allowed.items())
 
 
 # --- SentencePiece
@@ -268,6 +324,40 @@ def test_language_id_odd_rows(spark):
     assert langid.identify(docs(spark, rows[:2]), nothing).first().lang_pred == "und"
 
 
+def test_language_id_columns_that_clash_and_long_texts(spark):
+    schema = "doc_id long, text string, lang string, score string, rejected int, lang_pred string, found string"
+    rows = [(i, ("abcde fghij " if i % 2 else "vwxyz stuvw ") * (3 + i % 4), "xx" if i % 2 else "yy", "s", i, "p", "f") for i in range(40)]
+    rows += [rows[0], (50, "abcde fghij " * 40000, "xx", "s", 50, "p", "f"), (51, None, "xx", "s", 51, "p", "f")]
+    table = spark.createDataFrame(rows, schema)
+    model = langid.fit(table)
+    kept = langid.keep_known(table, model)
+    assert kept.columns == table.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1])
+    got = langid.identify(table, model)
+    assert got.columns == ["doc_id", "text", "lang", "found", "lang_pred", "score", "rejected"]
+    assert {r.lang_pred for r in got.collect() if r.doc_id == 50} == {"xx"}
+
+
+def test_language_id_against_brute_force_centroids():
+    """Cosines and the pick by plain arithmetic over dictionaries of cells."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeéß .") for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["", None, "1 2"]
+    idf, centroids = np.linspace(1, 3, langid.DIMS).astype(np.float32), np.stack([
+        langid.weighted(langid.counts(t)[None], np.ones(langid.DIMS, np.float32))[0] for t in ("abc abc", "éß é", "dead bead", "cab")])
+    model = langid.Model(["aa", "bb"], idf, centroids, np.array([0, 0, 1, 1]), np.array([0.2, 0.3]))
+    langs, score, rejected = model.predict(texts)
+    for t, lang, s, gone in zip(texts, langs, score, rejected):
+        c = langid.counts(t)
+        if c is None:
+            assert (lang, s, gone) == ("und", 0.0, True)
+            continue
+        cells = {i: float(np.log1p(c[i])) * float(idf[i]) for i in np.flatnonzero(c)}
+        norm = sum(v * v for v in cells.values()) ** 0.5
+        cosine = [sum(v * float(m[i]) for i, v in cells.items()) / norm for m in centroids]
+        best = max(cosine[:2]), max(cosine[2:])
+        assert s == pytest.approx(max(best), abs=1e-5) and (lang == ("bb" if best[1] > best[0] else "aa") or abs(best[0] - best[1]) < 1e-5)
+        assert gone == (max(best) < model.radius[("aa", "bb").index(lang)]) or abs(max(best) - model.radius[("aa", "bb").index(lang)]) < 1e-5
+
+
 # --- HTML
 
 
