@@ -36,7 +36,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 SHARDS, MAX_BLOCKS, BLOCK_ROWS = 64, 4096, 128
 POOL, CLOSERS, LEVELS = 4, 16, 4
-WORDS_PER_TASK = 1 << 24
+WORDS_PER_TASK = 1 << 22
 MAX_SOURCES, BROADCAST_SOURCES = 1_000_000, 10_000
 SEED = 20240611
 WORD = r"[^\x20\x09-\x0D]+"
