@@ -7,7 +7,8 @@ of the vocabulary has a space mark after another character or spans a newline, s
 the lattice has cut points there and each chunk between is filtered once and
 sampled wherever it occurs, all chunks of many rows at a time. Random numbers are
 counted off a hash of the row key, hence a row gets the same pieces in any
-partitioning. A character without a piece of its own becomes its UTF-8 byte pieces.
+partitioning. A chunk of more than ``LONG`` characters is filtered and sampled block by
+block, in the memory of a block. A character without a piece of its own becomes its UTF-8 byte pieces.
 
 A piece of rank r weighs ``(r + RANK_OFFSET) ** -alpha``: the model holds merge
 ranks, not probabilities. As ``alpha`` grows, spellings by few, frequent pieces win.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskloom.llm.common import fresh, give_back, named
 from maskloom.runtime import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,7 +42,8 @@ ALPHA, RANK_OFFSET, SEED = 1.0, 50.0, 7
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _LITERAL = "\ud800"  # no text holds a lone surrogate: it stands for a literal space mark
-CHARS_AT_ONCE, IDS_AT_ONCE = 750_000, 250_000
+CHARS_AT_ONCE, IDS_AT_ONCE = 400_000, 250_000
+LONG, BLOCK = 2_000, 1 << 16
 BYTE_WEIGHT = 1e-6
 
 
@@ -121,10 +124,10 @@ class Sampler:
         by_byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == 1}
         self.byte_ids = np.array([by_byte.get(b, 0) for b in range(256)], np.int32)
 
-        self.vocab = v
+        self.surface = Surface(v)
 
     def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
-        return Surface(self.vocab).decode(ids, per_text)
+        return self.surface.decode(ids, per_text)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -201,6 +204,64 @@ class Sampler:
         running = np.ascontiguousarray(running.T)
         return place, sizes, off, running, np.stack(pieces, 1), code
 
+    def long_chunk(self, chunk: str, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one chunk of any length, with the character that each ends with. The filter runs
+        over blocks and keeps what it needs at their starts; sampling goes back block by block and
+        filters each again, so that memory is that of a block."""
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        starts, reach = range(0, len(codes), BLOCK), self.longest
+
+        def pieces_of(first: int) -> tuple[np.ndarray, np.ndarray]:
+            """By prefix of the block, and by length of its last piece, weight and piece."""
+            low = max(0, first - reach)
+            part = codes[low : first + BLOCK]
+            weight, piece = np.zeros((len(part), reach)), np.full((len(part), reach), -2, np.int32)
+            at, node = np.arange(len(part)), np.zeros(len(part), np.int32)
+            for size in range(1, reach + 1):
+                at, node = at[(on := at + size <= len(part))], node[on]
+                node = self.trie.step(node, part[at + size - 1])
+                at, node = at[(on := node >= 0)], node[on]
+                found = self.trie.ends[node]
+                hit = found >= 0
+                weight[at[hit] + size - 1, size - 1], piece[at[hit] + size - 1, size - 1] = self.weight[found[hit]], found[hit]
+            bare = piece[:, 0] == -2
+            weight[bare, 0], piece[bare, 0] = BYTE_WEIGHT, -1
+            return weight[first - low :], piece[first - low :]
+
+        def posterior(weight: np.ndarray, window: np.ndarray, running: np.ndarray | None) -> np.ndarray:
+            """Filter a block from the window of the last prefixes' sums, latest first; returns the next window."""
+            held = np.concatenate((np.zeros(len(weight)), window))  # written from its middle to its front
+            for k in range(len(weight)):
+                at = len(weight) - k
+                parts = np.cumsum(held[at : at + reach] * weight[k])
+                if running is not None:
+                    running[k] = parts / parts[-1]
+                held[at - 1] = parts[-1]
+                if k % 8 == 7:
+                    held[at - 1 : at - 1 + reach] /= parts[-1]
+            return held[:reach] / held[0]
+
+        windows, window = [], np.zeros(reach)
+        window[0] = 1.0
+        for first in starts:
+            windows.append(window)
+            window = posterior(pieces_of(first)[0], window, None)
+        ids, ends, at, step = [], [], len(codes), 0
+        for first, window in zip(reversed(starts), reversed(windows)):
+            weight, piece = pieces_of(first)
+            running = np.empty_like(weight)
+            posterior(weight, window, running)
+            draws = _uniform(np.full(at - first, base), np.arange(step, step + at - first))
+            begun = step
+            while at > first:
+                row = at - first - 1
+                back = min(int((running[row] <= draws[step - begun]).sum()), reach - 1)
+                ids.append(piece[row, back])
+                ends.append(codes[at - 1])
+                at -= back + 1
+                step += 1
+        return np.array(ids[::-1], np.int32), np.array(ends[::-1], np.uint64)
+
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has. keys: uint64 by text."""
         cut = [self.chunks(t) if t else [] for t in texts]
@@ -208,33 +269,43 @@ class Sampler:
         if not flat:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        number = dict(zip(dict.fromkeys(flat), count()))
-        kind = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        place, lengths, off, running, piece, code = self.lattice(list(number))
-        which, left = place[kind], lengths[kind]
         row = np.repeat(np.arange(len(cut)), sizes)
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         with np.errstate(over="ignore"):
             base = keys[row] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        live, step, seen, many = np.arange(len(flat)), 0, [], np.zeros(len(flat), np.int64)
-        while len(live):
-            at = off[left[live]] + which[live]
-            back = (running[at] <= _uniform(base[live], step)[:, None]).sum(1)
-            np.minimum(back, running.shape[1] - 1, out=back)
-            drawn = piece[at, back]
-            seen.append((live, drawn, at))
-            many[live] += 1
-            left[live] -= back + 1
-            step += 1
-            live = live[left[live] > 0]
+        length = np.fromiter(map(len, flat), np.int64, len(flat))
+        long_ones = {int(i): self.long_chunk(flat[i], base[i]) for i in np.flatnonzero(length > LONG)}
+        short = np.flatnonzero(length <= LONG)
+        many, seen = np.zeros(len(flat), np.int64), []
+        for i, (drawn, _) in long_ones.items():
+            many[i] = len(drawn)
+        if len(short):
+            number = dict(zip(dict.fromkeys(flat[i] for i in short.tolist()), count()))
+            kind = np.zeros(len(flat), np.int64)
+            kind[short] = np.fromiter((number[flat[i]] for i in short.tolist()), np.int64, len(short))
+            place, lengths, off, running, piece, code = self.lattice(list(number))
+            which, left = place[kind], lengths[kind]
+            live, step = short, 0
+            while len(live):
+                at = off[left[live]] + which[live]
+                back = (running[at] <= _uniform(base[live], step)[:, None]).sum(1)
+                np.minimum(back, running.shape[1] - 1, out=back)
+                drawn = piece[at, back]
+                seen.append((live, drawn, code[at]))
+                many[live] += 1
+                left[live] -= back + 1
+                step += 1
+                live = live[left[live] > 0]
         start = np.cumsum(many) - many
-        ids, ends_at = np.empty(int(many.sum()), np.int32), np.empty(int(many.sum()), np.int64)
-        for t, (who, drawn, at) in enumerate(seen):
+        ids, last = np.empty(int(many.sum()), np.int32), np.empty(int(many.sum()), np.uint64)
+        for t, (who, drawn, codes) in enumerate(seen):
             to = start[who] + many[who] - 1 - t
-            ids[to], ends_at[to] = drawn, at
+            ids[to], last[to] = drawn, codes
+        for i, (drawn, codes) in long_ones.items():
+            ids[start[i] : start[i] + many[i]], last[start[i] : start[i] + many[i]] = drawn, codes
         per_text = np.bincount(row, many, len(cut)).astype(np.int64)
         if (bare := np.flatnonzero(ids < 0)).size:
-            ids, per_text = self._in_bytes(ids, bare, code[ends_at[bare]], per_text)
+            ids, per_text = self._in_bytes(ids, bare, last[bare], per_text)
         return ids, per_text
 
     def _in_bytes(self, ids, bare, codes, per_text):
@@ -276,10 +347,10 @@ class Surface:
         return [raw[a + 1 : b].decode("utf-8", "surrogatepass") if b > a else "" for a, b in zip(ends, ends[1:])]
 
 
-def _uniform(base: np.ndarray, step: int) -> np.ndarray:
+def _uniform(base: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     """SplitMix64 of a counter, as numbers in [0, 1)."""
     with np.errstate(over="ignore"):
-        z = base + np.uint64((0xD1B54A32D192ED03 * (step + 1)) & (2**64 - 1))
+        z = base + np.uint64(0xD1B54A32D192ED03) * (np.asarray(step).astype(np.uint64) + np.uint64(1))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
@@ -299,26 +370,34 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame,
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", model: str = MODEL,
-           alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``docs`` with the sampled piece ids of each text."""
+           alpha: float = ALPHA, seed: int = SEED, decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the sampled piece ids of each text, and the text that they spell if
+    ``decoded_col`` is given (as ``decode`` gives it, without handing the ids to another worker)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    docs = docs.drop("__key").withColumn("__key", F.xxhash64(F.lit(seed), F.col(id_col)))
-    keyed, schema = _with_column(docs, ids_col, T.ArrayType(T.IntegerType()))
-    schema = T.StructType([f for f in schema.fields if f.name != "__key"])
+    docs, schema = _with_column(docs.drop(decoded_col) if decoded_col else docs, ids_col, T.ArrayType(T.IntegerType()))
+    if decoded_col:
+        schema = schema.add(decoded_col, T.StringType())
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), named(id_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(shared, alpha)
         for whole in batches:
             for batch in _slices(whole, pc.utf8_length(whole.column(text_col)).to_pylist(), CHARS_AT_ONCE):
                 texts = batch.column(text_col).to_pylist()
-                keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                keys = batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids, sizes = sampler.encode(texts, keys)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(
                     pa.array(offsets, mask=np.array([*(t is None for t in texts), False])), pa.array(ids, pa.int32()))
-                kept = [n for n in batch.schema.names if n != "__key"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), lists], names=[*kept, ids_col])
+                added = {ids_col: lists}
+                if decoded_col:
+                    spelt = sampler.decode(ids, sizes)
+                    added[decoded_col] = pa.array([None if t is None else d for t, d in zip(texts, spelt)], pa.string())
+                kept = [n for n in batch.schema.names if n != key]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *added.values()], names=[*kept, *added])
+        give_back()
 
     return keyed.mapInArrow(run, schema)
 
@@ -349,5 +428,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded",
                 sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
                 texts = [t if ok else None for t, ok in zip(surface.decode(flat, sizes), lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+        give_back()
 
     return encoded.mapInArrow(run, schema)

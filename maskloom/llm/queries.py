@@ -19,7 +19,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every text: their number, a digest of the ids, and whether decoding gives the text back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs))
+    coded = pieces.encode(docs, decoded_col="decoded")
     return coded.select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
         F.lower(F.hex(F.xxhash64("ids"))).alias("ids_xxh64"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))

@@ -283,12 +283,30 @@ def test_pieces_round_trip_and_do_not_depend_on_partitioning(spark):
     coded = pieces.decode(pieces.encode(docs(spark, rows)))
     got = coded.collect()
     assert all(r.decoded == r.text for r in got) and [r for r in got if r.text is None][0].ids is None
+    both = pieces.encode(docs(spark, rows), decoded_col="size").collect()
+    assert sorted((str(r.doc_id), str(r["size"])) for r in both) == sorted((str(r.doc_id), str(r.decoded)) for r in got)
     again = pieces.encode(docs(spark, rows[::-1]).repartition(5)).collect()
     key = lambda rs: sorted((str(r.doc_id), str(r.text)[:50], tuple(r.ids or ())) for r in rs)
     assert key(got) == key(again)
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_long_chunks_are_sampled_like_short_ones(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("athe梦x😀") for _ in range(n)) for n in (1, 5, 300, 1999)]
+    keys = np.arange(len(texts), dtype=np.uint64) + np.uint64(77)
+    sampler = pieces.Sampler(pieces.Vocabulary.load())
+    want = [x.tolist() for x in sampler.encode(texts, keys)]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    for block in (7, 64, 1 << 16):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        assert [x.tolist() for x in sampler.encode(texts, keys)] == want
+    big = "".join(rng.choice("abcde") for _ in range(200_000))
+    monkeypatch.setattr(pieces, "BLOCK", 1 << 14)
+    ids, sizes = sampler.encode([big, "short one"], keys[:2])
+    assert sampler.decode(ids, sizes) == [big, "short one"]
+
+
 def test_draws_next_to_one_lose_no_text(spark):
     rows = [(i, "dog, a cat") for i in (26652863, 32252310, 41030677)] + [(1, "internationalization responsibilities")]  # first draws of 1 - 2^-25 or more
     got = pieces.decode(pieces.encode(docs(spark, rows).coalesce(1))).collect()
