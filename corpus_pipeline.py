@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids",
                         "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
