@@ -13,18 +13,21 @@ known by construction (``TRAINING_PAGES`` of them, fixed seed): layouts with and
 without semantic tags, menus, adverts, notices, sidebars, forms and comments.
 
 Defined results: null html is an empty page with empty text; unclosed and stray tags
-are read as HTML parsers do; script, style and other non-text elements never count;
-white space, no-break spaces included, becomes one space inside a block, and a line
+are read as HTML parsers do; scripts, styles, templates, titles and form controls never
+count, while the text of any other element does (math, objects, noscript, ...); a tag cut
+off by the page's end is dropped; parsing takes time linear in the page; white space, no-break spaces included, becomes one space inside a block, and a line
 break element is white space; repeated rows give repeated results; empty input gives
 empty output. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import give_back, named
 from maskloom.runtime import ship
 
 TRAINING_PAGES, SEED = 600, 11
@@ -40,18 +44,19 @@ TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 16, 5
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot "
-    "th thead tr ul caption".split())
+    "th thead tr ul caption xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-SKIPPED = frozenset("svg math canvas select button audio video object map datalist".split())
-CONTROLS = frozenset("input select textarea button".split())
+UNSEEN = frozenset("script style title textarea template select datalist button".split())  # code, head and form controls
+CONTROLS = frozenset("input select textarea button datalist".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 NEVER_NESTED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                 "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "tbody": {"table"}, "tfoot": {"table"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>|[^<]++|<", re.S)
+_TEXT = re.compile(r"[^<]++")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The inside of a tag up to its end: quotes count after an equals sign only. Possessive throughout, so that it never goes back.
+_INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 GROUPS = {
@@ -101,12 +106,99 @@ def _attributes(raw: str) -> tuple[int, bool, bool]:
     return groups, hidden, gold
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes) and ("close", name, ""), in time linear in the page.
+
+    Comments, declarations and what ``UNSEEN`` elements hold are left out; the text of an xmp
+    element is text. A tag that the page's end cuts off is dropped, as parsers do; one whose
+    quote never closes ends at the next ``>``.
+    """
+    pos, end, unclosed = 0, len(html), set()
+    while pos < end:
+        if html[pos] != "<":
+            m = _TEXT.match(html, pos)
+            yield "text", m.group(), ""
+            pos = m.end()
+            continue
+        if html.startswith(("<!", "<?"), pos):
+            comment = html.startswith("<!--", pos)
+            stop = html.find("-->" if comment else ">", pos + (4 if comment else 2))
+            pos = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        m = _TAG.match(html, pos)
+        if m is None:
+            yield "text", "<", ""
+            pos += 1
+            continue
+        inside = _INSIDE.match(html, m.end())
+        stop = inside.end()
+        if stop < end and html[stop] != ">":  # an open quote without its end: at most one of each kind in a page
+            stop = html.find(">", stop)
+        if stop < 0 or stop >= end:
+            return
+        name, attributes = m.group(2).lower(), html[m.end() : stop]
+        pos = stop + 1
+        if m.group(1):
+            yield "close", name, ""
+            continue
+        yield "open", name, attributes
+        if (name in UNSEEN or name == "xmp") and not attributes.endswith("/") and name not in unclosed:
+            close = _END[name].search(html, pos)
+            if close is None:
+                unclosed.add(name)
+                if name in ("script", "style"):
+                    return
+                continue
+            if name == "xmp":
+                yield "text", html[pos : close.start()].replace("&", "&amp;"), ""
+                yield "close", name, ""
+            pos = close.end()
+
+
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in (*UNSEEN, "xmp")}
+
+
+class _Chain:
+    """The open elements, outermost first, and where those of each name stand."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Node | None]] = []  # blocks with their node, inlines with None
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, node: Node | None) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        if node is not None:
+            self.blocks.append(len(self.open))
+        self.open.append((name, node))
+
+    def pop(self) -> tuple[str, Node | None]:
+        name, node = self.open.pop()
+        self.at[name].pop()
+        if node is not None:
+            self.blocks.pop()
+        return name, node
+
+    def last(self, *names: str) -> int:
+        """Where the innermost element of these names stands, -1 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def first_above(self, floor: int, names) -> int:
+        """Where the outermost element of these names inside ``floor`` stands, -1 if there is none."""
+        found = []
+        for n in names:
+            where = self.at.get(n) or ()
+            i = bisect.bisect_right(where, floor)
+            if i < len(where):
+                found.append(where[i])
+        return min(found, default=-1)
+
+
 def parse(html: str) -> Node:
     root = Node("#root", None)
-    node, chain = root, []  # chain: open elements under root, blocks with their node, inlines with None
+    node, chain = root, _Chain()
     buffer: list[str] = []
-    linked = 0
-    anchors = 0
+    linked = anchors = 0
 
     def flush() -> None:
         nonlocal linked
@@ -120,79 +212,54 @@ def parse(html: str) -> Node:
 
     def close(upto: int) -> None:
         nonlocal node, anchors
-        for name, own in reversed(chain[upto:]):
+        while len(chain.open) > upto:
+            name, own = chain.pop()
             if own is not None:
                 flush()
                 node = own.parent
             elif name == "a":
                 anchors -= 1
-        del chain[upto:]
 
-    pos, end = 0, len(html)
-    while pos < end:
-        m = _TOKEN.match(html, pos)
-        pos = m.end()
-        name = m.group(2)
-        if name is None:
-            piece = m.group()
-            if piece[0] != "<" or piece == "<":
-                buffer.append(piece)
-                if anchors:
-                    linked += len(piece)
-            continue
-        name = name.lower()
-        if m.group(1):
-            for i in range(len(chain) - 1, -1, -1):
-                if chain[i][0] == name:
-                    if name not in ("body", "html"):
-                        close(i)
-                    break
-                if name not in BLOCKS and chain[i][1] is not None:
-                    break  # an inline end tag does not close blocks
+    for kind, name, attributes in tokens(html):
+        if kind == "text":
+            buffer.append(name)
+            if anchors:
+                linked += len(name)
+        elif kind == "close":
+            at = chain.last(name)
+            # an inline end tag does not close blocks
+            if at >= 0 and name not in ("body", "html") and (name in BLOCKS or not chain.blocks or at > chain.blocks[-1]):
+                close(at)
             if name in BLOCKS:
                 flush()
-            continue
-        if name in RAW or name in SKIPPED:
-            if name in CONTROLS:
-                node.controls += 1
-            if not m.group(3).endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-                pos = stop.end() if stop else (end if name in ("script", "style") else pos)
+        elif name in UNSEEN:
+            node.controls += name in CONTROLS
             buffer.append(" ")
-            continue
-        if name in VOID:
-            if name == "input":
-                node.controls += 1
+        elif name in VOID:
+            node.controls += name == "input"
             if name == "hr":
-                close(next((i for i, (n, _) in enumerate(chain) if n == "p"), len(chain)))
+                if chain.last("p") >= 0:
+                    close(chain.last("p"))
                 flush()
             buffer.append(" ")
-            continue
-        if name not in BLOCKS:
+        elif name not in BLOCKS:
             if name != "head":
                 anchors += name == "a"
-                chain.append((name, None))
-            continue
-        if name in ("html", "body") and any(n == name for n, _ in chain):
+                chain.push(name, None)
+        elif name in ("html", "body") and chain.last(name) >= 0:
             continue
-        if name in CLOSES_P:
-            at = next((i for i in range(len(chain) - 1, -1, -1) if chain[i][0] == "p"), None)
-            if at is not None:
-                close(at)
-        if name in NEVER_NESTED:
-            at = None
-            for i in range(len(chain) - 1, -1, -1):
-                if chain[i][0] in SCOPES[name]:
-                    break
-                if chain[i][0] in NEVER_NESTED[name]:
-                    at = i
-            if at is not None:
+        else:
+            if name in CLOSES_P and (at := chain.last("p")) >= 0:
                 close(at)
-        flush()
-        groups, hidden, gold = _attributes(m.group(3)) if m.group(3) else (0, False, False)
-        node = Node(name, node, groups, hidden)
-        node.gold = gold
-        chain.append((name, node))
+            if name in NEVER_NESTED:
+                at = chain.first_above(chain.last(*SCOPES[name]), NEVER_NESTED[name])
+                if at >= 0:
+                    close(at)
+            flush()
+            groups, hidden, gold = _attributes(attributes) if attributes else (0, False, False)
+            node = Node(name, node, groups, hidden)
+            node.gold, node.controls = gold, int(name in CONTROLS)
+            chain.push(name, node)
     close(0)
     flush()
     return root
@@ -234,6 +301,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             bits |= holds[id(k)]
         holds[id(n)] = bits
     siblings: dict[int, int] = {}
+    alike = {id(n): Counter(k.tag for k in n.kids) for n in nodes if n.kids}
     for n in nodes[1:]:
         depth, above, tags = state[id(n.parent)]
         at = siblings.get(id(n.parent), 0)
@@ -244,7 +312,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         state[id(n)] = (depth + 1, above | n.groups, tags | bit)
         before = kids[at - 1].size if at else 0
         after = kids[at + 1].size if at + 1 < len(kids) else 0
-        same = sum(k.tag == tag for k in kids) / len(kids) if len(kids) <= 64 else 0.5
+        same = alike[id(n.parent)][tag] / len(kids)
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         rows.append([
             _TAG_AT.get(tag, -1), heading, *((n.groups >> g) & 1 for g in range(N_GROUPS)), *((above >> g) & 1 for g in range(N_GROUPS)),
@@ -352,8 +420,9 @@ def extract(pages: DataFrame, model: Trees | None = None, html_col: str = "html"
     def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(main_texts(part.tolist(), shared.value), dtype=object)
+        give_back()
 
-    return pages.withColumn(text_col, text_of(F.col(html_col).cast("string")))
+    return pages.withColumn(text_col, text_of(named(html_col).cast("string")))
 
 
 # --- generated training pages ------------------------------------------------------------------

@@ -400,6 +400,122 @@ def test_extraction_cases(spark):
     assert got[2] == got[3] == "" and got[4] is not None
 
 
+GOLD_BREAK = re.compile(r"<(?:h1|/h1|p|/p|article|/article)>")
+
+
+def gold_blocks(page):
+    """The blocks of a test page's article, read by hand: its pages hold h1 and p, with b and br inside."""
+    import html as entities
+
+    inside = page[page.index("<article>") : page.index("</article>")]
+    out = []
+    for part in GOLD_BREAK.split(inside):
+        text = " ".join(entities.unescape(re.sub(r"</?b>|<br>", lambda m: " " if m[0] == "<br>" else "", part)).split())
+        if text:
+            out.append(text)
+    return out
+
+
+def test_blocks_of_the_test_pages(spark, sf):
+    """Precision and recall of blocks, by count, on every page of the table against its article."""
+    rows = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/pages.parquet").collect()
+    assert len(rows) >= 100
+    from collections import Counter
+
+    found = html.main_texts([r.html for r in rows], html.trained())
+    right = kept = wanted = whole = 0
+    for r, text in zip(rows, found):
+        gold, got = Counter(gold_blocks(r.html)), Counter(text.split("\n") if text else [])
+        right, kept, wanted = right + (gold & got).total(), kept + got.total(), wanted + gold.total()
+        whole += text == "\n".join(gold_blocks(r.html))
+    assert right / kept >= 0.99 and right / wanted >= 0.99 and whole >= 0.97 * len(rows), (right / kept, right / wanted, whole / len(rows))
+
+
+def test_text_of_any_element_counts():
+    page = ("<html><body><nav><a href=/>Home</a><a href=/b>All news</a></nav><article><h1>On energy and mass</h1><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> equal to mass, by a long known law of nature.</p>"
+            "<noscript><p>Shown where scripts are not run, as a paragraph of its own.</p></noscript><xmp>a <b> &amp; c, printed as it stands</xmp>"
+            "<object><p>What stands for an object that cannot be shown here.</p></object><map><p>The text that stands in a map of this page.</p></map>"
+            "<video>A film of the experiment, in words.</video><p>Closing words <svg><text>drawn</text></svg> and <canvas>painted</canvas> of it.</p></article><footer>&copy; 2024</footer></body></html>")
+    text = html.main_texts([page], html.trained())[0]
+    for part in ("Energy is E=m equal", "Shown where scripts", "a <b> &amp; c, printed", "What stands for an object", "text that stands in a map", "A film of the experiment", "drawn and painted of it"):
+        assert part in text, (part, text)
+    assert "Home" not in text and "2024" not in text
+
+
+@pytest.mark.parametrize("unit", ["\"'", "<div>", "<svg>", '"<a ', "<a x=\"'", '<a x=">" ', "<b>", "<li><div>", "<td>", "</i><b>", "<p>x", "<!--", "<textarea>", "<a<", "<a b='"])
+def test_parsing_takes_linear_time(unit):
+    import time
+
+    begun = time.perf_counter()
+    nodes = html.walk(html.parse(unit * (1_000_000 // len(unit))))
+    if len(nodes) > 1:
+        html.features(nodes)
+    assert time.perf_counter() - begun < 20  # a second or two each, seven for the deepest trees
+
+
+def brute_parse(page):
+    """Text leaves with the block tags above them, by a plain scan for well-formed pages."""
+    out, above, text = [], [], ""
+    for m in re.finditer(r"<(/?)(\w+)([^>]*)>|([^<]+)", page):
+        if m[4]:
+            text += m[4]
+        elif m[2] in html.BLOCKS:
+            if " ".join(text.split()):
+                out.append((tuple(above), " ".join(text.split())))
+            text = ""
+            above = above[:-1] if m[1] else [*above, m[2]]
+    return [*out, ((), " ".join(text.split()))] if text.split() else out
+
+
+def test_parsing_and_features_against_brute_force():
+    rng = random.Random(12)
+
+    def piece(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(["some text. ", "more, ", "<b>bold</b> ", "<a href='/x'>a link</a> ", "<i>x</i>y"])
+        tag = rng.choice(["div", "section", "ul", "article", "blockquote"])
+        return f"<{tag}>" + "".join(piece(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(200):
+        page = "".join(piece(4) for _ in range(3))
+        nodes = html.walk(html.parse(page))
+        leaves = []
+        for n in nodes:
+            if n.text:
+                path, up = [], n.parent
+                while up.parent is not None:
+                    path.append(up.tag)
+                    up = up.parent
+                leaves.append((tuple(reversed(path)), n.text))
+        assert leaves == brute_parse(page)
+        rows = html.features(nodes)
+        below = lambda n: [n, *(x for k in n.kids for x in below(k))]
+        first = 2 + 2 * html.N_GROUPS + 12
+        for n, row in zip(nodes[1:], rows):
+            size = sum(len(x.text) for x in below(n))
+            assert row[first] == pytest.approx(np.log1p(size)) and row[first + 3] == pytest.approx(np.log1p(len(below(n)) - 1))
+            depth, up = 0, n.parent
+            while up.parent is not None:
+                depth, up = depth + 1, up.parent
+            assert row[first + 8] == depth
+            assert row[first + 11] == pytest.approx(sum(k.tag == n.tag for k in n.parent.kids) / len(n.parent.kids))
+
+
+def test_siblings_count_at_any_number():
+    nodes = html.walk(html.parse("<div>" + "<p>x</p>" * 200 + "<ul></ul></div>"))
+    rows = html.features(nodes)
+    same = 2 + 2 * html.N_GROUPS + 12 + 11
+    assert rows[[i for i, n in enumerate(nodes[1:]) if n.tag == "p"][0]][same] == pytest.approx(200 / 201)
+
+
+def test_extraction_of_repeated_rows_and_ties(spark):
+    page = "<body><article><h1>Same</h1><p>The same words in both of the paragraphs.</p><p>The same words in both of the paragraphs.</p></article></body>"
+    rows = spark.createDataFrame([(1, page, "kept"), (1, page, "kept"), (2, page, None)], "page_id long, html string, text string")
+    got = html.extract(rows).collect()
+    assert len(got) == 3 and {r.text for r in got} == {"Same\nThe same words in both of the paragraphs.\nThe same words in both of the paragraphs."}
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = random.Random(3)
     for _ in range(20):
