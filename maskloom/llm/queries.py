@@ -47,7 +47,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0)).drop("depth")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.capture_histories(_table(spark, sf_dir, "pages"))
-    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_pos")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,20 @@ def oracle_sql() -> dict[str, str]:
                        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
                  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-        "op9_warc": """
-            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
-                 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        "op9_warc": r"""
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h, coalesce(url, '') AS url FROM pages),
+                 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+                              regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)', 1) AS host,
+                              regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*([^#]*)', 1) AS path,
+                              regexp_matches(url, '^(?:[a-zA-Z][\w+.-]*:)?//') AS full_url FROM p),
+                 g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(host), '^.*@', ''), ':(?:80|443)?$', ''), '^www\d*\.', '') AS name FROM f),
+                 k AS (SELECT *, CASE WHEN full_url
+                                      THEN array_to_string(list_reverse(string_split(string_split(name, ':')[1], '.')), ',')
+                                           || CASE WHEN contains(name, ':') THEN substr(name, instr(name, ':')) ELSE '' END
+                                           || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+                                      ELSE lower(string_split(url, '#')[1]) END AS url_key FROM g)
             SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
                    CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-                   CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
+                   CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, url_key,
+                   row_number() OVER (ORDER BY url_key, page_id % 2147483648, page_id) AS history_pos FROM k""",
     }
