@@ -1,18 +1,22 @@
 """Exact top-k inner product search by no-random-access aggregation (NRA).
 
 The candidates are dealt into shards by a hash of their id. Within a shard every
-dimension has a list of the candidates sorted by that component, read from its
-high end for a positive query weight and from its low end for a negative one. All
-lists are read in step, a growing prefix at a time. What has been read of a
-candidate gives its lower bound (unread components count as the list's far end)
-and its upper bound (they count as the list's frontier). Reading stops for a query
-when no candidate outside those that may still win has an upper bound reaching the
-k-th lower bound; the scores of the few left are then resolved exactly. Bounds of
-all queries of a block are kept at once, as masked matrix products.
-
-A task holds one shard (about ``SHARD_ROWS`` candidates) and one block of queries,
-so memory is bounded however many there are of either. Each returns its k best a
-query; a partial aggregate and a merge of those lists give the result.
+dimension has a list of the candidates sorted by that component, read from its high end
+for a positive query weight, from its low end for a negative one, and not at all for
+zero. All lists are read in step, a chunk of entries at a time. A candidate's lower bound counts its unread components as the far end of
+their lists, its upper bound counts them as the cursor's entry. Reading an entry raises
+the lower bound of its candidate alone. A candidate is out for good when its upper bound
+falls below the k-th lower bound; upper bounds are brought up to date only for those not
+yet out, and once no unseen candidate can qualify. Reading stops when k are left, or no
+more than would be resolved faster than read on; the scores of those left are then
+resolved exactly from their vectors.
+
+A task holds one shard (about ``SHARD_ROWS`` candidates) and one block of queries, so
+memory is bounded however many there are of either. For N candidates and Q queries
+``N * ceil(Q / QUERY_BLOCK) + Q * ceil(N / SHARD_ROWS)`` rows are shuffled; with Q a fixed
+share of N this grows with the square of N, as the number of scores asked for does.
+Each task returns its k best a query; a partial aggregate and a merge of those lists
+give the result.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 take no part; shorter vectors count as padded with zeros; a query never finds its
@@ -29,11 +33,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import give_back, named
 from maskloom.runtime import ship
 
 K, SCALE = 10, 1024
-SHARD_ROWS, QUERY_BLOCK = 4096, 1024
-DEPTHS = (0.25, 0.375, 0.5, 0.625, 0.75, 1.0)
+LEFT = 64  # so few candidates are resolved rather than read on
+SHARD_ROWS, QUERY_BLOCK = 8192, 16384
+CHUNK, ROUNDS = 64, 32
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -43,82 +49,91 @@ def scaled(vector: Column, scale: int = SCALE) -> Column:
     return F.when(~bad, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
 
 
-def nra(vectors: np.ndarray, queries: np.ndarray, own: list[np.ndarray], k: int, depths=DEPTHS):
-    """For each query, the indices of all candidates that may be among its k best.
-
-    ``own[q]`` are the candidates that the query must not find. Bounds are float64;
-    a slack covers their rounding, so that no winner is lost.
-    """
-    n = len(vectors)
-    if n <= k:
-        return [np.arange(n)] * len(queries), 1.0
-    x = vectors.astype(np.float64)
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None] * np.ones((1, x.shape[1]), np.int64), axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    low, high = ordered[0], ordered[-1]
-    up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    slack = 1e-9 * (np.abs(queries).astype(np.float64) @ np.maximum(np.abs(low), np.abs(high)))
-    live, result = np.arange(len(queries)), [np.zeros(0, np.int64)] * len(queries)
-    open_ = np.arange(n)  # candidates that some live query may still need
-    read = 0.0
-    for depth in depths:
-        read = depth
-        t = min(n, max(k, int(np.ceil(n * depth))))
-        top, bottom = ordered[n - t], ordered[t - 1]  # the frontiers
-        xs, rs = x[open_], rank[open_]
-        from_top, from_bottom = rs >= n - t, rs < t
-        least = up[live] @ np.where(from_top, xs, low).T + down[live] @ np.where(from_bottom, xs, high).T
-        most = up[live] @ np.where(from_top, xs, top).T + down[live] @ np.where(from_bottom, xs, bottom).T
-        where = {int(c): i for i, c in enumerate(open_)} if any(len(own[q]) for q in live) else {}
-        for i, q in enumerate(live):
-            for c in own[q]:
-                if int(c) in where:
-                    least[i, where[int(c)]] = most[i, where[int(c)]] = -np.inf
-        kth = np.partition(least, len(open_) - k, axis=1)[:, len(open_) - k] if len(open_) > k else np.full(len(live), -np.inf)
-        may = most >= (kth - slack[live])[:, None]
-        few = (may.sum(1) <= 4 * k) | (t == n)
-        for i in np.flatnonzero(few):
-            result[live[i]] = open_[may[i]]
-        live, may = live[~few], may[~few]
-        if not len(live):
-            break
-        open_ = open_[may.any(0)]
-    return result, read
+class Lists:
+    """The candidates of a shard as a sorted list for each dimension."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.x = vectors
+        self.count, self.width = vectors.shape
+        columns = np.ascontiguousarray(vectors.T, np.float64)
+        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)  # ids of each list, ascending
+        self.value = np.take_along_axis(columns, self.order, 1)
+        self.rank = np.empty((self.count, self.width), np.int32)  # where a candidate stands in each list
+        self.rank[self.order.ravel(), np.repeat(np.arange(self.width), self.count)] = np.tile(np.arange(self.count, dtype=np.int32), self.width)
+        self.largest = np.maximum(np.abs(self.value[:, 0]), np.abs(self.value[:, -1]))
+
+    def nra(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """The candidates that may be among the k best, those of ``own`` left out, and how many
+        entries of every list were read. Bounds are float64; a slack covers their rounding."""
+        n, used = self.count, np.flatnonzero(query)
+        allowed = np.ones(n, bool)
+        allowed[own] = False
+        if n - len(own) <= k or not len(used):
+            return np.flatnonzero(allowed), 0
+        weight = query[used].astype(np.float64)
+        slack = 1e-9 * float(np.abs(weight) @ self.largest[used])
+        high = weight > 0
+        far = weight * np.where(high, self.value[used, 0], self.value[used, -1])
+        lower = np.where(allowed, far.sum(), -np.inf)
+        live, depth, step = None, 0, max(CHUNK, n // ROUNDS)
+        while depth < n:
+            upto = min(n, depth + step)
+            for mine, window, end in ((used[high], slice(n - upto, n - depth), 0), (used[~high], slice(depth, upto), n - 1)):
+                gain = query[mine, None] * (self.value[mine, window] - self.value[mine, end, None])  # what an entry is above the far end
+                lower += np.bincount(self.order[mine, window].ravel(), gain.ravel(), n)
+            depth = upto
+            frontier = weight * np.where(high, self.value[used, n - depth], self.value[used, depth - 1])
+            kth = np.partition(lower, n - k)[n - k]
+            if live is None:
+                if frontier.sum() >= kth - slack:
+                    continue  # a candidate not seen yet may still be among the best
+                live = np.flatnonzero(lower > far.sum())
+            ranks = self.rank[live][:, used]
+            unread = np.where(high, ranks < n - depth, ranks >= depth)  # counts as the frontier in place of the far end
+            live = live[lower[live] + unread @ (frontier - far) >= kth - slack]
+            if len(live) <= max(k, LEFT):
+                return live, depth
+        return np.flatnonzero(allowed) if live is None else live, n
 
 
 def _search(k: int):
     def of(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        names = ["query_id", "vec_id", "score", "depth"]
+        empty = pd.DataFrame({n: [] for n in names}).astype("int64")
         if not len(candidates) or not len(queries):
             return empty
         width = max(max(map(len, candidates["v"])), max(map(len, queries["v"])), 1)
-        pack = lambda vs: np.stack([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in vs])
+
+        def pack(vs) -> np.ndarray:
+            out = np.zeros((len(vs), width), np.int64)
+            for i, v in enumerate(vs):
+                out[i, : len(v)] = v
+            return out
+
         ids, asked = candidates["id"].to_numpy(), queries["id"].to_numpy()
-        x, q = pack(candidates["v"]), pack(queries["v"])
+        q, lists = pack(queries["v"]), Lists(pack(candidates["v"]))
         place: dict[int, list[int]] = {}
         for i in np.flatnonzero(np.isin(ids, asked)):
             place.setdefault(int(ids[i]), []).append(int(i))
-        own = [np.array(place.get(int(a), []), np.int64) for a in asked]
-        found, _ = nra(x, q, own, k)
         out = []
-        for i, at in enumerate(found):
-            at = at[ids[at] != asked[i]]
-            score = x[at] @ q[i]
+        for i, one in enumerate(asked.tolist()):
+            at, depth = lists.nra(q[i], np.array(place.get(one, []), np.int64), k)
+            score = lists.x[at] @ q[i]
             best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+            out.append(pd.DataFrame({"query_id": one, "vec_id": ids[at][best], "score": score[best], "depth": depth}))
+        give_back()
+        return pd.concat(out, ignore_index=True)[names] if out else empty
 
     return of
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
           scale: int = SCALE, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of ``vectors`` for each row of ``queries``."""
+    """(query_id, rank, vec_id, score, depth): the k best of ``vectors`` for each row of ``queries``;
+    depth is how many entries of each list the row's shard had read for the query when it stopped."""
     ship(vectors.sparkSession)
     take = lambda df: df.select(
-        F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
+        named(id_col).cast("long").alias("id"), scaled(named(vector_col), scale).alias("v")).where("id is not null and v is not null")
     have = take(vectors)
     asked = take(queries).groupBy("id").agg(F.min("v").alias("v"))
     size, many = have.count(), asked.count()
@@ -128,9 +143,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     left = have.withColumn("shard", deal(shards, 1)).withColumn("block", every(blocks))
     right = asked.withColumn("block", deal(blocks, 2)).withColumn("shard", every(shards))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
-        _search(k), "query_id long, vec_id long, score long")
+        _search(k), "query_id long, vec_id long, score long, depth long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "depth")
 
 
