@@ -561,6 +561,26 @@ def test_top_k_against_brute_force(spark, shard_rows, query_block):
     assert few.count() == 3 and topk.top_k(table.where("false"), table).count() == 0
 
 
+def test_reading_stops_before_the_end_on_skewed_lists():
+    rng = np.random.default_rng(2)
+    x = np.floor(1024 * rng.exponential(1.0, (5000, 6)) ** 3).astype(np.int64)
+    lists = topk.Lists(x)
+    for query in (np.array([5, 1, 0, 2, 1, 3]), np.array([900, 1, 1, 0, 0, 0]), np.array([-1, 0, 2, 0, -3, 1])):
+        at, depth = lists.nra(query, np.array([17]), 10)
+        best = sorted((-int(x[i] @ query), i) for i in range(len(x)) if i != 17)[:10]
+        assert {i for _, i in best} <= set(at.tolist()) and depth <= len(x) / 2, depth
+        assert len(at) <= topk.LEFT and 17 not in at
+    ties = topk.Lists(np.ones((500, 4), np.int64))
+    assert len(ties.nra(np.array([1, 1, 1, 1]), np.array([], int), 10)[0]) == 500  # none can be told from another
+
+
+def test_top_k_of_ties_repeated_and_long_vectors(spark):
+    rows = [(i, [1.0, 2.0, 0.0]) for i in range(30)] + [(30, [0.0, 0.0, 0.0]), (31, [3.0] * 500), (5, [1.0, 2.0, 0.0]), (None, [9.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(table, table.where("vec_id in (0, 5, 30, 31)"), shard_rows=7).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_topk(rows, [0, 5, 30, 31])
+
+
 # --- personal data
 
 BASE = {
@@ -681,7 +701,7 @@ def test_warc_round_trip(spark, tmp_path):
     body = "<p>" + "ä" * 100 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(5, "http://www.Example.com:80/b?q#f", body), (3, "https://example.com/a", body), (9, None, body), (1, "x\ny", "short"), (2, "http://a.b/", "short"), (4, "http://a.b/", None), (None, "http://z/", "q" * 200)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
-    got = warc.capture_histories(pages, str(tmp_path / "a"), records_per_file=2).orderBy("merge_part", "merge_pos").collect()
+    got = warc.capture_histories(pages, str(tmp_path / "a"), records_per_file=2).orderBy("history_pos").collect()
     by = {r.page_id: r for r in got}
     assert len(got) == len(rows) and [(by[i].record_type, by[i].refers_to) for i in (3, 5, 9)] == [("response", None), ("revisit", 3), ("revisit", 3)]
     assert all(by[i].record_type == "response" for i in (1, 2, 4, None))
@@ -696,7 +716,60 @@ def test_loser_tree():
     rng = random.Random(0)
     for k in (0, 1, 2, 3, 7, 16):
         runs = [sorted(rng.randrange(30) for _ in range(rng.randrange(12))) for _ in range(k)]
-        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+        tree, out = warc.LoserTree(lambda x: x), []
+        for first, run, rows in sorted((r[at], i, r[at : at + 3]) for i, r in enumerate(runs) for at in range(0, len(r), 3)):
+            while tree.peek() is not None and tree.peek() < first:
+                out.append(tree.take())
+            tree.feed(run, rows)
+            assert len(tree.slot) <= k
+        while tree.peek() is not None:
+            out.append(tree.take())
+        assert out == sorted(x for r in runs for x in r)
+
+
+def test_merge_holds_one_block_a_run():
+    keys = [(f"u{i:06d}", "t", i, "", "", None, 0, "", "", 0) for i in range(20_000)]
+    import pandas as pd
+
+    runs = {f"r{j}": keys[j::5] for j in range(5)}
+    blocks = sorted((b[3], b[0], b[1], b[5]) for name, rows in runs.items() for b in warc._blocks(name, rows))
+    held, most = {}, 0
+
+    class Watched(warc.LoserTree):
+        def feed(self, run, rows):
+            nonlocal most
+            super().feed(run, rows)
+            most = max(most, sum(len(r) - at for r, at in zip(self.rows, self.at)))
+
+    real, warc.LoserTree = warc.LoserTree, Watched
+    try:
+        frame = pd.DataFrame([(0, r, f, c) for f, r, _, c in blocks], columns=["part", "run", "first", "captures"])
+        got = [row for _, row in warc._merged(iter([frame]), lambda part: (None, None))]
+    finally:
+        warc.LoserTree = real
+    assert got == keys and most <= 5 * 2 * warc.BLOCK and not held
+
+
+@pytest.mark.parametrize("fan_in,range_rows", [(512, 10_000), (3, 40)])
+def test_captures_in_one_global_order(spark, tmp_path, monkeypatch, fan_in, range_rows):
+    rng = random.Random(5)
+    same = "<p>" + "hot payload " * 20 + "</p>"
+    rows = [(i, rng.choice(["http://hot.example/", f"https://www.h{rng.randrange(9)}.org:443/p?{rng.randrange(5)}", "no url", None, "//x.y/é"]),
+             same if i % 3 == 0 else f"page {i} " * rng.randrange(30)) for i in range(400)]
+    rows += [rows[3], (3, rows[3][1], "another text of the same id " * 9), (None, "http://hot.example/", same), (7, "http://long/", "long " * 400_000)]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    monkeypatch.setattr(warc, "BLOCK", 8)
+    got = warc.capture_histories(pages, str(tmp_path / "a"), fan_in, range_rows, records_per_file=20).orderBy("history_pos").collect()
+    keys = [(warc.url_key(r.url), r.captured_at, r.page_id is None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys) and [r.history_pos for r in got] == list(range(1, len(rows) + 1))
+    assert range_rows > 100 or len({r.merge_part for r in got}) > 3
+    big = [r for r in rows if len((r[2] or "").encode()) >= 100 and r[0] is not None]
+    first = {}
+    for i, _, h in big:
+        first[h] = min(first.get(h, i), i)
+    want = sorted((str(i), str(first[h]) if (i, u, h) in big and first[h] != i else "None", hashlib.sha256(h.encode()).hexdigest()) for i, u, h in rows)
+    assert sorted((str(r.page_id), str(r.refers_to), r.payload_digest) for r in got) == want
 
 
 # --- licences
