@@ -1,22 +1,23 @@
 """License scan: a trained paragraph classifier confirmed by templates (DataFrame functions only).
 
 A multinomial logistic regression over sparse word 1- to 3-grams tells licence
-families apart from each other and from ordinary text. Its features are the grams
-that hold at least one licence word, so a paragraph (a line) without such a word has
-no feature and is unknown by construction: only lines with one are scored, whatever
-the size of the text. Probabilities are scaled by a temperature, and a paragraph is
-unknown below a threshold, both calibrated on paragraphs held out of the fit. A
-prediction is confirmed if at least ``SIMILARITY`` of the paragraph's five-word
-shingles are shingles of the family's templates.
+families apart from each other and from ordinary text. Weights that the fit leaves near
+zero are set to zero. Every paragraph (a line) is judged: one that holds no word of any
+gram with a weight has the bias alone as its score, which is the same for all such lines
+and names no licence, so only the others are summed up gram by gram, whatever the size of
+the text. Probabilities are scaled by a temperature, and a paragraph is unknown below a
+threshold, both calibrated on paragraphs held out of the fit, among them paragraphs of
+licences that have no family here. A prediction is confirmed if at least ``SIMILARITY`` of
+the paragraph's five-word shingles are shingles of the family's templates.
 
 The model is fitted on the driver, once per process, on paragraphs generated from the
-templates below and on ordinary sentences (sizes fixed, seeded). It travels in the plan
-as literals, whose size does not depend on the data. Rows are scored where they are
-read: there is no shuffle, so no key can be hot.
+templates below, on ordinary sentences and on other licences (sizes fixed, seeded). It
+travels in the plan as literals, whose size does not depend on the data. Rows are scored
+where they are read: there is no shuffle, so no key can be hot.
 
 Defined results: null and empty text have no licence; ties go to the family first in
-name; repeated rows give repeated results; empty input gives empty output. Other
-columns are ignored.
+name; repeated rows give repeated results; texts of any length are read whole; empty input
+gives empty output. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,35 +26,63 @@ import json
 import random
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import named as column
+
 SHINGLE, SIMILARITY = 5, 0.8
-SAMPLES, ROUNDS, SEED = 60, 250, 3
+SAMPLES, ROUNDS, SEED = 120, 300, 3
+LEAST_WEIGHT, BUCKETS = 0.05, 4096
 NONE = "none"
+#: Words that carry no feature of their own: a gram needs a word of the templates that is not one of these.
+FUNCTION_WORDS = frozenset(
+    "a about above after all also an and any are as at be been before being below between both but by can could did do does "
+    "during each either for from further had has have having he her here his how i if in into is it its itself just me more most "
+    "my no nor not now of off on once one only or other our out over own s same she should so some such t than that the their them "
+    "then there these they this those through to too two under until up upon us very was we were what when where which while who "
+    "whom why will with without would you your yours der unter".split())
+# Paragraphs of licences as they are published.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This project is released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "Apache License Version 2.0, January 2004",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions:",
+        "This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file.",
     ],
     "MIT": [
         "Released under the MIT License.", "Licensed under the MIT License.", "This software is distributed under the MIT license.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
         "Distributed under MIT.", "Available under the terms of MIT.", "Veröffentlicht unter der MIT-Lizenz.", "MIT-Lizenz", "MIT licensed",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License version 2.", "Released under the GNU GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        "When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure that you have the freedom to distribute copies of free software (and charge for this service if you wish).",
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program.",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice.",
+        "You may modify your copy or copies of the Program or any portion of it, thus forming a work based on the Program, and copy and distribute such modifications or work under the terms of Section 1 above.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL v3.", "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "AGPL": [
         "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
@@ -63,17 +92,29 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions.",
     ],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
     "CC0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
-    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Released under The Unlicense."],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense", "Released under The Unlicense.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ],
     "Proprietary": ["All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 ORDINARY = """The driver needs a valid license to rent the car.
@@ -104,11 +145,41 @@ Der Vertrag mit der Firma endet im Mai.
 Mit einem Lächeln gab er ihr das Buch zurück.
 Das Haus mit dem roten Dach steht unter der alten Linde.
 Er fährt mit und sie kommt mit ihren Kindern.
-Students at MIT met under the terms of the agreement.""".splitlines()
-ANCHORS = frozenset(
-    "mit license licence licensed licenses licensing unlicense spdx copyright copyrighted apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 isc "
-    "creative commons sharealike noncommercial redistribution redistributions redistribute warranties warranty sublicense permission "
-    "unencumbered waived proprietary confidential reserved affero lesser".split())
+Students at MIT met under the terms of the agreement.
+You may copy the recipe and share it with your friends.
+The program of the concert lists works by three authors.
+Please publish the results in any medium that you like.
+The code of the door is changed every month.
+In no event may children enter the pool without an adult.
+The holder of the ticket is free to change the seat.
+Damages from the storm were limited to two houses.
+She wrote the software that the company uses to sell shoes.
+This work was made for the benefit of the public library.
+The source of the noise was a file cabinet in the other room.
+Neither the name of the street nor the number was known.
+The following conditions must be met before the flight.
+He received a copy of the book in binary form, as he joked.
+The distribution of goods or services takes place on Friday.
+Everyone is permitted to walk here, but changing the path is not allowed.
+The use of data for research was advised by the council.
+The notice above the door says that all rights are equal.
+A merchant sold goods of a particular kind for a special purpose.
+We speak of freedom, not price, in this essay about markets.
+The terms of the loan, with interest, are in the contract.
+Names of the contributors appear at the end of the magazine.
+They modify the recipe, use it, and sell the bread.
+Any person who obtains a copy of the key may open the gate.
+The author disclaims any link with the paper.""".splitlines()
+OTHER_LICENCES = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+Do what the fuck you want to public license. You just do what the fuck you want to.
+Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission.
+The Original Version of the Font Software may be bundled, redistributed and sold with any software, provided that each copy contains the above notice.
+Boost Software License, Version 1.0, August 17th, 2003
+Eclipse Public License, v 2.0. The accompanying materials are made available under the terms of the agreement.
+The Artistic License 2.0: everyone may copy the package verbatim.
+This code is distributed under the terms of the Academic Free License version 3.0.""".splitlines()
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -116,10 +187,17 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+_CONTENT = frozenset(w for ts in TEMPLATES.values() for t in ts for w in words(t) if len(w) > 1 and not w.isdigit()) - FUNCTION_WORDS
+
+
+def content(word: str) -> bool:
+    return word in _CONTENT
+
+
 def grams(tokens: list[str]) -> list[str]:
-    """The features of a paragraph: 1- to 3-grams with a licence word, once each."""
+    """The features of a paragraph: 1- to 3-grams with a content word, once each."""
     runs = (tokens[i : i + n] for n in (1, 2, 3) for i in range(len(tokens) - n + 1))
-    return list(dict.fromkeys(" ".join(r) for r in runs if not ANCHORS.isdisjoint(r)))
+    return list(dict.fromkeys(" ".join(r) for r in runs if any(map(content, r))))
 
 
 def shingles(tokens: list[str]) -> list[str]:
@@ -139,32 +217,69 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    @cached_property
+    def vocabulary(self) -> list[str]:
+        """The content words of the grams with a weight: a line without any of them scores the bias."""
+        return sorted({w for g in self.weights for w in g.split(" ") if content(w)})
+
 
 def _varied(rng: random.Random, text: str) -> str:
     """A paragraph as it may come: other words around, a word lost, only a part."""
     tokens = text.split()
-    if len(tokens) > 12 and rng.random() < 0.4:
+    if len(tokens) > 12 and rng.random() < 0.5:
         at = rng.randrange(len(tokens) - 8)
-        tokens = tokens[at : at + rng.randint(8, len(tokens) - at)]
+        tokens = tokens[at : at + (rng.randint(8, 14) if rng.random() < 0.6 else rng.randint(8, len(tokens) - at))]
     if len(tokens) > 6 and rng.random() < 0.2:
         del tokens[rng.randrange(len(tokens))]
     noise = lambda: ["".join(rng.choice("abdeghilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(0, 6))]
     return " ".join([*noise(), *tokens, *noise()] if rng.random() < 0.5 else tokens)
 
 
-def _samples(rng: random.Random, families: list[str], many: int) -> list[tuple[str, int]]:
+def _samples(rng: random.Random, families: list[str], many: int, others: list[str]) -> list[tuple[str, int]]:
     out = [(_varied(rng, rng.choice(TEMPLATES[f])), i) for i, f in enumerate(families[:-1]) for _ in range(many)]
-    vocabulary = sorted(ANCHORS)
+    vocabulary = sorted(_CONTENT)
     for _ in range(many * len(families)):
-        text = _varied(rng, rng.choice(ORDINARY))
-        if rng.random() < 0.3:
+        text = _varied(rng, rng.choice(others) if rng.random() < 0.1 else rng.choice(ORDINARY))
+        if rng.random() < 0.5:  # words of licences by themselves do not make one
             tokens = text.split()
-            tokens.insert(rng.randrange(len(tokens) + 1), rng.choice(vocabulary))
+            for _ in range(rng.randint(1, 3)):
+                tokens.insert(rng.randrange(len(tokens) + 1), rng.choice(vocabulary))
             text = " ".join(tokens)
         out.append((text, len(families) - 1))
     return out
 
 
+class _Rows:
+    """Sparse 0/1 rows, by row and by gram."""
+
+    def __init__(self, paragraphs: list[str], number: dict[str, int]):
+        found = [[number[g] for g in grams(words(t)) if g in number] for t in paragraphs]
+        sizes = np.array([len(f) for f in found])
+        self.count, self.width = len(found), len(number)
+        self.row = np.repeat(np.arange(len(found)), sizes)
+        self.gram = np.array([g for f in found for g in f], np.int64)
+        self.by_gram = np.argsort(self.gram, kind="stable")
+
+    @staticmethod
+    def _sums(values: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
+        out = np.zeros((count, values.shape[1]))
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        if len(first):
+            out[keys[first]] = np.add.reduceat(values, first, 0)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[self.gram], self.row, self.count)
+
+    def transposed_times(self, error: np.ndarray) -> np.ndarray:
+        return self._sums(error[self.row[self.by_gram]], self.gram[self.by_gram], self.width)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 _fitted: list[Model] = []
 
 
@@ -172,46 +287,41 @@ def fit() -> Model:
     if _fitted:
         return _fitted[0]
     rng, families = random.Random(SEED), [*sorted(TEMPLATES), NONE]
-    # every template comes once as it is; a paragraph whose part has no licence word is ordinary
-    train = [(t, i) for i, f in enumerate(families[:-1]) for t in TEMPLATES[f]] * 4 + _samples(rng, families, SAMPLES)
-    held = _samples(rng, families, SAMPLES // 2)
-    vocabulary = sorted({g for t, _ in train for g in grams(words(t))})
-    number = {g: i for i, g in enumerate(vocabulary)}
-
-    def matrix(rows):
-        x = np.zeros((len(rows), len(vocabulary)))
-        for i, (t, _) in enumerate(rows):
-            x[i, [number[g] for g in grams(words(t)) if g in number]] = 1
-        y = np.array([len(families) - 1 if not grams(words(t)) else c for t, c in rows])
-        return x, y
-
-    x, y = matrix(train)
+    last = len(families) - 1
+    # every paragraph comes as it is too; of the other licences, half are held out
+    train = [(t, i) for i, f in enumerate(families[:-1]) for t in TEMPLATES[f]] * 4 + [(t, last) for t in ORDINARY] * 3
+    train += _samples(rng, families, SAMPLES, OTHER_LICENCES[::2])
+    held = _samples(rng, families, SAMPLES // 2, OTHER_LICENCES[1::2])
+    seen: dict[str, int] = {}
+    for t, _ in train:
+        for g in grams(words(t)):
+            seen[g] = seen.get(g, 0) + 1
+    published = {g for t in (*(t for ts in TEMPLATES.values() for t in ts), *ORDINARY, *OTHER_LICENCES) for g in grams(words(t))}
+    number = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and g in published))}
+    x, y = _Rows([t for t, _ in train], number), np.array([c for _, c in train])
     target = np.eye(len(families))[y]
-    w, b, rate = np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 2.0
+    w, b, rate = np.zeros((len(number), len(families))), np.zeros(len(families)), 2.0
     for _ in range(ROUNDS):
-        z = x @ w + b
-        e = np.exp(z - z.max(1, keepdims=True))
-        error = (e / e.sum(1, keepdims=True) - target) / len(x)
-        w -= rate * (x.T @ error + 2e-5 * w)
+        error = (_softmax(x.times(w) + b) - target) / len(y)
+        w -= rate * (x.transposed_times(error) + 2e-5 * w)
         b -= rate * error.sum(0)
-    xh, yh = matrix(held)
-    z = xh @ w + b
+    w[np.abs(w).max(1) < LEAST_WEIGHT] = 0.0
+    yh = np.array([c for _, c in held])
+    z = _Rows([t for t, _ in held], number).times(w) + b
 
-    def loss(t):
-        s = z * t
-        s = s - s.max(1, keepdims=True)
-        return -(s[np.arange(len(yh)), yh] - np.log(np.exp(s).sum(1))).mean()
+    def loss(scale: float) -> float:
+        return -np.log(np.maximum(_softmax(z * scale)[np.arange(len(yh)), yh], 1e-12)).mean()
 
     scale = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    e = np.exp(z * scale - (z * scale).max(1, keepdims=True))
-    p = e / e.sum(1, keepdims=True)
+    p = _softmax(z * scale)
     top, best = p.argmax(1), p.max(1)
-    named = top < len(families) - 1
+    named = top < last
     # the least threshold at which 99 of 100 named paragraphs are right
     threshold = next((t for t in np.arange(0.3, 0.96, 0.05) if (top == yh)[named & (best >= t)].mean() >= 0.99), 0.95)
+    bias = [round(float(v), 4) for v in b * scale]
+    assert max(bias) == bias[-1]  # the bias alone names no licence
     _fitted.append(Model(
-        families, {g: [round(float(v), 5) for v in w[i] * scale] for i, g in enumerate(vocabulary)},
-        [round(float(v), 5) for v in b * scale], round(float(threshold), 2),
+        families, {g: [round(float(v), 4) for v in w[i] * scale] for g, i in number.items() if w[i].any()}, bias, round(float(threshold), 2),
         {f: sorted({s for t in TEMPLATES[f] for s in shingles(words(t))}) for f in families[:-1]}))
     return _fitted[0]
 
@@ -224,10 +334,32 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
-def candidate_lines(text: Column) -> Column:
-    """Lines with at least one licence word."""
-    anchors = "|".join(sorted(ANCHORS, key=lambda a: (-len(a), a)))
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{anchors})(?![\p{{L}}\p{{N}}])"))
+def _one_of(names: list[str]) -> str:
+    """A pattern for the words, grouped by their beginnings so that a word is not tried against all."""
+    if len(names) == 1:
+        return re.escape(names[0])
+    tails: dict[str, list[str]] = {}
+    for n in names:
+        tails.setdefault(n[:1], []).append(n[1:])
+    optional = tails.pop("", None) is not None
+    inner = "|".join(h + (_one_of(ts) if ts != [""] else "") for h, ts in sorted(tails.items()))
+    return f"(?:{inner})" + ("?+" if optional else "")
+
+
+def candidate_lines(text: Column, model: Model) -> Column:
+    """Lines with at least one word that a gram with a weight has."""
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{_one_of(model.vocabulary)})(?![\p{{L}}\p{{N}}])"
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: F.lower(x).rlike(pattern))
+
+
+def _buckets(weights: dict[str, list[float]]) -> list[list[dict]]:
+    """The weights by hash of their gram, so that a lookup need not go through all."""
+    from xxhash import xxh64_intdigest
+
+    out: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for g, w in weights.items():
+        out[xxh64_intdigest(g.encode(), 42) % BUCKETS].append({"g": g, "w": w})
+    return out
 
 
 def _classified(lines: Column, model: Model) -> Column:
@@ -236,27 +368,21 @@ def _classified(lines: Column, model: Model) -> Column:
     Each step maps an array whose elements are the last step's results, so that
     nothing is computed twice for a line.
     """
-    weights, bias = _literal(model.weights, "map<string,array<double>>"), _literal(model.bias, "array<double>")
+    table, bias = _literal(_buckets(model.weights), "array<array<struct<g:string,w:array<double>>>>"), _literal(model.bias, "array<double>")
     known, names = _literal(model.shingles, "map<string,array<string>>"), _literal(model.families, "array<string>")
-    held = _literal(sorted(ANCHORS), "array<string>")
     nothing = F.array().cast("array<string>")
 
-    def flagged(t: Column) -> Column:
-        return F.transform(t, lambda w: F.struct(w.alias("w"), F.array_contains(held, w).alias("x")))
-
-    def grams_of(f: Column) -> Column:
-        def at(n: Column, i: Column) -> Column:
-            b, c = F.get(f, i + 1), F.get(f, i + 2)
-            return F.array(
-                F.when(n["x"], n["w"]),
-                F.when(n["x"] | b["x"], F.concat(n["w"], F.lit(" "), b["w"])),
-                F.when(n["x"] | b["x"] | c["x"], F.concat(n["w"], F.lit(" "), b["w"], F.lit(" "), c["w"])))
+    def grams_of(t: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            b, c = F.get(t, i + 1), F.get(t, i + 2)
+            return F.array(w, F.concat(w, F.lit(" "), b), F.concat(w, F.lit(" "), b, F.lit(" "), c))
 
-        return F.array_distinct(F.filter(F.flatten(F.transform(f, at)), lambda g: g.isNotNull()))
+        return F.array_distinct(F.filter(F.flatten(F.transform(t, at)), lambda g: g.isNotNull()))
 
     def logits(g: Column) -> Column:
-        rows = F.filter(F.transform(g, lambda x: F.try_element_at(weights, x)), lambda r: r.isNotNull())
-        return F.aggregate(rows, bias, lambda acc, r: F.zip_with(acc, r, lambda a, b: a + b))
+        slot = lambda x: F.get(table, F.xxhash64(x).bitwiseAND(BUCKETS - 1).cast("int"))
+        rows = F.flatten(F.transform(g, lambda x: F.filter(slot(x), lambda e: e["g"] == x)))
+        return F.aggregate(rows, bias, lambda acc, r: F.zip_with(acc, r["w"], lambda a, b: a + b))
 
     def named(s: Column) -> Column:
         total = F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - s["best"]))
@@ -270,8 +396,7 @@ def _classified(lines: Column, model: Model) -> Column:
                         F.coalesce(F.try_element_at(known, s["family"]), nothing).alias("known"))
 
     out = F.transform(lines, _tokens)
-    out = F.transform(out, lambda t: F.struct(t.alias("t"), flagged(t).alias("f")))
-    out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), grams_of(s["f"]).alias("g")))
+    out = F.transform(out, lambda t: F.struct(t.alias("t"), grams_of(t).alias("g")))
     out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), logits(s["g"]).alias("z")))
     out = F.transform(out, lambda s: F.struct(s["t"].alias("t"), s["z"].alias("z"), F.array_max(s["z"]).alias("best")))
     out = F.filter(F.transform(out, named), lambda s: (s["family"] != NONE) & (s["probability"] >= model.threshold))
@@ -283,7 +408,7 @@ def _classified(lines: Column, model: Model) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Every row: id, license (of the surest paragraph, null if none), probability, n_license, n_confirmed, families."""
     model = model or fit()
-    lines = docs.select(F.col(id_col).alias("id"), candidate_lines(F.col(text_col)).alias("lines"))
+    lines = docs.select(column(id_col).alias("id"), candidate_lines(column(text_col), model).alias("lines"))
     hits = F.when(F.size("lines") > 0, _classified(F.col("lines"), model))
     rows = lines.select("id", F.coalesce(hits, F.array().cast("array<struct<family:string,probability:double,confirmed:boolean>>")).alias("hits"))
     surest = F.element_at(F.array_sort(F.transform("hits", lambda h: F.struct(
