@@ -12,8 +12,9 @@ point to that text and so to the value. ``min_texts`` above 1 leaves out values,
 terms of a value, seen in fewer different texts.
 
 Exact copies of a text are joined before terms are paired with values and count
-with their number. All values that stand in one text only have equal counts with its
-terms and are estimated as one. Groups are combined map-side; what is gathered for
+with their number. Values that stand in the same texts (in one text only, for most) have
+equal counts with every term and are estimated as one. A text's terms that are too common
+for a value are not paired with it. Groups are combined map-side; what is gathered for
 one text is bounded by that text.
 
 Defined results: null text is empty and has no spans; offsets are code points, ends
@@ -28,10 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.llm.common import named
 from maskloom.runtime import cut
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, MIN_TEXTS = 0.95, 1
+DISCLOSURE, MIN_TEXTS, STEP = 0.95, 1, 256
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: The patterns of the docstring of ``base_spans``, with guards that change no match but keep
 #: the search linear: a match can only begin where a run begins, or where the last match ended.
@@ -47,10 +49,21 @@ _APART, _INSIDE = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _with(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: Column, kind: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (kind, start, end, value)."""
-    none = F.lit(None).cast(_SPAN)
-    begin = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(_SPAN)).alias("found"))
+    """Leftmost non-overlapping matches as an array of (kind, start, end, value).
+
+    Offsets are summed by blocks of ``STEP`` matches and then inside each block, so that the
+    arrays that a sum copies stay short in texts of many matches.
+    """
+    none = F.array().cast(_SPAN)
+
+    def size(pair: Column) -> Column:
+        return F.length(pair["gap"]) + F.length(F.coalesce(pair["hit"], F.lit("")))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -59,9 +72,21 @@ def find_all(text: Column, pattern: Column, kind: str) -> Column:
         found = F.when(pair["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span)))
         return F.struct(end.alias("at"), found.alias("found"))
 
+    def in_blocks(pairs: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / STEP).cast("int"))
+        return F.transform(number, lambda b: F.slice(pairs, b * STEP + 1, F.lit(STEP)))
+
+    def begins(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, p: acc + size(p)))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
                        lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["found"])
+    return _with(pairs, lambda p: _with(in_blocks(p), lambda blocks: F.flatten(
+        F.zip_with(blocks, F.slice(begins(blocks), F.lit(1), F.size(blocks)), spans))))
 
 
 def _digits(value: Column) -> Column:
@@ -118,22 +143,26 @@ def _revealing(docs: DataFrame, text_col: str, base: DataFrame, disclosure: floa
     texts = cut(base.where(F.size("spans") > 0).groupBy("key").agg(
         F.count("*").alias("copies"), F.first("body").alias("body"), F.first("spans").alias("spans")))
     values = texts.select("key", "copies", F.explode(F.array_distinct(F.transform("spans", _identity))).alias("entity"))
-    known = values.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    entity = F.when(F.col("texts") == 1, F.col("key")).otherwise(F.col("entity"))
-    held = values.join(known, "entity").groupBy("key").agg(F.collect_set(F.struct(entity.alias("entity"), "df_e")).alias("held"))
+    of = lambda seed: F.sum(F.xxhash64(F.lit(seed), "key").cast("decimal(38,0)"))
+    known = values.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts"), of(1).alias("one"), of(2).alias("two"))
+    known = known.where(F.col("texts") >= min_texts).drop("texts")
+    # values of the same texts count the same with every term: they are one entity, named by hashes of those texts
+    same = F.concat_ws(":", F.col("one").cast("string"), F.col("two").cast("string"))
+    held = values.join(known, "entity").groupBy("key").agg(F.collect_set(F.struct(same.alias("entity"), "df_e")).alias("held"))
     held = cut(held)
     if not held.take(1):
         return None
     total = float(base.count())
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     everywhere = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), _APART))).alias("term")).where(
         F.length("term") > 0).groupBy("term").agg(F.count("*").alias("df_t"))
     # no term of e with df(t) above this can pass, as co(e, t) <= df(e): common words go before values are paired with them
-    reach = F.array_max(F.transform("held", lambda h: h["df_e"] * F.pow(total / h["df_e"], F.lit(1 - disclosure)))) * (1 + 1e-9)
+    limit = lambda h: h["df_e"] * F.pow(total / h["df_e"], F.lit(1 - disclosure)) * (1 + 1e-9)
+    reach = F.array_max(F.transform("held", limit))
     words = texts.join(held, "key").select("key", reach.alias("reach"), F.explode(_terms(F.col("body"), F.col("spans"))).alias("term"))
     rare = words.join(everywhere, "term").where(F.col("df_t") <= F.col("reach")).select("key", "term", "df_t")
     pairs = cut(rare.join(held, "key").join(texts.select("key", "copies"), "key").select(
-        "key", "copies", "term", "df_t", F.explode("held").alias("held")).select("key", "copies", "term", "df_t", "held.*"))
+        "key", "copies", "term", "df_t", F.explode(F.filter("held", lambda h: F.col("df_t") <= limit(h))).alias("held")).select("key", "copies", "term", "df_t", "held.*"))
     together = pairs.groupBy("entity", "term").agg(
         F.sum("copies").alias("co"), F.count("*").alias("texts"), F.max("df_e").alias("df_e"), F.max("df_t").alias("df_t"))
     pmi = F.log2(F.lit(total) * F.col("co") / (F.col("df_e") * F.greatest("df_t", "co")))
@@ -149,8 +178,8 @@ def _revealing(docs: DataFrame, text_col: str, base: DataFrame, disclosure: floa
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE,
                  min_texts: int = MIN_TEXTS) -> DataFrame:
     """Every row: id, body (text if it has spans), spans (base) and extra (revealing terms)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("body"), base_spans(text).alias("spans"))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    base = docs.select(named(id_col).alias("id"), text.alias("body"), base_spans(text).alias("spans"))
     has = F.size("spans") > 0
     base = cut(base.select("id", "spans", F.when(has, F.col("body")).alias("body"), F.when(has, F.sha2("body", 256)).alias("key")))
     extra = _revealing(docs, text_col, base, disclosure, min_texts)
