@@ -4,12 +4,12 @@ The candidates are dealt into shards by a hash of their id. Within a shard every
 dimension has a list of the candidates sorted by that component, read from its high end
 for a positive query weight, from its low end for a negative one, and not at all for
 zero. All lists are read in step, a chunk of entries at a time. A candidate's lower bound counts its unread components as the far end of
-their lists, its upper bound counts them as the cursor's entry. Reading an entry raises
-the lower bound of its candidate alone. A candidate is out for good when its upper bound
-falls below the k-th lower bound; upper bounds are brought up to date only for those not
-yet out, and once no unseen candidate can qualify. Reading stops when k are left, or no
-more than would be resolved faster than read on; the scores of those left are then
-resolved exactly from their vectors.
+their lists, its upper bound counts them as the cursors' entries. Reading an entry changes
+the lower bound and the number of unread components of its candidate alone. A candidate is
+out for good when its upper bound falls below the k-th lower bound, and one not seen in any
+list when the cursors' entries together do. Reading stops when k are left, or so few that
+their scores are had sooner than by reading on; these are then resolved exactly from their
+vectors.
 
 A task holds one shard (about ``SHARD_ROWS`` candidates) and one block of queries, so
 memory is bounded however many there are of either. For N candidates and Q queries
@@ -37,9 +37,9 @@ from maskloom.llm.common import give_back, named
 from maskloom.runtime import ship
 
 K, SCALE = 10, 1024
-LEFT = 64  # so few candidates are resolved rather than read on
+LEFT = 16  # of one candidate in so many, the scores are had sooner than by reading on
 SHARD_ROWS, QUERY_BLOCK = 8192, 16384
-CHUNK, ROUNDS = 64, 32
+CHUNK, ROUNDS = 64, 24
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -50,17 +50,18 @@ def scaled(vector: Column, scale: int = SCALE) -> Column:
 
 
 class Lists:
-    """The candidates of a shard as a sorted list for each dimension."""
+    """The candidates of a shard as two lists for each dimension, from its low end and from its
+    high end: who stands at a depth, and how far its component is from the other end."""
 
     def __init__(self, vectors: np.ndarray):
         self.x = vectors
         self.count, self.width = vectors.shape
-        columns = np.ascontiguousarray(vectors.T, np.float64)
-        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)  # ids of each list, ascending
-        self.value = np.take_along_axis(columns, self.order, 1)
-        self.rank = np.empty((self.count, self.width), np.int32)  # where a candidate stands in each list
-        self.rank[self.order.ravel(), np.repeat(np.arange(self.width), self.count)] = np.tile(np.arange(self.count, dtype=np.int32), self.width)
-        self.largest = np.maximum(np.abs(self.value[:, 0]), np.abs(self.value[:, -1]))
+        columns = vectors.astype(np.float64)
+        order = np.argsort(columns, axis=0, kind="stable")
+        value = np.take_along_axis(columns, order, 0)
+        self.low, self.high = value[0], value[-1]
+        self.who = np.concatenate((order, order[::-1]), 1)  # by depth, then the low and the high lists
+        self.gain = np.concatenate((value[-1] - value, (value - value[0])[::-1]), 1)
 
     def nra(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
         """The candidates that may be among the k best, those of ``own`` left out, and how many
@@ -70,38 +71,37 @@ class Lists:
         allowed[own] = False
         if n - len(own) <= k or not len(used):
             return np.flatnonzero(allowed), 0
-        weight = query[used].astype(np.float64)
-        slack = 1e-9 * float(np.abs(weight) @ self.largest[used])
-        high = weight > 0
-        far = weight * np.where(high, self.value[used, 0], self.value[used, -1])
-        lower = np.where(allowed, far.sum(), -np.inf)
+        weight = np.abs(query[used].astype(np.float64))
+        lists = used + np.where(query[used] > 0, self.width, 0)
+        far = float((query[used] * np.where(query[used] > 0, self.low[used], self.high[used])).sum())
+        slack = 1e-9 * float(weight @ np.maximum(np.abs(self.low[used]), np.abs(self.high[used])))
+        lower, unread = np.where(allowed, far, -np.inf), np.full(n, len(used))
         live, depth, step = None, 0, max(CHUNK, n // ROUNDS)
         while depth < n:
             upto = min(n, depth + step)
-            for mine, window, end in ((used[high], slice(n - upto, n - depth), 0), (used[~high], slice(depth, upto), n - 1)):
-                gain = query[mine, None] * (self.value[mine, window] - self.value[mine, end, None])  # what an entry is above the far end
-                lower += np.bincount(self.order[mine, window].ravel(), gain.ravel(), n)
+            who = self.who[depth:upto].take(lists, 1).ravel()
+            lower += np.bincount(who, (self.gain[depth:upto].take(lists, 1) * weight).ravel(), n)
+            unread -= np.bincount(who, minlength=n)
             depth = upto
-            frontier = weight * np.where(high, self.value[used, n - depth], self.value[used, depth - 1])
-            kth = np.partition(lower, n - k)[n - k]
+            # an unread component adds what the cursor's entry would; which lists are unread is not
+            # kept, so that of m unread ones the m largest count
+            most = np.concatenate(([0.0], np.cumsum(np.sort(self.gain[depth - 1, lists] * weight)[::-1])))
+            kth = np.partition(lower, n - k)[n - k] - slack
             if live is None:
-                if frontier.sum() >= kth - slack:
+                if far + most[-1] >= kth:
                     continue  # a candidate not seen yet may still be among the best
-                live = np.flatnonzero(lower > far.sum())
-            ranks = self.rank[live][:, used]
-            unread = np.where(high, ranks < n - depth, ranks >= depth)  # counts as the frontier in place of the far end
-            live = live[lower[live] + unread @ (frontier - far) >= kth - slack]
-            if len(live) <= max(k, LEFT):
-                return live, depth
-        return np.flatnonzero(allowed) if live is None else live, n
+                live = np.flatnonzero((unread < len(used)) & allowed)
+            live = live[lower[live] + most[unread[live]] >= kth]
+            if len(live) <= max(k, n // LEFT):
+                break
+        return (np.flatnonzero(allowed) if live is None else live), depth
 
 
 def _search(k: int):
     def of(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score", "depth"]
-        empty = pd.DataFrame({n: [] for n in names}).astype("int64")
         if not len(candidates) or not len(queries):
-            return empty
+            return pd.DataFrame({n: [] for n in names}).astype("int64")
         width = max(max(map(len, candidates["v"])), max(map(len, queries["v"])), 1)
 
         def pack(vs) -> np.ndarray:
@@ -115,14 +115,14 @@ def _search(k: int):
         place: dict[int, list[int]] = {}
         for i in np.flatnonzero(np.isin(ids, asked)):
             place.setdefault(int(ids[i]), []).append(int(i))
-        out = []
+        out: list[np.ndarray] = []
         for i, one in enumerate(asked.tolist()):
             at, depth = lists.nra(q[i], np.array(place.get(one, []), np.int64), k)
             score = lists.x[at] @ q[i]
             best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": one, "vec_id": ids[at][best], "score": score[best], "depth": depth}))
+            out.append(np.stack((np.full(len(best), one), ids[at][best], score[best], np.full(len(best), depth)), 1))
         give_back()
-        return pd.concat(out, ignore_index=True)[names] if out else empty
+        return pd.DataFrame(np.concatenate(out), columns=names)
 
     return of
 
