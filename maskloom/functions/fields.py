@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskloom.functions import addresses as notation
 from maskloom.functions import vocab as V
 from maskloom.functions.kernel import before, find, let, matches, none_of, piece
 from maskloom.functions.spans import SPAN, span
@@ -81,8 +82,8 @@ def _addresses(text: Column, view: Column, pattern: str, score: float) -> Column
 
 def addresses(text: Column, view: Column) -> Column:
     """Addresses by grammar; where both patterns find the same span the labelled one stands."""
-    full = _addresses(text, view, V.ADDRESS_FULL, V.SCORE["address"])
-    labelled = _addresses(text, view, V.ADDRESS_LABELED, V.SCORE["address_labeled"])
+    full = _addresses(text, view, notation.FULL, V.SCORE["address"])
+    labelled = _addresses(text, view, notation.LABELLED, V.SCORE["address_labeled"])
     same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
     return let(labelled, lambda second: F.concat(
         F.filter(full, lambda x: ~F.exists(second, lambda y: same(x, y))), second))
