@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from maskloom.functions import text as texts
 
 
+MAX_TEMPLATES = 10_000
+
+
 def hash_rank(key: Column, salt: str = "") -> Column:
     """The order of a salted, reproducible draw."""
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
@@ -68,10 +71,47 @@ def dedup_by_priority(rows: DataFrame, text: str, order: Iterable[Column | str],
 
 
 def conflicts(rows: DataFrame, text: str, key: str, label: str) -> DataFrame:
-    """Texts with more than one label, and the ids that carry them."""
+    """(text_sha256, key) of the rows whose text carries more than one label, one row each."""
     hashed = rows.withColumn("text_sha256", texts.fingerprint(F.col(text)))
-    return hashed.groupBy("text_sha256").agg(F.sort_array(F.collect_list(key)).alias("ids"), F.countDistinct(label).alias("labels")).where(
-        F.col("labels") > 1).drop("labels")
+    clash = hashed.groupBy("text_sha256").agg(F.min(label).alias("a"), F.max(label).alias("b")).where(F.col("a") != F.col("b"))
+    return hashed.join(clash.select("text_sha256"), "text_sha256", "left_semi").select("text_sha256", key)
+
+
+def dedup_by_signatures(rows: DataFrame, text: str, signatures: Iterable[str], order: Iterable[Column | str], excluded: DataFrame | None = None) -> DataFrame:
+    """One row of each text, by priority (PRE3). Texts whose rows disagree on any signature are dropped
+    (null is no opinion), and so are texts whose hash, as they are or normalised, ``excluded`` has in column h."""
+    hashed = rows.withColumn("__h", texts.fingerprint(F.col(text)))
+    if excluded is not None:
+        banned = excluded.select(F.col("h").alias("__b")).distinct()
+        normal = hashed.withColumn("__n", texts.fingerprint(F.col(text), normalized=True))
+        hashed = normal.join(banned, F.col("__h") == F.col("__b"), "left_anti").join(banned, F.col("__n") == F.col("__b"), "left_anti").drop("__n")
+    names = list(signatures)
+    views = hashed.groupBy("__h").agg(*(F.min(n).alias(f"a{i}") for i, n in enumerate(names)), *(F.max(n).alias(f"b{i}") for i, n in enumerate(names)))
+    clash = F.lit(False)
+    for i in range(len(names)):
+        clash = clash | F.coalesce(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(False))
+    kept = hashed.join(views.where(clash).select("__h"), "__h", "left_anti")
+    ordered = Window.partitionBy("__h").orderBy(*order)
+    return kept.withColumn("__n", F.row_number().over(ordered)).where(F.col("__n") == 1).drop("__n", "__h")
+
+
+def manifest(rows: DataFrame, by: Iterable[str], columns: Iterable[str]) -> DataFrame:
+    """Rows of each part of a corpus and a digest of them that no order changes (PRE8): the sum of the
+    first 60 bits of each row's SHA-256 over the columns, a null standing as nothing between separators."""
+    line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    bits = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(bits).cast("string").alias("digest"))
+
+
+def next_version(old: DataFrame, fresh: DataFrame, text: str, retire: str, freeze: str) -> DataFrame:
+    """A corpus's next version (PRE10): rows of the split ``retire`` become training rows, and fresh rows
+    whose text the corpus does not have form the new split ``freeze``."""
+    kept = old.withColumn("split", F.when(F.col("split") == retire, "train").otherwise(F.col("split")))
+    known = old.select(texts.fingerprint(F.col(text), normalized=True).alias("__h")).distinct()
+    new = fresh.withColumn("__h", texts.fingerprint(F.col(text), normalized=True)).join(known, "__h", "left_anti")
+    first = Window.partitionBy("__h").orderBy(*(c for c in fresh.columns if c != text))
+    new = new.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n", "__h")
+    return kept.unionByName(new.withColumn("split", F.lit(freeze)).select(*old.columns))
 
 
 def reserve_unique(reserve: DataFrame, consumed: DataFrame, text: str = "text") -> DataFrame:
@@ -140,7 +180,11 @@ def offset_slice(lines: DataFrame, order: str, offset: int, limit: int) -> DataF
 
 
 def cross_templates(surfaces: DataFrame, templates: DataFrame) -> DataFrame:
-    """Each surface in each template, with the gold span (PRE9). Templates hold one ``{}``; both tables are small and fixed."""
+    """Each surface in each template, with the gold span (PRE9). Templates hold one ``{}``. The crossing
+    is the feature; templates are a written list, so more than ``MAX_TEMPLATES`` of them fail."""
+    listed = templates.take(MAX_TEMPLATES + 1)
+    if len(listed) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     pairs = surfaces.join(F.broadcast(templates))
     at = F.locate("{}", F.col("template")) - 1
     return pairs.select(

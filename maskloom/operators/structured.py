@@ -279,6 +279,35 @@ def mask_json(rows: DataFrame, column: str, detector: Detector, style: str = "ta
     return rebuilt(masked, column, "__masked", into, strict).select(*names)
 
 
+def transform_json(rows: DataFrame, column: str, transform: Callable[[str, str], str], into: str | None = None, inherit: bool = False, pure: bool = False) -> DataFrame:
+    """Rows with a JSON document column whose keys, strings and integers went through ``transform(text, label)`` (UDF3).
+
+    Keys have no label. A ``pure`` transform (the same result for the same arguments) is asked
+    once for each key of a batch.
+    """
+    ship(rows.sparkSession)
+    into = into or column
+    kept = [f for f in rows.schema.fields if f.name != into]
+    schema = T.StructType([*kept, T.StructField(into, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, str] = {}
+
+            def leaf(text: str, label: str) -> str:
+                if label or not pure:
+                    return transform(text, label)
+                if text not in seen:
+                    seen[text] = transform(text, label)
+                return seen[text]
+
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            out = [None if d is None else json.dumps(walk(parse(d), leaf, inherit), ensure_ascii=False) for d in get(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(get(f.name) for f in kept), pa.array(out, pa.string())], names=[*(f.name for f in kept), into])
+
+    return rows.mapInArrow(run, schema).select(*dict.fromkeys([*rows.columns, into]))
+
+
 def leaf_table(rows: DataFrame, key: str, column: str) -> DataFrame:
     """Scalar leaves of JSON documents with their paths, through the engine's own variant type (AGG14, FN16)."""
     return rows.sparkSession.sql(

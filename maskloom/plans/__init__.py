@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("detection", "measurement", "preparation")
+_MODULES = ("detection", "measurement", "preparation", "comparison")
 
 
 def _all() -> dict:

@@ -44,8 +44,8 @@ query("dedup_without_conflicts", """
     SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM h WHERE h NOT IN (SELECT h FROM c)) WHERE n = 1""".replace("\n    , h", "WITH h", 1),
       "documents")(lambda d: corpus.dedup_by_priority(d.where("text is not null and lang is not null"), "text", ["doc_id"], "lang").select("doc_id", "lang"))
 query("conflicting_labels", """
-    SELECT sha256(text) AS text_sha256, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1""", "documents")(
-    lambda d: corpus.conflicts(d.where("text is not null"), "text", "doc_id", "source").select("text_sha256", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")))
+    SELECT sha256(text) AS text_sha256, doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1)""", "documents")(
+    lambda d: corpus.conflicts(d.where("text is not null"), "text", "doc_id", "source"))
 _HELD = "(SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0)"
 query("contamination_semi", f"SELECT doc_id FROM documents d WHERE doc_id % 10 <> 0 AND EXISTS (SELECT 1 FROM {_HELD} h WHERE h.text = d.text)", "documents")(
     lambda d: corpus.contaminated(d.where("doc_id % 10 <> 0"), d.where("doc_id % 10 = 0")).select("doc_id"))
