@@ -63,6 +63,19 @@ def register_model(name: str, factory: Callable[[], Callable[[str], list]]) -> N
     _models[name] = factory
 
 
+def confident(name: str, threshold: float) -> Callable[[], Callable[[str], list]]:
+    """The factory of a named model whose spans below ``threshold`` go; an unknown name fails."""
+    if name not in _models:
+        raise ValueError("No model of that name is registered")
+    factory = _models[name]
+
+    def make() -> Callable[[str], list]:
+        analyze = factory()
+        return lambda text: [span for span in analyze(text) if span[3] >= threshold]
+
+    return make
+
+
 def model_spans(text: Column, factory: str | Callable[[], Callable[[str], list]]) -> Column:
     """A model's spans of a (normalised) text column; the model is built once for each Python worker's task."""
     make = _models[factory] if isinstance(factory, str) else factory

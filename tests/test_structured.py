@@ -1,5 +1,6 @@
 """JSON, CSV, readers, writers, command line and streams."""
 
+import io
 import json
 import os
 
@@ -72,35 +73,76 @@ def test_headers_are_masked_and_may_not_clash(spark):
 def test_csv_command(spark, tmp_path):
     source, target = tmp_path / "in.csv", tmp_path / "out"
     source.write_text('고객명,메모,휴대폰번호\n김가온,"두 줄\n연락처 010-1234-5678",01012345678\n이나래,,없음\n', encoding="utf-8")
-    assert cli.main(["mask", str(source), str(target), "--format", "csv"]) == 0
+    assert cli.main(["mask", str(source), "--folder", str(target), "--format", "csv"]) == 0
     rows = files.read_csv(spark, str(target)).collect()
     assert sorted(map(tuple, rows)) == [("김가온", "두 줄\n연락처 <PHONE_NUMBER>", "<PHONE_NUMBER>"), ("이나래", "", "없음")]
-    assert cli.main(["mask", str(source), str(target), "--format", "csv"]) == 2  # never overwrites
+    assert cli.main(["mask", str(source), "--folder", str(target), "--format", "csv"]) == 2  # never overwrites
 
 
 @pytest.mark.parametrize("content", ["", "a,a\n1,2\n", "a,\n1,2\n", "a,b\n1,2,3\n"])
 def test_bad_csv_fails(spark, tmp_path, content):
     (tmp_path / "in.csv").write_text(content)
-    assert cli.main(["mask", str(tmp_path / "in.csv"), str(tmp_path / "out"), "--format", "csv"]) == 2
+    assert cli.main(["mask", str(tmp_path / "in.csv"), "--folder", str(tmp_path / "out"), "--format", "csv"]) == 2
     assert not os.path.exists(tmp_path / "out" / "_SUCCESS")
 
 
-def test_jsonl_json_text_and_check(spark, tmp_path):
+def test_jsonl_json_text_and_check(spark, tmp_path, capsys):
     lines = tmp_path / "in.jsonl"
     lines.write_text('﻿{"phone": "010-1234-5678"}\n{"n": 1}\n', encoding="utf-8")
-    assert cli.main(["mask", str(lines), str(tmp_path / "o1"), "--format", "jsonl"]) == 0
+    assert cli.main(["mask", str(lines), "--folder", str(tmp_path / "o1"), "--format", "jsonl"]) == 0
     assert [r.value for r in spark.read.text(str(tmp_path / "o1")).collect()] == ['{"phone": "<PHONE_NUMBER>"}', '{"n": 1}']
     lines.write_text('{"n": 1}\n\n{"n": 2}\n')
-    assert cli.main(["mask", str(lines), str(tmp_path / "o2"), "--format", "jsonl"]) == 2
+    assert cli.main(["mask", str(lines), "--folder", str(tmp_path / "o2"), "--format", "jsonl"]) == 2
     text = tmp_path / "in.txt"
     text.write_text("연락처\n010-1234-5678", encoding="utf-8")
     assert cli.main(["check", str(text)]) == 1
-    assert cli.main(["analyze", str(text), str(tmp_path / "o3")]) == 0
-    report = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "o3")).collect()))
-    assert report["findings"] == [{"entity": "PHONE_NUMBER", "start": 4, "end": 17, "score": 0.5}]
+    capsys.readouterr()
+    assert cli.main(["analyze", str(text)]) == 0
+    assert json.loads(capsys.readouterr().out) == [{"entity": "PHONE_NUMBER", "start": 4, "end": 17, "score": 0.5}]
     text.write_text("없음", encoding="utf-8")
     assert cli.main(["check", str(text)]) == 0
-    assert cli.main(["analyze", str(text)]) == 2
+
+
+def test_standard_input_and_output(spark, tmp_path, capsys, monkeypatch):
+    def given(text):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text.encode()), encoding="utf-8"))
+        capsys.readouterr()
+
+    given("연락처 010-1234-5678\n끝")
+    assert cli.main(["mask"]) == 0 and capsys.readouterr().out == "연락처 <PHONE_NUMBER>\n끝"
+    given('{"phone": "010-1234-5678"}\n{"n": 1}\n')
+    assert cli.main(["mask", "-", "--format", "jsonl"]) == 0 and capsys.readouterr().out == '{"phone": "<PHONE_NUMBER>"}\n{"n": 1}\n'
+    given('{"phone": "010-1234-5678"}\n{"n": \n')
+    assert cli.main(["mask", "--format", "jsonl"]) == 2 and capsys.readouterr().out == ""  # nothing of a late failure
+    given('고객명,메모\n김가온,"a, ""b"""\n')
+    assert cli.main(["mask", "--format", "csv", "--entity", "KR_NAME", "--entity", "PHONE_NUMBER"]) == 0
+    assert capsys.readouterr().out == '고객명,메모\n<KR_NAME>,"a, ""b"""\n'
+    given("a@b.co.kr")
+    assert cli.main(["check", "--entity", "PHONE_NUMBER"]) == 0
+    target = tmp_path / "o.txt"
+    target.write_text("before")
+    given("연락처 010-1234-5678")
+    assert cli.main(["mask", "-o", str(target)]) == 0 and target.read_text() == "연락처 <PHONE_NUMBER>"
+    assert cli.main(["mask", str(target), "-o", str(target)]) == 2 and cli.main(["mask", str(target), "-o", str(tmp_path)]) == 2
+    given("\ud7ff")
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"\xff\xfe"), encoding="utf-8"))
+    assert cli.main(["mask", "-o", str(target)]) == 2 and target.read_text() == "연락처 <PHONE_NUMBER>"
+    assert [p.name for p in tmp_path.iterdir()] == ["o.txt"]  # no staged file stays
+    for wrong in (["check", "--format", "csv"], ["analyze", "-o", "x"], ["mask", "--strict-fields"], ["mask", "--ner"], ["mask", "--ner-threshold", "0.5"],
+                  ["mask", "--ner", "--entity", "KR_NAME", "--ner-threshold", "2"]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong)
+
+
+def test_a_registered_model_on_the_command_line(spark, tmp_path, capsys):
+    from maskloom import udfs
+
+    (tmp_path / "a.txt").write_text("어제 김민서 씨가 왔다", encoding="utf-8")
+    call = ["mask", str(tmp_path / "a.txt"), "--entity", "KR_NAME", "--ner", "--ner-model", "kcelectra"]
+    assert cli.main(call) == 2  # not registered
+    udfs.register_model("kcelectra", lambda: lambda text: [("KR_NAME", text.index("김민서"), text.index("김민서") + 3, 0.95), ("KR_NAME", 0, 2, 0.3)])
+    capsys.readouterr()
+    assert cli.main(call) == 0 and capsys.readouterr().out == "어제 <KR_NAME> 씨가 왔다"
 
 
 def test_jsonl_stream_and_counts(spark, tmp_path):
