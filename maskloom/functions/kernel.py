@@ -7,11 +7,15 @@ from contextlib import contextmanager
 from functools import wraps
 
 from pyspark import SparkContext
-from pyspark.errors import utils as _origin
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import _to_seq
-from pyspark.sql.functions.builtin import _create_lambda
+
+try:  # building is faster with these; without them, as with Spark Connect, all works by public functions
+    from pyspark.errors import utils as _origin
+    from pyspark.sql.classic.column import _to_seq
+    from pyspark.sql.functions.builtin import _create_lambda
+except ImportError:
+    _origin = _to_seq = _create_lambda = None
 
 HIT = "struct<s:int,e:int,v:string,g:string,b:string>"
 REACH, PAGE, ROUNDS = 20, 1024, 500
@@ -20,7 +24,10 @@ REACH, PAGE, ROUNDS = 20, 1024, 500
 @contextmanager
 def _plain_calls() -> Iterator[None]:
     """Without call-site capture, which costs four JVM calls for each column function."""
-    before = getattr(_origin, "_enable_debugging_cache", None)
+    if not hasattr(_origin, "_enable_debugging_cache"):
+        yield
+        return
+    before = _origin._enable_debugging_cache
     _origin._enable_debugging_cache = False
     try:
         yield
@@ -60,6 +67,8 @@ _stored: dict[tuple, object] = {}
 def stored(key: tuple, value: Column, body: Callable[[Column], Column]) -> Column:
     """``let`` whose lambda is built once per application and key, then only applied."""
     context = SparkContext._active_spark_context
+    if _create_lambda is None or context is None or not hasattr(value, "_jc"):
+        return let(value, body)
     key = (context.applicationId, *key)
     if key not in _stored:
         with _plain_calls():

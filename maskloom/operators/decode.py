@@ -87,18 +87,21 @@ def span_probability(logits, widest: int | None = None) -> np.ndarray:
     if widest is not None and (isinstance(widest, bool) or widest < 1):
         raise ValueError("widest must be a positive integer")
     width = min(n, widest or n)
-    out = np.zeros((n, width))
     if not n:
-        return out
+        return np.zeros((0, 0))
+    # log P = (what comes before s, and B there) + (the I's up to e, E there, and what comes after), with
+    # the I's as a difference of running sums: one term by start plus one by end
     ahead, behind, total = _sums(unary)
-    entry = np.concatenate(([0.0], _lse(ahead[:-1][:, _CLOSED], 1))) if n > 1 else np.zeros(1)
-    middle = np.concatenate(([0.0], np.cumsum(unary[:, 2])))
-    out[:, 0] = np.exp(entry + unary[:, 4] + behind[:, 4] - total)
-    for w in range(2, width + 1):
-        s = np.arange(n - w + 1)
-        e = s + w - 1
-        out[s, w - 1] = np.exp(entry[s] + unary[s, 1] + middle[e] - middle[s + 1] + unary[e, 3] + behind[e, 3] - total)
-    return np.clip(out, 0.0, 1.0)
+    before = np.zeros(n)
+    before[1:] = _lse(ahead[:-1][:, _CLOSED], 1)
+    inner = np.cumsum(unary[:, LABELS.index("I")])
+    begin = before + unary[:, LABELS.index("B")] - inner
+    end = inner - unary[:, LABELS.index("I")] + unary[:, LABELS.index("E")] + behind[:, LABELS.index("E")] - total
+    starts, sizes = np.arange(n)[:, None], np.arange(1, width + 1)[None, :]
+    last = starts + sizes - 1
+    log = np.where((sizes > 1) & (last < n), begin[:, None] + end[np.minimum(last, n - 1)], -np.inf)
+    log[:, 0] = before + unary[:, LABELS.index("S")] + behind[:, LABELS.index("S")] - total
+    return np.minimum(np.exp(log), 1.0)
 
 
 def outside_probability(logits, intervals: Iterable[tuple[int, int]]) -> np.ndarray:

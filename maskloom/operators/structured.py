@@ -193,33 +193,55 @@ def _bank(item: dict) -> str:
     return known.pop() or "" if len(known) == 1 else ""
 
 
-def walk(value, leaf: Callable[[str, str], str], inherit: bool = False, label: str = "", depth: int = 0):
+class _Tree:
+    """Takes a JSON tree apart by the type of each node, in order of appearance."""
+
+    def __init__(self, leaf: Callable[[str, str], str], inherit: bool):
+        self.leaf, self.inherit = leaf, inherit
+        same = lambda node, label, depth: node
+        self.by_type = {dict: self.members, list: self.items, str: self.text, int: self.integer, float: self.real, bool: same, type(None): same}
+
+    def node(self, node, label: str, depth: int):
+        if type(node) not in self.by_type:
+            raise TypeError(f"{type(node).__name__} is no JSON value")
+        if depth > V.MAX_DEPTH:
+            raise ValueError(f"JSON nests deeper than {V.MAX_DEPTH} levels")
+        return self.by_type[type(node)](node, label, depth)
+
+    def text(self, node: str, label: str, depth: int) -> str:
+        return self.leaf(node, label)
+
+    def integer(self, node: int, label: str, depth: int):
+        digits = str(node)
+        masked = self.leaf(digits, label)
+        return node if masked == digits else masked
+
+    def real(self, node: float, label: str, depth: int) -> float:
+        if label:
+            raise ValueError("A personal field holds a floating-point number")
+        if not math.isfinite(node):
+            raise ValueError("JSON holds a number that is not finite")
+        return node
+
+    def items(self, node: list, label: str, depth: int) -> list:
+        return [self.node(item, label, depth + 1) for item in node]
+
+    def members(self, node: dict, label: str, depth: int) -> dict:
+        if not all(isinstance(key, str) for key in node):
+            raise TypeError("JSON keys are strings")
+        bank, out = _bank(node), {}
+        for key, child in node.items():
+            shown = self.leaf(key, "")
+            if shown in out:
+                raise ValueError("Masking would create duplicate JSON keys")
+            own = label_of(key) or (label if self.inherit else "")
+            out[shown] = self.node(child, f"{bank} {own}" if bank and own == "계좌번호" else own, depth + 1)
+        return out
+
+
+def walk(value, leaf: Callable[[str, str], str], inherit: bool = False):
     """The tree with every key, string and integer given to ``leaf`` in order of appearance."""
-    if depth > V.MAX_DEPTH:
-        raise ValueError(f"JSON nests deeper than {V.MAX_DEPTH} levels")
-    if value is None or isinstance(value, bool):
-        return value
-    if isinstance(value, str):
-        return leaf(value, label)
-    if isinstance(value, int):
-        shown = leaf(str(value), label)
-        return value if shown == str(value) else shown
-    if isinstance(value, float):
-        if not math.isfinite(value) or label:
-            raise ValueError("A personal field holds a floating-point number" if label else "JSON holds a number that is not finite")
-        return value
-    if isinstance(value, list):
-        return [walk(v, leaf, inherit, label, depth + 1) for v in value]
-    if not isinstance(value, dict) or any(not isinstance(k, str) for k in value):
-        raise TypeError("value must be JSON data with string keys")
-    bank, out = _bank(value), {}
-    for key, child in value.items():
-        name = leaf(key, "")
-        if name in out:
-            raise ValueError("Masking would create duplicate JSON keys")
-        own = label_of(key) or (label if inherit else "")
-        out[name] = walk(child, leaf, inherit, f"{bank} {own}" if bank and own == "계좌번호" else own, depth + 1)
-    return out
+    return _Tree(leaf, inherit).node(value, "", 0)
 
 
 def _leaves(document: str, inherit: bool) -> list[dict]:

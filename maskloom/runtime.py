@@ -35,18 +35,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a private one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a folder of this machine serves a local session; on a cluster that fails,
+    as executors of other machines could neither write nor read there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="maskloom-checkpoints-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that a job of this package wrote, by the file system that holds it."""
+    if "/pipeline-" not in folder and "/warc-" not in folder:
+        raise ValueError("Only folders of this package's jobs are removed")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` eagerly into the shared folder and go on from there.
 

@@ -119,3 +119,32 @@ def test_selective_decoding_keeps_and_drops_anchors():
     assert decode.path_spans(np.zeros((0, 5))) == []
     with pytest.raises(ValueError):
         decode.best_path([[float("nan")] * 5])
+
+
+def test_detection_without_fast_building(spark, monkeypatch):
+    """Public functions alone give the same plan's results."""
+    from maskloom.functions import kernel
+    from maskloom.operators.detect import Detector
+
+    rows = spark.createDataFrame([("연락처 010-1234-5678",), (None,), ("a@b.co.kr",)], "t string")
+    fast = [r.m for r in rows.select(Detector().mask(F.col("t")).alias("m")).collect()]
+    for name in ("_create_lambda", "_to_seq", "_origin"):
+        monkeypatch.setattr(kernel, name, None)
+    assert [r.m for r in rows.select(Detector().mask(F.col("t")).alias("m")).collect()] == fast
+
+
+def test_a_cluster_without_a_shared_folder_fails(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from maskloom import runtime
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf={}, sparkContext=context)
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(session)
+    session.conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert runtime.shared_dir(session) == "hdfs://shared"
+    with pytest.raises(ValueError):
+        runtime.remove(session, "hdfs://shared/data")
