@@ -57,3 +57,37 @@ def test_empty_input(spark):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_repeated_ids_clashing_columns_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, rejected int, lang_pred string, row string, key long, __stay long, shard int, tie string"
+    more = ("s", 1, "p", "r", 2, 3, 4, "t")
+    base = "the of and in that was for it with as his on be at by from"
+    rows = [(i, f"{base} word{i} {'tail ' * (i % 5)}other{i * 7}", "en", f"s{i % 3}", 0, *more) for i in range(40)]
+    rows += [(1, "quite another text of the same number, long enough to be one", "en", "s0", 0, *more), rows[2], rows[2], (None, "a text without a number, the only one", "en", None, 0, *more),
+             (90, "long words in one text " * 20000, "en", "s1", 0, *more), (91, None, "en", "s1", 0, *more), (92, rows[5][1].replace(" ", "  "), "en", "s2", 0, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    sizes = []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        sizes.append(docs.count())
+        if number == 0:
+            left = docs.collect()
+            bodies = {re.sub(r"[\x20\x09-\x0D]", "", r.text) for r in left}
+        assert number == 4 or docs.columns == [c.split()[0] for c in schema.split(", ")]
+    assert all(r.text is not None for r in left) and sizes[0] >= 40  # a text far from all others may be rejected too
+    assert sizes[1] == len(bodies) <= sizes[0] - 3  # two repeated rows and a copy in other white space
+    assert 0 < sizes[2] <= sizes[1] and all(r.lossless for r in docs.collect())
+
+
+def test_run_deletes_what_it_has_read(spark):
+    import os
+
+    from maskloom.runtime import shared_dir
+
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0
+    folder = shared_dir(spark).removeprefix("file:")
+    newest = max((f"{folder}/{x}" for x in os.listdir(folder) if x.startswith("pipeline-")), key=os.path.getmtime)
+    assert sorted(os.listdir(newest)) == ["3"]
