@@ -4,19 +4,26 @@
    documents of its input outside the held-out fold;
 2. exact dedup leaves one document of each group of equal texts;
 3. SimHash near-dedup leaves one document of each component;
-4. mixing repeats, keeps or drops documents so that sources approach their target weights;
+4. mixing repeats, keeps or drops documents so that sources approach their target weights, and
+   lays them out in shards, shuffled;
 5. SentencePiece encoding gives each document its sampled piece ids, and the text decoded from them.
 
 Null text counts as empty: it has no language, so the first stage drops it. Repeated
-rows are merged by the second. Empty input passes through.
+rows are merged by the second; rows that repeat an id with different texts are documents
+of their own there, and stay or go together in the third. Extra columns may have any name:
+all but the last stage keep them. Texts of any length are read whole. Empty input passes
+through.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm import exact, langid, mixing, pieces, simhash
+from maskloom.runtime import remove, shared_dir
 
 ORACLE_SQL = None  # the classifier, the fingerprints and the sampled pieces have no SQL form
 
@@ -54,14 +61,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each result written and read again before the next."""
-    from maskloom.runtime import shared_dir
-
-    import uuid
-
+    """All stages on ``documents``, each result written and read again before the next; what a
+    stage has read is deleted once the next has written its own, but for the last input."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
