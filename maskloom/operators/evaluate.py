@@ -6,12 +6,15 @@ shuffle: both sides are tagged, united and grouped by span.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.operators import spanjoin
+from maskloom.runtime import ship
 
 SPAN = ("doc_id", "entity", "start", "end")
 
@@ -222,24 +225,25 @@ def consistent(metrics: DataFrame) -> DataFrame:
 def bootstrap(per_document: DataFrame, repetitions: int = 500, seed: int = 2026) -> DataFrame:
     """Paired 95 % interval of F1(candidate) - F1(base) (AGG24).
 
-    ``per_document`` has doc_id and tp, fp, fn of both systems (suffixes _b and _c).
-    Documents are resampled with Poisson(1) weights drawn from a hash of (document,
-    repetition): each document emits one weight per repetition into a map-side partial
-    sum, so only ``repetitions`` rows are shuffled, and reruns agree.
+    ``per_document`` has doc_id and tp, fp, fn of both systems (suffixes _b and _c). Documents
+    are resampled with Poisson(1) weights. Those with equal counts are alike, and n of them weigh
+    Poisson(n) together, so one row for each distinct vector of counts is drawn for, by a
+    generator that the vector seeds: reruns agree, and the work does not grow with the documents.
     """
+    ship(per_document.sparkSession)
     names = [f"{c}_{s}" for s in "bc" for c in ("tp", "fp", "fn")]
-    draw = F.pmod(F.xxhash64("doc_id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        steps.append((total, k))
-        term /= k + 1
-    weight = F.lit(8)
-    for bound, k in reversed(steps):
-        weight = F.when(F.col("draw") < bound, k).otherwise(weight)
-    rows = per_document.select("doc_id", *names, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
-    weighted = rows.withColumn("draw", draw).withColumn("w", weight)
-    sums = weighted.groupBy("rep").agg(*(F.sum(F.col(n) * F.col("w")).alias(n) for n in names))
+    vectors = per_document.groupBy(*(F.col(n).cast("long").alias(n) for n in names)).agg(F.count("*").alias("n"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((repetitions, len(names)))
+        for batch in batches:
+            for *counts, n in batch[[*names, "n"]].itertuples(index=False, name=None):
+                generator = np.random.default_rng([seed, *counts])
+                sums += generator.poisson(n, repetitions)[:, None] * np.array(counts, float)
+        yield pd.DataFrame(sums, columns=names).assign(rep=np.arange(repetitions))
+
+    drawn = vectors.mapInPandas(draw, ", ".join(f"{n} double" for n in names) + ", rep long")
+    sums = drawn.groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
     f1 = lambda s: ratio(2 * F.col(f"tp_{s}"), 2 * F.col(f"tp_{s}") + F.col(f"fp_{s}") + F.col(f"fn_{s}"), 0.0)
     ordered = sums.select((f1("c") - f1("b")).alias("d")).agg(F.sort_array(F.collect_list("d")).alias("v"))
     pick = lambda q: F.round(F.get("v", F.lit(int(q * (repetitions - 1)))), 6)

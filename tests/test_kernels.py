@@ -148,3 +148,19 @@ def test_a_cluster_without_a_shared_folder_fails(monkeypatch):
     assert runtime.shared_dir(session) == "hdfs://shared"
     with pytest.raises(ValueError):
         runtime.remove(session, "hdfs://shared/data")
+
+
+def test_bootstrap_against_resampled_documents(spark):
+    """The interval is that of documents drawn with replacement, by plain arrays."""
+    from maskloom.operators import evaluate
+
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 4, (400, 6))
+    rows = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(counts)], "doc_id long, tp_b long, fp_b long, fn_b long, tp_c long, fp_c long, fn_c long")
+    got = evaluate.bootstrap(rows, 2000).first()
+    f1 = lambda s: 2 * s[:, 0] / (2 * s[:, 0] + s[:, 1] + s[:, 2])
+    sums = np.stack([counts[rng.integers(0, 400, 400)].sum(0) for _ in range(4000)])
+    gaps = np.sort(f1(sums[:, 3:]) - f1(sums[:, :3]))
+    for q, value in ((0.025, got.low), (0.5, got.middle), (0.975, got.high)):
+        assert abs(np.quantile(gaps, q) - value) < 0.006
+    assert evaluate.bootstrap(rows.repartition(5), 2000).first() == got
