@@ -156,6 +156,7 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     blocks = cut(_blocks(keyed, seed))
     drawn = _collect_sources(blocks.groupBy("src").agg(
         F.sum("extra").alias("extra"), F.count("*").alias("n"), F.max(F.col("edge").cast("int")).alias("edge")))
+    drawn.sort(key=lambda r: (r["src"] is None, r["src"] or ""))  # the tree draws source after source
     passes = {r[0]: r[3] for r in plan}
     counts = split_tree([r["n"] * passes[r["src"]] + r["extra"] + r["edge"] for r in drawn], shards, seed)
     starts = np.cumsum(counts, axis=1) - counts

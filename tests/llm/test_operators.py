@@ -206,6 +206,82 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """xxhash64 of integers (int32 as ("i", n)), longs and strings as Spark chains it; nulls count for nothing."""
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+            h = xxh64_intdigest(data, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_mix(rows, shards, block_rows, seed=mixing.SEED):
+    """{id: (copies, shards)} by the module's docstring, source by source and row by row; ids are unique."""
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    total = [sum(size[i] for i, _, s in rows if s == n) for n in names]
+    aims = brute_targets(total, [(3, 1, 2)[i % 3] for i in range(len(names))])
+    per, quotas, out = {}, [], {}
+    for n, words, aim in zip(names, total, aims):
+        mine = [(spark_hash(("i", seed), i, t or ""), size[i], i) for i, t, s in rows if s == n]
+        many, passes = max(1, len(mine) // block_rows), int(aim // words) if words else 0
+        quota = round(aim - passes * words)
+        blocks = {}
+        for h, w, i in mine:
+            blocks.setdefault(h % many, []).append((h, w, i))
+        order = sorted(blocks, key=lambda b: (spark_hash(("i", seed), n, ("i", b)), b))
+        upto, extra, edge = 0, {}, None
+        for at, b in enumerate(order):
+            w = sum(x[1] for x in blocks[b])
+            extra[b] = upto + w <= quota
+            if upto < quota < upto + w:
+                edge = at
+            upto += w
+        near = order[max(0, edge - 1) : edge + 1] if edge is not None else []
+        left = quota - sum(x[1] for b in order[: order.index(near[0])] for x in blocks[b]) if near else 0
+        pool = sorted(x for b in near for x in blocks[b])
+        taken, gap = [], left
+        for x in pool:  # as they come, until one does not fit
+            if x[1] > gap:
+                break
+            taken.append(x)
+            gap -= x[1]
+        keep = taken[: max(0, len(taken) - mixing.CLOSERS)]
+        gap, rest = left - sum(x[1] for x in keep), sorted(pool[len(keep) :], key=lambda x: -x[1])
+        chosen = {x[2] for x in keep}
+        for x in rest:
+            if x[1] <= gap:
+                chosen.add(x[2])
+                gap -= x[1]
+        others = [x for x in rest if x[2] not in chosen]
+        if others and others[-1][1] - gap < gap:
+            chosen.add(others[-1][2])
+        per[n] = (order, blocks, passes, {i: int(i in chosen if b in near else extra[b]) for b in order for _, _, i in blocks[b]})
+        quotas.append(len(order) * passes + sum(extra.values()) + (edge is not None))
+    counts = mixing.split_tree(quotas, shards, seed)
+    for row, n in zip(counts, names):
+        order, blocks, passes, more = per[n]
+        owner = np.repeat(np.arange(shards), row)
+        for at, b in enumerate(order):
+            for _, _, i in blocks[b]:
+                copies = passes + more[i]
+                places = [c * len(order) + at for c in range(copies)]
+                out[i] = copies, [int(owner[p]) if p < len(owner) else shards - 1 for p in places]
+    return out
+
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(17)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a", "b", "b", "b", "c", "é", None])) for i in range(700)] + [(900, None, "empty"), (901, "x " * 5000, "c")]
+    want = brute_mix(rows, 8, 16)
+    got = {r.doc_id: (r.copies, list(r.shards)) for r in mixing.mix(docs(spark, [(i, t, None, s) for i, t, s in rows]), shards=8, block_rows=16).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    assert got == want
+
+
 def test_split_tree_is_exact_and_even():
     counts = mixing.split_tree([1000, 3, 0, 77], 13)
     assert counts.sum(1).tolist() == [1000, 3, 0, 77]
