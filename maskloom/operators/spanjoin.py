@@ -8,11 +8,17 @@ bucket where the later of the two starts lies counts).
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.runtime import ship
+
 WIDTH = 512
 KEY = ("doc_id",)
 
@@ -62,15 +68,70 @@ def veto(candidates: DataFrame, entity: str = "KR_ACCOUNT", protect: float = 0.4
         overlap_semi(candidates.where(weak), candidates.where(~weak & (F.col("score") >= protect)), anti=True))
 
 
+def _cluster_numbers(rows: pd.DataFrame, by: Sequence[str]) -> np.ndarray:
+    """Numbers of the clusters that spans chain into by overlap; rows are sorted by ``by``, start and end."""
+    keys = rows[list(by)]
+    fresh = (keys != keys.shift()).any(axis=1).to_numpy()
+    group = fresh.cumsum()
+    reach = rows["end"].groupby(group).cummax().groupby(group).shift()
+    return (fresh | (rows["start"] >= reach).to_numpy()).cumsum() - 1
+
+
+def _by_cluster(spans: DataFrame, by: Sequence[str], resolve: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """The spans that ``resolve`` keeps, cluster by cluster: sorted by Spark, which spills, and read as a
+    stream, so that a task holds a batch or the largest cluster, not a document."""
+    ship(spans.sparkSession)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            number = _cluster_numbers(rows, by)
+            done = number < number[-1]
+            if done.any():
+                yield rows[done][resolve(rows[done], number[done])]
+            held = rows[~done].reset_index(drop=True)
+        if held is not None:
+            yield held[resolve(held, np.zeros(len(held), np.int64))]
+
+    return spans.repartition(*by).sortWithinPartitions(*by, "start", "end").mapInPandas(of, spans.schema)
+
+
+def _contested(number: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, bool]]]:
+    """Which rows are alone in their cluster; the others by cluster and keys, with whether a new cluster begins."""
+    alone = np.bincount(number)[number] == 1
+    order = np.lexsort((*reversed(keys), number))
+    order = order[~alone[order]]
+    begins = np.diff(number[order], prepend=-1) != 0
+    return alone, zip(order.tolist(), begins.tolist())
+
+
+def _uncontained(rows: pd.DataFrame, number: np.ndarray) -> np.ndarray:
+    """Better spans first; those that have been contain a span if the furthest end of the ones that begin
+    no later reaches its end. Only spans that reach further than all that begin before are remembered."""
+    start, end, score = (rows[c].to_numpy() for c in ("start", "end", "score"))
+    keep, order = _contested(number, -score, start, -end)
+    starts, ends, before, verdict = [], [], None, True
+    for i, begins in order:
+        s, e = start[i], end[i]
+        if begins:
+            starts, ends, before = [], [], None
+        if before != (score[i], s, e):  # equal spans share a verdict
+            at = bisect.bisect_right(starts, s)
+            before, verdict = (score[i], s, e), not (at and ends[at - 1] >= e)
+            if verdict:
+                first = at - 1 if at and starts[at - 1] == s else at
+                upto = bisect.bisect_right(ends, e, lo=at)  # those that begin later and reach no further
+                starts[first:upto], ends[first:upto] = [s], [e]
+        keep[i] = verdict
+    return keep
+
+
 def drop_contained(spans: DataFrame) -> DataFrame:
     """Without spans inside a better one of the same entity, and without zero scores (JOI2)."""
-    live = spans.where(F.col("score") != 0).distinct()
-    key = ("doc_id", "entity")
-    pairs = overlap_pairs(live.select(*key, "start", "end", "score"), live.select(*key, "start", "end", "score"), on=key)
-    longer = (F.col("start_r") < F.col("start")) | ((F.col("start_r") == F.col("start")) & (F.col("end_r") > F.col("end")))
-    better = (F.col("score_r") > F.col("score")) | ((F.col("score_r") == F.col("score")) & longer)
-    beaten = pairs.where((F.col("start_r") <= F.col("start")) & (F.col("end_r") >= F.col("end")) & better)
-    return live.join(beaten.select(*key, "start", "end", "score").distinct(), [*key, "start", "end", "score"], "left_anti")
+    return _by_cluster(spans.where(F.col("score") != 0).distinct(), ("doc_id", "entity"), _uncontained)
 
 
 def prefix_max_end(spans: DataFrame) -> DataFrame:
@@ -85,23 +146,32 @@ def adjacent_overlaps(spans: DataFrame) -> DataFrame:
     return spans.withColumn("previous_end", F.lag("end").over(ordered)).where(F.col("previous_end") > F.col("start"))
 
 
-def greedy_select(spans: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
-    """The best disjoint spans of each document (SEL1): score, entity priority, start, end.
+def _disjoint(rows: pd.DataFrame, number: np.ndarray) -> np.ndarray:
+    """Best first, each kept if it overlaps none of those kept, which lie sorted and apart."""
+    start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+    keep, order = _contested(number, -rows["score"].to_numpy(), rows["rank"].to_numpy(), start, end)
+    starts, ends = [], []
+    for i, begins in order:
+        if begins:
+            starts, ends = [], []
+        s, e = start[i], end[i]
+        at = bisect.bisect_right(starts, s)
+        if not (at and s < ends[at - 1] and starts[at - 1] < e) and not (at < len(starts) and s < ends[at] and starts[at] < e):
+            starts.insert(at, s)
+            ends.insert(at, e)
+            keep[i] = True
+    return keep
+
 
-    A document's spans are brought together in its row (their number is bounded by its
-    text) and resolved by the in-row kernel.
-    """
-    from maskloom.functions import spans as kernel
+def greedy_select(spans: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
+    """The best disjoint spans of each document (SEL1): score, entity priority, start, end."""
     from maskloom.functions import vocab as V
-    from maskloom.functions.kernel import let
 
     rank = F.lit(99)
     for entity, at in (priority or V.PRIORITY).items():
         rank = F.when(F.col("entity") == entity, at).otherwise(rank)
-    item = kernel.span(F.col("entity"), rank, F.col("start"), F.col("end"), F.col("score"))
-    rows = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    chosen = rows.select("doc_id", F.explode(let(F.col("all"), kernel.select_greedy)).alias("x"))
-    return chosen.select("doc_id", "x.entity", F.col("x.s").alias("start"), F.col("x.e").alias("end"), "x.score")
+    rows = spans.select("doc_id", "entity", "start", "end", "score", rank.alias("rank"))
+    return _by_cluster(rows, ("doc_id",), _disjoint).drop("rank")
 
 
 def disjoint_insert(accepted: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -164,3 +164,31 @@ def test_bootstrap_against_resampled_documents(spark):
     for q, value in ((0.025, got.low), (0.5, got.middle), (0.975, got.high)):
         assert abs(np.quantile(gaps, q) - value) < 0.006
     assert evaluate.bootstrap(rows.repartition(5), 2000).first() == got
+
+
+def test_span_conflicts_by_cluster_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(d, rng.choice("AB"), s := rng.randrange(60), s + rng.randint(1, 12), rng.choice((0.0, 0.1, 0.4, 0.5, 1.0)), rng.choice("xy")) for d in range(12) for _ in range(rng.choice((0, 1, 3, 40)))]
+    rows += rows[:5]
+    table = spark.createDataFrame(rows, "doc_id long, entity string, start int, end int, score double, note string")
+    better = lambda y, x: (y[:2] == x[:2]) and y[2] <= x[2] and y[3] >= x[3] and (-y[4], y[2], -y[3]) < (-x[4], x[2], -x[3])
+    live = {r for r in rows if r[4] != 0}
+    assert sorted(map(tuple, spanjoin.drop_contained(table).collect())) == sorted(x for x in live if not any(better(y, x) for y in live))
+    want = []
+    for d in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: (-r[4], "AB".index(r[1]), r[2], r[3])):
+            if not any(r[2] < k[3] and k[2] < r[3] for k in kept):
+                kept.append(r)
+        want += [k[:5] for k in kept]
+    got = spanjoin.greedy_select(table, {"A": 0, "B": 1})
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["doc_id", "entity", "start", "end", "score"]
+
+
+def test_many_spans_that_all_overlap_take_little_time(spark):
+    import time
+
+    rows = spark.range(20_000).selectExpr("id div 5000 AS doc_id", "'A' AS entity", "cast(id % 5000 as int) AS start", "cast(10000 + id % 5000 * 7 % 5000 as int) AS `end`", "cast(id * 13 % 97 as double) / 100 AS score")
+    begun = time.perf_counter()
+    assert spanjoin.drop_contained(rows).count() > 0 and spanjoin.greedy_select(rows).count() == 4
+    assert time.perf_counter() - begun < 30
