@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.operators import corpus, decode, sequence, validate
 from maskloom.plans import tables as B
+from maskloom.runtime import spread
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -208,7 +209,7 @@ _LOGITS = "transform(sequence(0, 11), p -> transform(array(0, 1, 2, 3, 4), k ->
 
 
 def _logits(c: DataFrame) -> DataFrame:
-    return c.select("c_custkey", F.expr(_LOGITS).alias("logits"))
+    return spread(c.select("c_custkey")).select("c_custkey", F.expr(_LOGITS).alias("logits"))
 
 
 query("viterbi_bioes", None, "customer")(lambda c: _logits(c).select("c_custkey", F.explode(decode.decode_best(F.col("logits"), 0.2)).alias("x")).select("c_custkey", "x.*"))

@@ -192,3 +192,47 @@ def test_many_spans_that_all_overlap_take_little_time(spark):
     begun = time.perf_counter()
     assert spanjoin.drop_contained(rows).count() > 0 and spanjoin.greedy_select(rows).count() == 4
     assert time.perf_counter() - begun < 30
+
+
+# --- decoders over columns ------------------------------------------------------------------------
+
+
+def test_column_decoders_equal_single_cases(spark):
+    """Cases of several lengths, an empty one and null in one batch."""
+    rng = np.random.default_rng(7)
+    cases = [None if i == 3 else rng.normal(size=(i * 5 % 13, 5)).tolist() for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, logits array<array<double>>").coalesce(1)
+    anchors = F.when(F.size("logits") > 2, F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(0.9).alias("score")))).otherwise(
+        F.array().cast("array<struct<start:int,end:int,score:double>>"))
+    rows = df.select("i", decode.decode_best(F.col("logits"), 0.2).alias("best"), decode.decode_coverage(F.col("logits"), 0.6).alias("coverage"),
+                     decode.decode_evidence(F.col("logits"), 0.1, 3).alias("evidence"), decode.marginals(F.col("logits")).alias("inside"),
+                     decode.decode_selective(F.col("logits"), anchors, 0.2, 0.5).alias("selective")).collect()
+    plain = lambda spans: None if spans is None else [tuple(x) for x in spans]
+    assert len(rows) == len(cases)
+    for row in rows:
+        x = cases[row.i]
+        if x is None:
+            assert row[1:] == (None,) * 5
+            continue
+        assert plain(row.best) == decode.path_spans(x, 0.2) and plain(row.coverage) == decode.coverage_spans(x, 0.6)
+        assert plain(row.evidence) == decode.evidence_spans(decode.span_probability(x, 3), 0.1)
+        assert row.inside == decode.inside_probability(x).tolist()
+        assert plain(row.selective) == decode.selective_spans(x, 0.2, 0.5, [(0, 2, 0.9)] if len(x) > 2 else [])
+
+
+def test_decoding_many_short_cases_takes_little_time(spark):
+    import time
+
+    logits = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((F.col("id") * 31 + p * 17 + k * 7) % 23).cast("double")))
+    anchors = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit(0.9).alias("score")))
+    begun = time.perf_counter()
+    spark.range(40_000).coalesce(1).select(F.explode(decode.decode_selective(logits, anchors, 0.3, 0.5))).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - begun < 30  # case by case it took more than a minute
+
+
+def test_decoder_queries_run_in_many_tasks(spark, sf):
+    """The customers are one small file, and one task would read it."""
+    from maskloom import plans
+
+    for name in ("selective_evidence", "span_posteriors", "coverage_decode", "name_marginals"):
+        assert plans.queries()[name](spark, sf).rdd.getNumPartitions() > 1
