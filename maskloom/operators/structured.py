@@ -330,17 +330,50 @@ def transform_json(rows: DataFrame, column: str, transform: Callable[[str, str],
     return rows.mapInArrow(run, schema).select(*dict.fromkeys([*rows.columns, into]))
 
 
+class _Number(str):
+    """A number as it is written."""
+
+
+def _scalars(document: str) -> list[tuple[str, str]]:
+    """Paths of a document's scalars, and each scalar as JSON."""
+    def unique(pairs):
+        out = dict(pairs)
+        if len(out) != len(pairs):
+            raise ValueError("JSON object has duplicate keys")
+        return out
+
+    def refuse(name):
+        raise ValueError("JSON holds a number that is not finite")
+
+    out, rest = [], [("$", json.loads(document, object_pairs_hook=unique, parse_int=_Number, parse_float=_Number, parse_constant=refuse))]
+    while rest:
+        path, node = rest.pop()
+        if isinstance(node, dict):
+            rest.extend((f"{path}.{key}", child) for key, child in node.items())
+        elif isinstance(node, list):
+            rest.extend((f"{path}[{at}]", child) for at, child in enumerate(node))
+        else:  # a key may hold half a surrogate pair, as the escapes of a value do
+            out.append((path.encode("utf-8", "replace").decode(), str(node) if isinstance(node, _Number) else json.dumps(node)))
+    return out
+
+
 def leaf_table(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """Scalar leaves of JSON documents with their paths, through the engine's own variant type (AGG14, FN16)."""
-    return rows.sparkSession.sql(
-        f"""WITH RECURSIVE tree AS (
-              SELECT {key}, CAST('$' AS STRING) AS path, parse_json({column}) AS v FROM {{rows}}
-              UNION ALL
-              SELECT t.{key}, concat(t.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END), e.value
-              FROM tree t, LATERAL variant_explode_outer(t.v) e
-              WHERE schema_of_variant(t.v) LIKE 'OBJECT%' OR schema_of_variant(t.v) LIKE 'ARRAY%')
-            SELECT {key}, path, CAST(v AS STRING) AS value FROM tree
-            WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'""", rows=rows)
+    """Scalar leaves of JSON documents with their paths (AGG14, FN16).
+
+    Documents are taken apart in Arrow batches, whatever their number and depth; values are spelled by the engine's own variant type.
+    """
+    ship(rows.sparkSession)
+    given = rows.select(key, column)
+    schema = T.StructType([given.schema[key], T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at, *leaf) for at, d in enumerate(batch.column(1).to_pylist()) if d is not None for leaf in _scalars(d)]
+            at, paths, values = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())],
+                                             names=[key, "path", "value"])
+
+    return given.mapInArrow(run, schema).select(key, "path", F.parse_json("value").cast("string").alias("value"))
 
 
 def paired_leaves(original: DataFrame, masked: DataFrame, key: str, column: str) -> DataFrame:

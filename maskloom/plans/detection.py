@@ -264,7 +264,7 @@ QUERIES["json_key_mask"] = (json_key_mask, "SELECT c_custkey, '{\"<PHONE_NUMBER>
 
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar leaves of the events' properties."""
-    rows = B.table(spark, sf_dir, "events").select("event_id", "props").where("props is not null")
+    rows = spread(B.table(spark, sf_dir, "events").select("event_id", "props").where("props is not null"))
     return structured.leaf_table(rows, "event_id", "props")
 
 

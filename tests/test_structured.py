@@ -168,3 +168,18 @@ def test_lines_digests_and_freeze(spark, tmp_path):
         files.verify_digest(spark, str(tmp_path / "a.txt"), "0" * 64)
     frozen = files.freeze(spark.range(3), str(tmp_path / "frozen"))
     assert frozen.count() == 3 and len(frozen.first().row_sha256) == 64
+
+
+def test_leaves_of_many_and_deep_documents(spark):
+    """Neither the number of leaves nor the depth of a document is bounded by the engine's limits on recursive queries."""
+    from maskloom.operators import structured
+
+    rows = spark.createDataFrame([(i, f'{{"a": {i}, "b": ["x", 1.50, null]}}') for i in range(200)] + [(200, "[" * 150 + "7" + "]" * 150)], "i int, d string")
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = structured.leaf_table(rows, "i", "d").collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    assert len(got) == 801 and {tuple(r)[1:] for r in got if r.i == 3} == {("$.a", "3"), ("$.b[0]", "x"), ("$.b[1]", "1.5"), ("$.b[2]", None)}
+    assert [tuple(r)[1:] for r in got if r.i == 200] == [("$" + "[0]" * 150, "7")]
