@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom import udfs
-from maskloom.functions import generate, text as texts
+from maskloom.functions import generate, masking, text as texts
 from maskloom.operators import arrays, compare, corpus, evaluate, structured
 from maskloom.operators.detect import Detector, all_entities
 from maskloom.plans import measurement
 from maskloom.plans import tables as B
 from maskloom.plans.measurement import _SCORES, _SUMS, _WITH
+from maskloom.runtime import spread
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 SYSTEMS = ("base", "cand")
@@ -151,7 +152,7 @@ query("field_types", _FLAGGED + """
     SELECT m.system, 4 * count(*) AS fields, (2 + m.more) * count(*) AS masked, cast(0 as bigint) AS notes_changed FROM customer CROSS JOIN (VALUES ('default', 0), ('strict', 1)) m(system, more) GROUP BY m.system, m.more""", "customer")
 def strict_against_default(c: DataFrame) -> DataFrame:
     """The same records masked by default and strictly: an account of no known form is masked by the second alone."""
-    rows = c.select(F.col("c_custkey").alias("doc_id"), F.to_json(F.struct(
+    rows = spread(c.select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), F.to_json(F.struct(
         F.lit("김민서").alias("고객명"), F.expr(B.MOBILE).alias("휴대폰번호"), F.lit("abc-1").alias("계좌번호"), F.lit("문 앞에 두세요").alias("비고"))).alias("d"))
     out = None
     for system, strict in (("default", False), ("strict", True)):
@@ -185,7 +186,7 @@ _NEGATIVES = {
 def numeric_negatives(o: DataFrame) -> DataFrame:
     """Numbers that are nobody's, in sentences: none may be flagged (target A9)."""
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("template"), F.expr(x).alias("text")) for t, x in _NEGATIVES.items())))
-    return compare.false_alarms(compare.probes(o.select(each.alias("x")).select("x.*"), Detector()))
+    return compare.false_alarms(compare.probes(spread(o.select("o_orderkey")).select(each.alias("x")).select("x.*"), Detector()))
 
 
 _COLLISIONS = {"rrn": lambda k: generate.registration(k), "rrn bare": lambda k: generate.registration(k, dash=False), "brn": lambda k: generate.business(k),
@@ -196,7 +197,7 @@ _COLLISIONS = {"rrn": lambda k: generate.registration(k), "rrn bare": lambda k:
 def identifier_collisions(c: DataFrame) -> DataFrame:
     """Other identifiers where an account is asked for: none may be taken for one (target A10)."""
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("template"), F.concat(F.lit("은행 계좌 확인: "), make(F.col("c_custkey"))).alias("text")) for t, make in _COLLISIONS.items())))
-    return compare.mislabelled(compare.probes(c.select(each.alias("x")).select("x.*"), Detector()), "KR_ACCOUNT")
+    return compare.mislabelled(compare.probes(spread(c.select("c_custkey")).select(each.alias("x")).select("x.*"), Detector()), "KR_ACCOUNT")
 
 
 @query("synthetic_recall", """
@@ -208,8 +209,9 @@ def synthetic_recall(c: DataFrame) -> DataFrame:
     cases = [("KR_RRN", "주민번호", generate.registration(key)), ("PHONE_NUMBER", "연락처", generate.mobile(key)),
              ("EMAIL_ADDRESS", "메일", generate.email(key)), ("KR_DRIVER_LICENSE", "운전면허번호", generate.license_number(key))]
     each = F.explode(F.array(*(F.struct(F.lit(e).alias("entity"), F.lit(t).alias("template"), n.alias("number"), F.concat(F.lit(f"{t} "), n, F.lit(" 확인")).alias("text")) for e, t, n in cases)))
-    rows = c.select(each.alias("x")).select("x.*")
-    probed = compare.probes(rows, Detector()).withColumn("masked", Detector().mask(F.col("text"), "stars"))
+    rows = spread(c.select("c_custkey")).select(each.alias("x")).select("x.*")
+    probed = compare.probes(rows, Detector())
+    probed = probed.withColumn("masked", masking.splice(F.col("text"), F.col("findings"), "stars"))  # by the same analysis
     return evaluate.recall_table(compare.recalled(probed))
 
 
@@ -308,7 +310,7 @@ query("honorific_fields", "SELECT c_custkey, 5 AS s, 8 AS e FROM customer", "cus
 query("guard_verdicts", f"""
     SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'fail' ELSE 'pass' END AS outcome, CASE WHEN c_custkey % 2 = 0 THEN '연락처 <PHONE_NUMBER> 확인' ELSE '확인 바랍니다' END AS fix_value,
            CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS errors FROM customer""", "customer")(
-    lambda c: udfs.guard(c.select("c_custkey", F.expr(f"CASE WHEN c_custkey % 2 = 0 THEN '연락처 ' || {B.MOBILE} || ' 확인' ELSE '확인 바랍니다' END").alias("text")), "text").select(
+    lambda c: udfs.guard(spread(c.select("c_custkey")).select("c_custkey", F.expr(f"CASE WHEN c_custkey % 2 = 0 THEN '연락처 ' || {B.MOBILE} || ' 확인' ELSE '확인 바랍니다' END").alias("text")), "text").select(
         "c_custkey", "outcome", "fix_value", F.size("error_spans").alias("errors")))
 
 assert not set(QUERIES) & set(measurement.QUERIES)

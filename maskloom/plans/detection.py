@@ -19,7 +19,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
 
 def _rows(spark: SparkSession, sf_dir: str, name: str, steps) -> DataFrame:
-    return B.derive(B.table(spark, sf_dir, name), steps)
+    return B.derive(B.dealt(spark, sf_dir, name), steps)
 
 
 def _long(rows: DataFrame, key: str, detector: Detector, text: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def _masks(style: str, shown: str) -> tuple[Callable, str]:
     text = f"'연락처 ' || {B.MOBILE} || ' 확인'"
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+        rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
         return rows.select("c_custkey", Detector().mask(F.col("text"), style).alias("masked"))
 
     return query, f"SELECT c_custkey, '연락처 ' || {shown} || ' 확인' AS masked FROM customer"
@@ -112,7 +112,7 @@ QUERIES["mask_partial_mobile"] = _masks("partial", "'010-****-****'")
 
 def redaction_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two findings in a text; the second moves by what the first's tag added."""
-    rows = B.table(spark, sf_dir, "customer").select(
+    rows = B.dealt(spark, sf_dir, "customer").select(
         "c_custkey", F.expr(f"'메일 user' || cast(c_custkey as string) || '@example.com, 연락처 ' || {B.MOBILE}").alias("text"))
     made = rows.select("c_custkey", F.explode(Detector().mask_with_details(F.col("text"))["redactions"]).alias("r"))
     return made.select("c_custkey", "r.entity", F.col("r.start").alias("s"), F.col("r.end").alias("e"), "r.output_start", "r.output_end")
@@ -128,7 +128,7 @@ QUERIES["redaction_offsets"] = (redaction_offsets, """
 
 def should_mask_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's policy keeps mobile numbers that end in an even digit."""
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'연락처 ' || {B.MOBILE}").alias("text"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'연락처 ' || {B.MOBILE}").alias("text"))
     policy = lambda f: F.substring(f["text"], -1, 1).cast("int") % 2 == 1
     return rows.select("c_custkey", Detector().mask(F.col("text"), "tag", policy).alias("masked"), Detector().contains(F.col("text")).alias("found"))
 
@@ -140,7 +140,7 @@ QUERIES["should_mask_policy"] = (should_mask_policy, f"""
 def normalize_fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-width mobile numbers fold to ASCII, and are found in place."""
     wide = F.translate(F.expr(B.MOBILE), "0123456789-", "０１２３４５６７８９－")
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("연락처："), wide).alias("text"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("연락처："), wide).alias("text"))
     return rows.select("c_custkey", texts.normalize(F.col("text")).alias("normalized"), Detector().mask(F.col("text"), "stars").alias("masked"))
 
 
@@ -151,7 +151,7 @@ QUERIES["normalize_fullwidth"] = (normalize_fullwidth, f"""
 def normalize_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invisible runs go inside identifiers and stay elsewhere; positions point into the original."""
     text = f"'값\u200b ' || substr({B.MOBILE}, 1, 5) || '\u200b\u200b' || substr({B.MOBILE}, 6)"
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
     return rows.select("c_custkey", texts.normalize(F.col("text")).alias("normalized"), F.get(texts.positions(F.col("text")), F.lit(8)).alias("ninth"),
                        texts.fingerprint(F.col("text")).alias("exact"), texts.fingerprint(F.col("text"), True).alias("folded"))
 
@@ -223,7 +223,7 @@ QUERIES["text_fingerprints"] = (text_fingerprints, "SELECT doc_id, sha256(text)
 
 def csv_fields(spark: SparkSession, sf_dir: str, style: str = "tag", strict: bool = False) -> DataFrame:
     """A customer table with field names masked column by column (every fourth e-mail is no address)."""
-    rows = B.table(spark, sf_dir, "customer").selectExpr(
+    rows = B.dealt(spark, sf_dir, "customer").selectExpr(
         "cast(c_custkey as string) AS id", "c_name AS customer_name", f"{B.MOBILE} AS phone_no",
         "CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE 'user' || cast(c_custkey as string) || '@example.com' END AS email",
         "CASE WHEN c_custkey % 2 = 0 THEN '카카오뱅크' ELSE '신한' END AS bank", "'3333120145448' AS account_number",
@@ -245,7 +245,7 @@ _JSON = _DOC.replace("'{\"no\"", "'{{\"no\"")
 
 def json_field_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON documents masked in place: key order, numbers and nulls as they were."""
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(_JSON.format(m=B.MOBILE)).alias("document"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(_JSON.format(m=B.MOBILE)).alias("document"))
     return structured.mask_json(rows, "document", Detector())
 
 
@@ -255,7 +255,7 @@ QUERIES["json_field_mask"] = (json_field_mask, "SELECT c_custkey, " + _JSON.form
 
 def json_key_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in a key is masked too."""
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'{{\"' || {B.MOBILE} || '\": true}}'").alias("document"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'{{\"' || {B.MOBILE} || '\": true}}'").alias("document"))
     return structured.mask_json(rows, "document", Detector())
 
 
@@ -290,7 +290,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskloom import udfs
 
     udfs.register(spark)
-    rows = B.table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'연락처 ' || {B.MOBILE}").alias("t"))
+    rows = B.dealt(spark, sf_dir, "customer").select("c_custkey", F.expr(f"'연락처 ' || {B.MOBILE}").alias("t"))
     return spark.sql("SELECT c_custkey, mask_pii_partial(t) AS masked, contains_pii(t) AS found FROM {rows}", rows=rows)
 
 
@@ -306,7 +306,7 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return lambda text: [("KR_NAME", m.start(), m.end(), 0.9) for m in re.finditer(r"[A-Z][a-z]+ [A-Z][a-z]+", text)]
 
-    rows = B.table(spark, sf_dir, "customer").selectExpr(
+    rows = B.dealt(spark, sf_dir, "customer").selectExpr(
         "c_custkey", f"CASE WHEN c_custkey % 2 = 0 THEN '상품명: ' ELSE '방문: ' END || 'Mina Example, 연락처 ' || {B.MOBILE} AS text")
     found = udfs.with_model(rows, "text", all_entities(), factory)
     return found.select("c_custkey", F.transform("findings", lambda f: f["entity"]).alias("e")).select("c_custkey", F.array_join("e", ",").alias("entities"))
@@ -327,7 +327,8 @@ def stream_mask_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/[e]vents.parquet"  # a pattern, since a stream takes no single file
     source = spark.readStream.schema(B.table(spark, sf_dir, "events").schema).parquet(path)
     texts_ = source.select("event_id", F.expr("'문의 ' || event_type || ' 010-' || lpad(cast(event_id % 10000 as string), 4, '0') || '-0000'").alias("text"))
-    masked = streaming.mask_stream(texts_, "text", Detector()).select("event_id", "masked")
+    dealt = texts_.repartition(spark.sparkContext.defaultParallelism)
+    masked = streaming.mask_stream(dealt, "text", Detector()).select("event_id", "masked")
     streaming.write_stream(masked, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import vocab as V
+from maskloom.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much each, dealt out: its file may be one row group."""
+    return spread(table(spark, sf_dir, name))
+
+
 def padded(key: str, width: int) -> str:
     return f"lpad(cast(({key}) % {10**width} as string), {width}, '0')"
 

@@ -143,3 +143,20 @@ def test_invariants_on_random_texts(spark, seed):
         assert len(r.stars) == len(r.text)
         assert all((c == "*") == any(f.start <= i < f.end for f in r.f) or c == r.text[i] for i, c in enumerate(r.stars))
         assert [r.m.text[x.output_start : x.output_end] for x in r.m.redactions] == [f"<{f.entity}>" for f in r.f]
+
+
+@pytest.mark.parametrize("name", ["synthetic_recall", "csv_fields", "findings_email_suffix", "normalize_invisible"])
+def test_costly_rows_are_dealt_out(spark, sf, name):
+    """The customers are one small file, and one task would read it."""
+    from maskloom import plans
+
+    plan = plans.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4" in plan
+
+
+def test_recall_detects_once(spark, sf):
+    """Masks and hits of generated identifiers come from one analysis."""
+    from maskloom import plans
+
+    plan = plans.queries()["synthetic_recall"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("luhn_check") + plan.count("luhnCheck") + plan.count("isLuhnNumber") <= 2  # of number tokens and of spaced cards
