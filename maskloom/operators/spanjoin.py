@@ -193,7 +193,8 @@ def merged(spans: DataFrame) -> DataFrame:
     ordered = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.select("doc_id", "start", "end").withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    numbered = marked.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # equal spans share an island in whatever order they come
+    numbered = marked.withColumn("island", F.sum("new").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 

@@ -241,3 +241,11 @@ def test_decoder_queries_run_in_many_tasks(spark, sf):
 
     for name in ("selective_evidence", "span_posteriors", "coverage_decode", "name_marginals"):
         assert plans.queries()[name](spark, sf).rdd.getNumPartitions() > 1
+
+
+def test_equal_spans_share_an_island(spark):
+    """The plan sums over peers, so that the order of equal spans is of no account."""
+    df = spark.createDataFrame([(1, 0, 4), (1, 4, 9), (1, 10, 12), (1, 10, 12), (1, 20, 21)], "doc_id int, start int, end int")
+    out = spanjoin.merged(df)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 9), (1, 10, 12), (1, 20, 21)]
+    assert "RangeFrame" in out._jdf.queryExecution().optimizedPlan().toString()
