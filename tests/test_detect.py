@@ -160,3 +160,9 @@ def test_recall_detects_once(spark, sf):
 
     plan = plans.queries()["synthetic_recall"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("luhn_check") + plan.count("luhnCheck") + plan.count("isLuhnNumber") <= 2  # of number tokens and of spaced cards
+
+
+def test_a_phone_number_is_not_read_inside_a_card_number(spark):
+    rows = spark.createDataFrame([(1, "카드번호 4000 0502 3861 1147 승인"), (2, "연락처 0502 3861 1147"), (3, "2명 0502 3861 1147")], "i int, t string")
+    got = {r.i: [(f.entity, f.text) for f in r.f] for r in rows.select("i", Detector().findings(F.col("t")).alias("f")).collect()}
+    assert got == {1: [], 2: [("PHONE_NUMBER", "0502 3861 1147")], 3: [("PHONE_NUMBER", "0502 3861 1147")]}
