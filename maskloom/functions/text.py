@@ -60,11 +60,18 @@ def normalize(text: Column) -> Column:
 
 
 def positions(text: Column) -> Column:
-    """For each character of the normalised text its offset in ``text``; null where all are unchanged."""
-    removed = cuts(fold(text))
-    size = F.length(normalize(text))
-    every = F.transform(F.sequence(F.lit(0), size - 1), lambda i: original(i, removed))
-    return F.when(F.size(removed) > 0, every)
+    """For each character of the normalised text its offset in ``text``; null where all are unchanged.
+
+    Between two cuts all move alike, so the text is read once, whatever its length and number of cuts.
+    """
+    def every(view: Column) -> Column:
+        removed, size = view["removed"], view["size"]
+        at = lambda k, ends: F.coalesce(F.get(removed, k)["at"], ends)
+        between = lambda gone, k: F.transform(F.sequence(at(k - 1, F.lit(0)), at(k, size) - 1), lambda i: i + gone)
+        gone = running(F.transform(removed, lambda cut: cut["n"]), 0, lambda a, b: a + b)
+        return F.when(F.size(removed) > 0, F.flatten(F.transform(gone, between)))
+
+    return let(fold(text), lambda folded: let(F.struct(cuts(folded).alias("removed"), F.length(squeeze(folded)).alias("size")), every))
 
 
 def fingerprint(text: Column, normalized: bool = False) -> Column:

@@ -29,6 +29,23 @@ def test_folding_keeps_positions(spark):
     assert got["0​‌1​"][1] == [0, 3, 4] and got["a­­b"][1] == [0, 3] and got["가​나"][1] is None
 
 
+def test_positions_read_a_text_once(spark):
+    """Not once for each position, which is quadratic in its length."""
+    import time
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "1", "가", "\u200b", "\U0001f4e9"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts.append("0\u200b\u2060" * 200 + "가나 " * 10_000 + "1\u200b2")
+    removed = [[i for m in re.finditer("(?<=[A-Za-z0-9@._+-])[\u200b\u2060]+(?=[A-Za-z0-9@._+-])", t) for i in range(*m.span())] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    begun = time.perf_counter()
+    got = {r.i: r.p for r in rows.select("i", text.positions(F.col("t")).alias("p")).collect()}
+    assert time.perf_counter() - begun < 30
+    for i, gone in enumerate(removed):
+        gone = set(gone)
+        assert got[i] == ([at for at in range(len(texts[i])) if at not in gone] if gone else None)
+
+
 def _random_spans(rng, n):
     out = []
     for _ in range(n):
