@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import any_word
+from maskloom.functions.kernel import any_word, let
 
 _PLAIN = rf"(?<![A-Za-z0-9]){any_word(V.ACCOUNT_WORDS)}"
 _PLACED = rf"(?<![\p{{L}}\p{{N}}]){any_word(V.ACCOUNT_AMBIGUOUS)}(?=(?:은행)?[\s\p{{Z}}:：=\[\]()]*\z)"
@@ -36,8 +36,8 @@ def _last(prefix: Column, pattern: str) -> Column:
 def account_context(prefix: Column) -> Column:
     """struct<has, blocked>: whether the nearest label speaks for an account, or against one."""
     places = F.struct(_last(prefix, _LAST_WORD).alias("yes"), _last(prefix, _LAST_BLOCKER).alias("no"))
-    return F.transform(F.array(places), lambda at: F.struct(
-        ((at["yes"] >= 0) & (at["yes"] > at["no"])).alias("has"), ((at["no"] >= 0) & (at["no"] > at["yes"])).alias("blocked")))[0]
+    return let(places, lambda at: F.struct(
+        ((at["yes"] >= 0) & (at["yes"] > at["no"])).alias("has"), ((at["no"] >= 0) & (at["no"] > at["yes"])).alias("blocked")))
 
 
 def nearest_bank(prefix: Column) -> Column:

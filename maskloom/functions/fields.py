@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import addresses as notation
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import before, find, let, matches, none_of, piece
+from maskloom.functions.kernel import before, chained, find, let, matches, none_of, piece
 from maskloom.functions.spans import SPAN, span
 
 NAME_REACH, FIELD_REACH = 600, 120
@@ -85,7 +85,7 @@ def addresses(text: Column, view: Column) -> Column:
     full = _addresses(text, view, notation.FULL, V.SCORE["address"])
     labelled = _addresses(text, view, notation.LABELLED, V.SCORE["address_labeled"])
     same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
-    return let(labelled, lambda second: F.concat(
+    return let(labelled, lambda second: chained(
         F.filter(full, lambda x: ~F.exists(second, lambda y: same(x, y))), second))
 
 

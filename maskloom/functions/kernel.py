@@ -57,8 +57,11 @@ def built(function: Callable) -> Callable:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once: a lambda over a one-element array."""
-    return F.transform(F.array(value), body)[0]
+    """``body(value)`` with ``value`` evaluated once: the last step of an aggregate over nothing.
+
+    Element 0 of a lambda over a one-element array is the same, but makes and reads two arrays.
+    """
+    return F.aggregate(F.array(), value, lambda kept, _: kept, body)
 
 
 _stored: dict[tuple, object] = {}
@@ -72,9 +75,8 @@ def stored(key: tuple, value: Column, body: Callable[[Column], Column]) -> Colum
     key = (context.applicationId, *key)
     if key not in _stored:
         with _plain_calls():
-            _stored[key] = _create_lambda(body)
-    call = context._jvm.PythonSQLUtils.fn("transform", _to_seq(context, [F.array(value)._jc, _stored[key]]))
-    return Column(call)[0]
+            _stored[key] = _create_lambda(lambda kept, _: kept), _create_lambda(body)
+    return Column(context._jvm.PythonSQLUtils.fn("aggregate", _to_seq(context, [F.array()._jc, value._jc, *_stored[key]])))
 
 
 def none_of(kind: str) -> Column:
@@ -82,6 +84,11 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def chained(*arrays: Column) -> Column:
+    """The elements of all arrays; ``concat`` of arrays builds a lazy list for every row."""
+    return F.flatten(F.array(*arrays))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether the whole of ``text`` matches."""
     return text.rlike(rf"\A(?:{pattern})\z")
@@ -98,7 +105,7 @@ def running(values: Column, zero: int, op: Callable[[Column, Column], Column]) -
     Only integers accumulate: an accumulated array of structs would be copied deeply at
     every step.
     """
-    return F.aggregate(values, F.array(F.lit(zero)), lambda done, x: F.concat(done, F.array(op(F.element_at(done, -1), x))))
+    return F.aggregate(values, F.array(F.lit(zero)), lambda done, x: chained(done, F.array(op(F.element_at(done, -1), x))))
 
 
 def find(text: Column, pattern: str, group: bool = False) -> Column:
@@ -131,7 +138,8 @@ def find(text: Column, pattern: str, group: bool = False) -> Column:
 
     def located(p: Column) -> Column:
         sizes = F.zip_with(p["gap"], p["v"], lambda a, b: F.length(a) + F.length(b))
-        return let(running(sizes, 0, lambda a, b: a + b), lambda at: hits(p, at))
+        starts = F.when(F.size(p["gap"]) == 1, F.array(F.lit(0))).otherwise(running(sizes, 0, lambda a, b: a + b))
+        return let(starts, lambda at: hits(p, at))
 
     return F.when(text.rlike(flags + pattern), let(parts, located)).otherwise(none_of(HIT))
 
@@ -144,10 +152,11 @@ def pages(text: Column) -> Column:
 def piece(pages_: Column, start: Column, length: Column | int) -> Column:
     """``length`` code points from the zero-based ``start`` of a text in pages; less at its end."""
     length = length if isinstance(length, Column) else F.lit(length)
+    whole = F.substring(F.get(pages_, F.lit(0)), start + 1, length)
     first = F.floor(start / PAGE).cast("int")
     last = F.greatest(F.floor((start + length - 1) / PAGE).cast("int"), first)
     joined = F.array_join(F.slice(pages_, first + 1, last - first + 1), "")
-    return F.substring(joined, start - first * PAGE + 1, length)
+    return F.when(F.size(pages_) == 1, whole).otherwise(F.substring(joined, start - first * PAGE + 1, length))
 
 
 def before(pages_: Column, start: Column, window: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskloom.functions.kernel import let, none_of, running
+from maskloom.functions.kernel import chained, let, none_of, running
 
 SPAN = "struct<s:int,e:int,entity:string,rank:int,score:double,proof:boolean>"
 
@@ -61,7 +61,7 @@ def _greedy(items: Column) -> Column:
         (-x["score"]).alias("k"), x["rank"].alias("r"), x["s"].alias("a"), x["e"].alias("b"), x.alias("x")))
     return F.aggregate(
         F.array_sort(keyed), none_of(SPAN),
-        lambda kept, k: F.when(overlaps_any(k["x"], kept), kept).otherwise(F.concat(kept, F.array(k["x"]))))
+        lambda kept, k: F.when(overlaps_any(k["x"], kept), kept).otherwise(chained(kept, F.array(k["x"]))))
 
 
 def by_cluster(items: Column, resolve: Callable[[Column], Column]) -> Column:
@@ -81,8 +81,8 @@ def by_cluster(items: Column, resolve: Callable[[Column], Column]) -> Column:
 
     def bounded(x: Column) -> Column:
         reach = running(F.transform(x, lambda y: y["e"]), -1, lambda a, b: F.greatest(a, b))
-        return let(reach, lambda r: let(F.struct(x.alias("x"), F.filter(
-            F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["s"] >= F.get(r, i)).alias("first")), split))
+        heads = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["s"] >= F.get(r, i)))
+        return let(F.struct(x.alias("x"), F.when(F.size(x) == 1, F.array(F.lit(0))).otherwise(heads).alias("first")), split)
 
     return F.when(F.size(items) == 0, items).otherwise(let(F.array_sort(items), bounded))
 

@@ -31,13 +31,13 @@ def fold_table() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Full-width ASCII, hyphens, fixed spaces and decimal digits as ASCII; same length."""
     source, target = fold_table()
-    needed = rf"[！-～{V.DASHES}{V.SPACES}]|[\p{{Nd}}&&[^0-9]]"
+    needed = rf"[[^\x00-\x7F가-힣]&&[！-～{V.DASHES}{V.SPACES}\p{{Nd}}]]"  # most characters fail the first, cheap part
     return F.when(text.rlike(needed), F.translate(text, source, target)).otherwise(text)
 
 
 def squeeze(folded: Column) -> Column:
     """Folded text without invisible runs between identifier characters."""
-    return F.regexp_replace(folded, _RUN, "")
+    return F.when(folded.rlike(f"[{V.INVISIBLE}]"), F.regexp_replace(folded, _RUN, "")).otherwise(folded)
 
 
 def cuts(folded: Column) -> Column:
@@ -46,13 +46,14 @@ def cuts(folded: Column) -> Column:
         gone = running(F.transform(hits, lambda h: h["e"] - h["s"]), 0, lambda a, b: a + b)
         return let(gone, lambda g: F.transform(hits, lambda h, i: F.struct((h["s"] - F.get(g, i)).alias("at"), (h["e"] - h["s"]).alias("n"))))
 
-    return let(find(folded, _RUN), lambda hits: F.when(F.size(hits) == 0, none_of(CUT)).otherwise(placed(hits)))
+    some = let(find(folded, _RUN), lambda hits: F.when(F.size(hits) == 0, none_of(CUT)).otherwise(placed(hits)))
+    return F.when(folded.rlike(f"[{V.INVISIBLE}]"), some).otherwise(none_of(CUT))
 
 
 def original(position: Column, removed: Column) -> Column:
     """The offset in the untouched text of a character of the squeezed one."""
     before = F.filter(removed, lambda cut: cut["at"] <= position)
-    return position + F.aggregate(before, F.lit(0), lambda total, cut: total + cut["n"])
+    return F.when(F.size(removed) == 0, position).otherwise(position + F.aggregate(before, F.lit(0), lambda total, cut: total + cut["n"]))
 
 
 def normalize(text: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks, context, fields, masking, spans
 from maskloom.functions import vocab as V
-from maskloom.functions.kernel import built, find, let, matches, none_of, pages, piece, stored
+from maskloom.functions.kernel import built, chained, find, let, matches, none_of, pages, piece, stored
 from maskloom.functions.text import CUT, cuts, fold, original, squeeze
 
 FINDING = "struct<entity:string,start:int,end:int,score:double,text:string>"
@@ -94,9 +94,9 @@ class Detector:
                     _candidate("CREDIT_CARD", hit, V.SCORE["certain"])))
             if "KR_ACCOUNT" in self._scanned:
                 out.append(self._account(hit, number, prefix))
-            return F.concat(*out)
+            return chained(*out)
 
-        return let(F.struct(checks.digits(value).alias("number"), context.clause(hit["b"]).alias("prefix")), read)
+        return let(F.struct(F.replace(value, F.lit("-"), F.lit("")).alias("number"), context.clause(hit["b"]).alias("prefix")), read)
 
     def _account(self, hit: Column, number: Column, prefix: Column) -> Column:
         value = hit["v"]
@@ -127,7 +127,7 @@ class Detector:
             out.append(F.transform(find(text, V.PASSPORT), self._passport))
         if "EMAIL_ADDRESS" in self._scanned:
             out.append(self._emails(text))
-        return F.when(text.rlike(r"[0-9]{2}|@"), F.concat(*out)).otherwise(none_of(spans.SPAN))
+        return F.when(text.rlike(r"[0-9]{2}|@"), chained(*out)).otherwise(none_of(spans.SPAN))
 
     @staticmethod
     def _phone(hit: Column) -> Column:
@@ -154,7 +154,7 @@ class Detector:
             return F.transform(kept, lambda hit: _candidate("EMAIL_ADDRESS", hit, V.SCORE["certain"]))
 
         wide = F.when(text.rlike(r"[^\x00-\x7F]@|@[^\x00-\x7F]|@[^\s@]*\.[^\x00-\x7F]|[^\x00-\x7F][^\s@]*@"), valid(V.EMAIL_WIDE))
-        both = F.concat(valid(V.EMAIL), F.coalesce(wide, none_of(spans.SPAN)))
+        both = chained(valid(V.EMAIL), F.coalesce(wide, none_of(spans.SPAN)))
         return F.when(text.contains("@"), spans.drop_contained(both)).otherwise(none_of(spans.SPAN))
 
     # --- conflicts -----------------------------------------------------------------------
@@ -200,7 +200,7 @@ class Detector:
 
     def _extras(self, text: Column, view: Column, structured: Column, model: Column | None) -> Column:
         """Names and addresses that leave the structured findings alone."""
-        rules = F.concat(
+        rules = chained(
             fields.name_fields(text, view) if "KR_NAME" in self.entities else none_of(spans.SPAN),
             fields.addresses(text, view) if "KR_ADDRESS" in self.entities else none_of(spans.SPAN))
         wanted = lambda x: x["entity"].isin(*self.entities) & (x["score"] >= float(self.threshold))
@@ -214,7 +214,7 @@ class Detector:
             return let(spans.without_overlap(F.filter(found, wanted), structured), settle)
 
         proposals = rules if model is None else let(
-            rules, lambda r: F.concat(r, F.coalesce(self._model(text, view, model, r), none_of(spans.SPAN))))
+            rules, lambda r: chained(r, F.coalesce(self._model(text, view, model, r), none_of(spans.SPAN))))
         return let(proposals, lambda found: F.when(F.size(found) == 0, found).otherwise(arbitrate(found)))
 
     def _spans(self, text: Column, view: Column, model: Column | None) -> Column:
@@ -223,7 +223,7 @@ class Detector:
         if not set(self.entities) & set(V.OPTIONAL):
             return structured
         return let(structured, lambda s: let(self._extras(text, view, s, model), lambda more: F.when(F.size(more) == 0, s).otherwise(
-            F.array_sort(F.concat(s, more)))))
+            F.array_sort(chained(s, more)))))
 
     # --- results -------------------------------------------------------------------------
 
@@ -246,7 +246,10 @@ class Detector:
                 F.when(hidden, cuts(folded)).otherwise(none_of(CUT)).alias("removed")), analysed)
 
         found = let(fold(text) if self.normalize else text, views)
-        return F.when(text.isNull(), none_of(FINDING)).otherwise(found)
+        nothing = text.isNull()
+        if not set(self.entities) & set(V.OPTIONAL):  # every other scan needs digits or an at sign, of any width
+            nothing = nothing | ~text.rlike(r"[@＠\p{Nd}]")
+        return F.when(nothing, none_of(FINDING)).otherwise(found)
 
     @built
     def findings(self, text: Column, model: Column | None = None) -> Column:
@@ -279,7 +282,7 @@ class Detector:
             return F.struct(x["entity"].alias("entity"), s.alias("start"), e.alias("end"), F.round(x["score"], 3).alias("score"),
                             piece(F.col("__own"), s, e - s).alias("text"))
 
-        out = more.withColumn("__all", F.array_sort(F.concat("__first", "__more"))).withColumn(into, F.transform("__all", row))
+        out = more.withColumn("__all", F.array_sort(chained(F.col("__first"), F.col("__more")))).withColumn(into, F.transform("__all", row))
         return out.drop("__fold", "__cuts", "__clean", "__pages", "__own", "__first", "__more", "__all")
 
     @built

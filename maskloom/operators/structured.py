@@ -73,7 +73,7 @@ def settle_field(detector: Detector, text: Column, label: Column, found: Column,
     ahead = F.length(_prefix(label))
     moved = F.transform(found, lambda f: F.struct(
         f["entity"].alias("entity"), (f["start"] - ahead).alias("start"), (f["end"] - ahead).alias("end"), f["score"].alias("score")))
-    out = masking.splice(text, moved, style)
+    out = let(moved, lambda m: masking.splice(text, m, style))
     if "KR_NAME" in detector.entities:
         alone = label.isin("성명", "이름", "예금주") & (F.size(found) == 0) & matches(text, "[가-힣]")
         out = F.when(alone, F.lit("<KR_NAME>" if style == "tag" else "*")).otherwise(out)

@@ -166,3 +166,18 @@ def test_a_phone_number_is_not_read_inside_a_card_number(spark):
     rows = spark.createDataFrame([(1, "카드번호 4000 0502 3861 1147 승인"), (2, "연락처 0502 3861 1147"), (3, "2명 0502 3861 1147")], "i int, t string")
     got = {r.i: [(f.entity, f.text) for f in r.f] for r in rows.select("i", Detector().findings(F.col("t")).alias("f")).collect()}
     assert got == {1: [], 2: [("PHONE_NUMBER", "0502 3861 1147")], 3: [("PHONE_NUMBER", "0502 3861 1147")]}
+
+
+def test_a_value_is_bound_without_a_list(spark):
+    """Nor are the findings of a field moved anew for each of their uses."""
+    from maskloom.operators.structured import mask_field
+
+    plan = lambda column: spark.createDataFrame([("a",)], "t string").select(column)._jdf.queryExecution().analyzed().toString()
+    assert "transform(array(" not in plan(Detector().findings(F.col("t")))
+    assert plan(mask_field(Detector(), F.col("t"), "")).count(".start - length(") <= 2
+
+
+def test_texts_without_digits_of_any_width_are_passed_over(spark):
+    rows = spark.createDataFrame([(1, "연락처 ０１０-１２３４-５６７８"), (2, "a＠example.com"), (3, "가나다"), (4, "연락처 𝟎𝟏𝟎-1234-5678"), (5, None)], "i int, t string")
+    got = {r.i: [f.entity for f in r.f] for r in rows.select("i", Detector().findings(F.col("t")).alias("f")).collect()}
+    assert got == {1: ["PHONE_NUMBER"], 2: ["EMAIL_ADDRESS"], 3: [], 4: ["PHONE_NUMBER"], 5: []}
