@@ -15,6 +15,7 @@ from maskloom.functions.kernel import find, let, none_of, running
 CUT = "struct<at:int,n:int>"
 _NEIGHBOUR = r"[A-Za-z0-9@._+\-]"
 _RUN = rf"(?<={_NEIGHBOUR})[{V.INVISIBLE}]+(?={_NEIGHBOUR})"
+_UNUSUAL = rf"[[^\x00-\x7F가-힣]&&[！-～{V.DASHES}{V.SPACES}{V.INVISIBLE}\p{{Nd}}]]"
 
 
 @lru_cache(maxsize=1)
@@ -56,8 +57,13 @@ def original(position: Column, removed: Column) -> Column:
     return F.when(F.size(removed) == 0, position).otherwise(position + F.aggregate(before, F.lit(0), lambda total, cut: total + cut["n"]))
 
 
+def unusual(text: Column) -> Column:
+    """Whether folding or squeezing may change the text: one search, where each of them needs its own."""
+    return text.rlike(_UNUSUAL)
+
+
 def normalize(text: Column) -> Column:
-    return squeeze(fold(text))
+    return F.when(unusual(text), squeeze(fold(text))).otherwise(text)
 
 
 def positions(text: Column) -> Column:

@@ -56,9 +56,15 @@ query("reserve_unique", """
     WITH r AS (SELECT lang AS domain, doc_id AS position, doc_id AS id, text FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL AND lang IS NOT NULL),
     u AS (SELECT DISTINCT text FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL)
     SELECT id, CASE WHEN text IN (SELECT text FROM u) THEN 'consumed' WHEN row_number() OVER (PARTITION BY text ORDER BY domain, position) > 1 THEN 'reserve_duplicate' ELSE 'selected' END AS verdict FROM r""",
-      "documents")(lambda d: corpus.reserve_unique(
-          d.where("doc_id % 5 <> 0 and text is not null and lang is not null").select(F.col("lang").alias("domain"), F.col("doc_id").alias("position"), F.col("doc_id").alias("id"), "text"),
-          d.where("doc_id % 5 = 0 and text is not null").select("text")).select("id", "verdict"))
+      "documents")(lambda d: _reserve(spread(d.select("doc_id", "lang", "text"))))
+
+
+def _reserve(docs: DataFrame) -> DataFrame:
+    rows = docs.where("doc_id % 5 <> 0 and text is not null and lang is not null").select(
+        F.col("lang").alias("domain"), F.col("doc_id").alias("position"), F.col("doc_id").alias("id"), "text")
+    return corpus.reserve_unique(rows, docs.where("doc_id % 5 = 0 and text is not null").select("text")).select("id", "verdict")
+
+
 query("split_overlaps", """
     WITH s AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'held' ELSE 'train' END AS split, source, text FROM documents)
     SELECT 'source' AS field, count(*) AS shared FROM (SELECT source FROM s WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT split) > 1) HAVING count(*) > 0

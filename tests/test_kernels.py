@@ -266,3 +266,26 @@ def test_equal_spans_share_an_island(spark):
     out = spanjoin.merged(df)
     assert sorted(map(tuple, out.collect())) == [(1, 0, 9), (1, 10, 12), (1, 20, 21)]
     assert "RangeFrame" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reserve_texts_are_hashed_after_dealing(spark, sf):
+    """A join must not infer a filter that hashes every text within the scan, which may be one task."""
+    from maskloom import plans
+
+    plan = plans.queries()["reserve_unique"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    level = lambda line: len(line) - len(line.lstrip(" :+-"))
+    dealt = [i for i, line in enumerate(plan) if "Repartition 4" in line]
+    assert len(dealt) == 3
+    for i in dealt:
+        below = plan[i + 1 :]
+        end = next((n for n, line in enumerate(below) if level(line) <= level(plan[i])), len(below))
+        assert end and not any("sha2" in line for line in below[:end])
+
+
+def test_reserve_verdicts_by_normalised_text(spark):
+    from maskloom.operators.corpus import reserve_unique
+
+    reserve = spark.createDataFrame([("a", 1, 1, "번호 ０１０-1"), ("a", 2, 2, "번호 010-1"), ("a", 3, 3, "x​y"), ("b", 4, 4, None), ("b", 5, 5, "")],
+                                    "domain string, position int, id int, text string")
+    got = {r.id: r.verdict for r in reserve_unique(reserve, spark.createDataFrame([("xy",), (None,)], "text string")).collect()}
+    assert got == {1: "selected", 2: "reserve_duplicate", 3: "consumed", 5: "selected"}
