@@ -45,9 +45,13 @@ def birth_date_valid(entity: Column, value: Column) -> Column:
         .when((entity == "KR_RRN") & seventh.isin("3", "4"), "20").when((entity == "KR_FRN") & seventh.isin("5", "6"), "19")
         .when((entity == "KR_FRN") & seventh.isin("7", "8"), "20")
     )
-    day = F.try_to_date(F.concat(century, F.substring(number, 1, 6)), "yyyyMMdd")
-    shaped = matches(value, "[0-9]{6}-?[0-9]{7}")
-    return F.when(entity.isin("KR_RRN", "KR_FRN"), shaped & day.isNotNull()).otherwise(F.lit(True))
+    part = lambda text, at: F.substring(text, at, 2).try_cast("int")
+    month, day = part(number, 3), part(number, 5)
+    # by arithmetic, since a parser of dates throws an exception for each day that is none
+    common = (part(number, 1) % 4 != 0) | ((part(number, 1) == 0) & (part(century, 1) % 4 != 0))
+    days = F.when(month == 2, F.when(common, 28).otherwise(29)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    shaped = matches(value, "[0-9]{6}-?[0-9]{7}") & F.coalesce(century.isNotNull() & month.between(1, 12) & (day >= 1) & (day <= days), F.lit(False))
+    return F.when(entity.isin("KR_RRN", "KR_FRN"), shaped).otherwise(F.lit(True))
 
 
 def luhn(number: Column) -> Column:

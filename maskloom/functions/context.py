@@ -18,7 +18,8 @@ _LAST_BLOCKER = rf"(?s)\A(.*){any_word(V.ACCOUNT_BLOCKERS)}"
 
 def clause(ahead: Column) -> Column:
     """Of the text before a candidate, at most ``WINDOW`` characters, what stands in its clause."""
-    return F.regexp_extract(ahead, rf"[^{V.CLAUSE_END}]*\z", 0)
+    ended = F.regexp_extract(ahead, rf"[^{V.CLAUSE_END}]*\z", 0)
+    return F.when(ahead.rlike(f"[{V.CLAUSE_END}]"), ended).otherwise(ahead)
 
 
 def has_word(prefix: Column, entity: str) -> Column:

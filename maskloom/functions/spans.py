@@ -84,7 +84,11 @@ def by_cluster(items: Column, resolve: Callable[[Column], Column]) -> Column:
         heads = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["s"] >= F.get(r, i)))
         return let(F.struct(x.alias("x"), F.when(F.size(x) == 1, F.array(F.lit(0))).otherwise(heads).alias("first")), split)
 
-    return F.when(F.size(items) == 0, items).otherwise(let(F.array_sort(items), bounded))
+    def sorted_(x: Column) -> Column:
+        pair = (F.size(x) == 2) & touches(F.get(x, F.lit(0)), F.get(x, F.lit(1)))
+        return F.when((F.size(x) == 1) | pair, resolve(x)).otherwise(bounded(x))
+
+    return F.when(F.size(items) == 0, items).otherwise(let(F.when(F.size(items) == 1, items).otherwise(F.array_sort(items)), sorted_))
 
 
 def greedy(items: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import checks, context, fields, masking, spans
 from maskloom.functions import vocab as V
 from maskloom.functions.kernel import built, chained, find, let, matches, none_of, pages, piece, stored
-from maskloom.functions.text import CUT, cuts, fold, original, squeeze
+from maskloom.functions.text import CUT, cuts, fold, original, squeeze, unusual
 
 FINDING = "struct<entity:string,start:int,end:int,score:double,text:string>"
 MODEL_SPAN = "struct<entity:string,start:int,end:int,score:double>"
@@ -71,8 +71,9 @@ class Detector:
 
         def read(at: Column) -> Column:
             number, prefix = at["number"], at["prefix"]
+            sized = lambda low, high=None: at["digits"].between(low, high or low)  # noqa: E731 - far cheaper than a pattern
             out = []
-            shaped = matches(value, V.REGISTRATION)
+            shaped = sized(13) & matches(value, V.REGISTRATION)
             seventh = F.substring(number, 7, 1)
             for entity, marks, shift in (("KR_RRN", "[0-49]", 11), ("KR_FRN", "[5-8]", 13)):
                 if entity in self._scanned:
@@ -82,36 +83,40 @@ class Detector:
                     out.append(_some(
                         shaped & seventh.rlike(marks) & (dated | word), _candidate(entity, hit, context.boosted(score, word))))
             if "KR_BRN" in self._scanned:
-                out.append(_some(matches(value, V.BUSINESS) & checks.business_checksum(number), _candidate("KR_BRN", hit, V.SCORE["certain"])))
+                out.append(_some(sized(10) & matches(value, V.BUSINESS) & checks.business_checksum(number), _candidate("KR_BRN", hit, V.SCORE["certain"])))
             if "KR_DRIVER_LICENSE" in self._scanned:
                 word = context.has_word(prefix, "KR_DRIVER_LICENSE")
                 plain = F.when(value.contains("-"), V.SCORE["license"]).otherwise(min(V.SCORE["license"], V.UNDELIMITED))
                 score = F.when(word, context.boosted(F.lit(V.SCORE["license"]), F.lit(True))).otherwise(plain)
-                out.append(_some(matches(value, V.LICENSE), _candidate("KR_DRIVER_LICENSE", hit, score)))
+                out.append(_some(sized(12) & matches(value, V.LICENSE), _candidate("KR_DRIVER_LICENSE", hit, score)))
             if "CREDIT_CARD" in self._scanned:
                 out.append(_some(
-                    matches(value, V.CARD) & ~matches(value, "1[0-9]{12}") & checks.luhn(number),
+                    sized(13, 17) & matches(value, V.CARD) & ~matches(value, "1[0-9]{12}") & checks.luhn(number),
                     _candidate("CREDIT_CARD", hit, V.SCORE["certain"])))
             if "KR_ACCOUNT" in self._scanned:
-                out.append(self._account(hit, number, prefix))
+                out.append(F.when(sized(10, 14), self._account(hit, number, prefix)).otherwise(none_of(spans.SPAN)))
             return chained(*out)
 
-        return let(F.struct(F.replace(value, F.lit("-"), F.lit("")).alias("number"), context.clause(hit["b"]).alias("prefix")), read)
+        number = F.replace(value, F.lit("-"), F.lit(""))
+        return let(F.struct(number.alias("number"), F.octet_length(number).alias("digits"), context.clause(hit["b"]).alias("prefix")), read)
 
     def _account(self, hit: Column, number: Column, prefix: Column) -> Column:
         value = hit["v"]
         layouts = "|".join(p for _, _, p, groups in V.ACCOUNT_LAYOUTS if groups == 4)
-        bare, three, four = matches(value, V.ACCOUNT_BARE), matches(value, V.ACCOUNT_GROUPS), matches(value, layouts)
+        bare = value == number  # 10 to 14 digits by now
 
-        def gate(ctx: Column) -> Column:
+        def shaped(three: Column) -> Column:
+            read = let(context.account_context(prefix), lambda ctx: gate(ctx, three))
+            return F.when(bare | three | matches(value, layouts), read).otherwise(none_of(spans.SPAN))
+
+        def gate(ctx: Column, three: Column) -> Column:
             score = context.boosted(F.when(bare, V.SCORE["account_bare"]).otherwise(V.SCORE["account"]), ctx["has"])
-            counted = F.length(number).between(10, 14)
-            passed = ~ctx["blocked"] & counted & (three | ((bare | four) & ctx["has"])) & ~matches(value, V.ISO_DATE)
+            passed = ~ctx["blocked"] & (three | ctx["has"])  # a date has too few digits
             evident = (  # a documented layout of the bank that the clause names for an account
                 ctx["has"] & (score >= float(self.threshold)) & prefix.contains("계좌") & (context.nearest_bank(prefix) == checks.account_bank(value)))
             return _some(passed, _candidate("KR_ACCOUNT", hit, score, evident))
 
-        return F.when(bare | three | four, let(context.account_context(prefix), gate)).otherwise(none_of(spans.SPAN))
+        return let(~bare & matches(value, V.ACCOUNT_GROUPS), shaped)
 
     def _candidates(self, text: Column) -> Column:
         """Candidates of all scans, each with its context and gates applied."""
@@ -235,20 +240,22 @@ class Detector:
                 piece(own, s, e - s).alias("text"))
 
         def analysed(view: Column) -> Column:
-            found = let(pages(view["clean"]), lambda leaf: self._spans(view["clean"], leaf, model))
+            leaf = pages(view["clean"]) if set(self.entities) & set(V.OPTIONAL) else F.array(view["clean"])  # only fields read by pages
+            found = let(leaf, lambda leaf: self._spans(view["clean"], leaf, model))
             told = lambda f: let(pages(text), lambda own: F.transform(f, lambda x: row(x, view["removed"], own)))
             return let(found, lambda f: F.when(F.size(f) == 0, none_of(FINDING)).otherwise(told(f)))
 
         def views(folded: Column) -> Column:
-            hidden = folded.rlike(f"[{V.INVISIBLE}]") if self.normalize else F.lit(False)
-            return let(F.struct(
+            hidden = folded.rlike(f"[{V.INVISIBLE}]")
+            return F.struct(
                 F.when(hidden, squeeze(folded)).otherwise(folded).alias("clean"),
-                F.when(hidden, cuts(folded)).otherwise(none_of(CUT)).alias("removed")), analysed)
+                F.when(hidden, cuts(folded)).otherwise(none_of(CUT)).alias("removed"))
 
-        found = let(fold(text) if self.normalize else text, views)
+        plain = F.struct(text.alias("clean"), none_of(CUT).alias("removed"))
+        found = let(F.when(unusual(text), let(fold(text), views)).otherwise(plain) if self.normalize else plain, analysed)
         nothing = text.isNull()
         if not set(self.entities) & set(V.OPTIONAL):  # every other scan needs digits or an at sign, of any width
-            nothing = nothing | ~text.rlike(r"[@＠\p{Nd}]")
+            nothing = nothing | ~(text.rlike("[@0-9]") | text.rlike(r"[＠\p{Nd}]"))
         return F.when(nothing, none_of(FINDING)).otherwise(found)
 
     @built

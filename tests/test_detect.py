@@ -181,3 +181,28 @@ def test_texts_without_digits_of_any_width_are_passed_over(spark):
     rows = spark.createDataFrame([(1, "연락처 ０１０-１２３４-５６７８"), (2, "a＠example.com"), (3, "가나다"), (4, "연락처 𝟎𝟏𝟎-1234-5678"), (5, None)], "i int, t string")
     got = {r.i: [f.entity for f in r.f] for r in rows.select("i", Detector().findings(F.col("t")).alias("f")).collect()}
     assert got == {1: ["PHONE_NUMBER"], 2: ["EMAIL_ADDRESS"], 3: [], 4: ["PHONE_NUMBER"], 5: []}
+
+
+def test_birth_dates_equal_the_calendar(spark):
+    import datetime
+
+    from maskloom.functions import checks
+
+    def right(entity, value):
+        century = {"KR_RRN": {"0": 18, "9": 18, "1": 19, "2": 19, "3": 20, "4": 20}, "KR_FRN": {"5": 19, "6": 19, "7": 20, "8": 20}}[entity].get(value[6])
+        try:
+            return century is not None and bool(datetime.date(century * 100 + int(value[:2]), int(value[2:4]), int(value[4:6])))
+        except ValueError:
+            return False
+
+    values = [f"{y:02}{m:02}{d:02}{c}000000" for y in (0, 3, 4, 96) for m in (0, 1, 2, 4, 12, 13) for d in (0, 1, 28, 29, 30, 31, 32) for c in range(10)]
+    rows = spark.createDataFrame([(e, v) for e in ("KR_RRN", "KR_FRN") for v in values], "e string, v string")
+    got = rows.select("e", "v", checks.birth_date_valid(F.col("e"), F.col("v")).alias("ok")).collect()
+    assert all(r.ok == right(r.e, r.v) for r in got) and any(r.ok for r in got)
+    assert "gettimestamp" not in rows.select(checks.birth_date_valid(F.col("e"), F.col("v")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_detection_searches_texts_no_more_than_needed(spark):
+    """A number's length is looked at before the patterns of its readings."""
+    plan = spark.createDataFrame([("a",)], "t string").select(Detector().findings(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "octet_length" in plan
